@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from kgspark.llm import decontam
+from kgspark.llm import decontam, neardup, packing, substring
 
 QUERIES = {
+    "op8_anchor_dedup": substring.op8_anchor_dedup,
+    "op3_pack": packing.op3_pack,
+    "op5_minmax_neardup": neardup.op5_minmax_neardup,
     "op7_decontaminate": decontam.op7_decontaminate,
 }
 ORACLES = {
+    "op8_anchor_dedup": substring.ORACLE,
+    "op5_minmax_neardup": neardup.ORACLE,
     "op7_decontaminate": decontam.ORACLE,
 }
