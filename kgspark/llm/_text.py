@@ -78,6 +78,12 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.texts = len(offsets) - 1
 
+    def prefix(self, length: int) -> np.ndarray:
+        """Hash of the first ``length`` bytes of each word, or of all of a shorter one."""
+        if not len(self.start):
+            return np.zeros(0, U)
+        return mix(_spans(self.data.astype(U) + U(1), self.start, np.minimum(self.end, self.start + length), _BASE))
+
     def owner(self) -> np.ndarray:
         """The text of each word."""
         return np.repeat(np.arange(self.texts), np.diff(self.first))

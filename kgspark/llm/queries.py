@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from kgspark.llm import decontam, neardup, packing, substring
+from kgspark.llm import ctw, decontam, neardup, packing, substring, toxicity
 
 QUERIES = {
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op6_context_tree": ctw.op6_context_tree,
     "op8_anchor_dedup": substring.op8_anchor_dedup,
     "op3_pack": packing.op3_pack,
     "op5_minmax_neardup": neardup.op5_minmax_neardup,

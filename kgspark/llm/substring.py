@@ -215,10 +215,9 @@ windows AS (
   SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)),
 lows AS (SELECT h, min(doc_id) AS low FROM windows GROUP BY h),
-gone AS (SELECT doc_id, list(i) AS at FROM windows JOIN lows USING (h) WHERE doc_id > low GROUP BY doc_id),
-covered AS (SELECT doc_id, list(DISTINCT p) AS p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM (SELECT doc_id, unnest(at) AS i FROM gone)) GROUP BY doc_id)
+gone AS (SELECT doc_id, i FROM windows JOIN lows USING (h) WHERE doc_id > low),
+covered AS (SELECT doc_id, list(DISTINCT p) AS p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM gone) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BIGINT) AS n_removed,
-  sha256(CASE WHEN p IS NULL THEN array_to_string(w, ' ') ELSE
-    coalesce((SELECT string_agg(w[k], ' ' ORDER BY k) FROM (SELECT unnest(range(1, len(w) + 1)) AS k) WHERE NOT list_contains(p, k)), '') END) AS kept_sha256
+  sha256(CASE WHEN p IS NULL THEN array_to_string(w, ' ') ELSE array_to_string([w[k] for k in range(1, len(w) + 1) if NOT list_contains(p, k)], ' ') END) AS kept_sha256
 FROM docs d LEFT JOIN covered c USING (doc_id)
 """
