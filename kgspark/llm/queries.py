@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from kgspark.llm import ctw, decontam, neardup, packing, substring, toxicity
+from kgspark.llm import ctw, decontam, merkle, neardup, packing, pii, substring, toxicity
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op2_merkle": merkle.op2_merkle,
     "op9_toxicity": toxicity.op9_toxicity,
     "op6_context_tree": ctw.op6_context_tree,
     "op8_anchor_dedup": substring.op8_anchor_dedup,
@@ -13,6 +15,7 @@ QUERIES = {
     "op7_decontaminate": decontam.op7_decontaminate,
 }
 ORACLES = {
+    "op2_merkle": merkle.ORACLE,
     "op8_anchor_dedup": substring.ORACLE,
     "op5_minmax_neardup": neardup.ORACLE,
     "op7_decontaminate": decontam.ORACLE,
