@@ -57,3 +57,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = after
     return cur.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).union(cur.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+def first_bound(value, bounds: list[int]):
+    """Index of the first of sorted ``bounds`` at or above ``value``, or their number; a binary search in the plan."""
+    if not bounds:
+        return F.lit(0)
+    # A folded literal: one array object, not a tree of literals.
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = len(bounds).bit_length() + 1
+    half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+
+    def step(s, _):
+        below = (s["lo"] < s["hi"]) & (F.element_at(table, F.least(half(s), F.lit(len(bounds) - 1)) + 1) < value)
+        return F.struct(F.when(below, half(s) + 1).otherwise(s["lo"]).alias("lo"), F.when(below | (s["lo"] >= s["hi"]), s["hi"]).otherwise(half(s)).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), step)["lo"]

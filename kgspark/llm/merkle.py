@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from kgspark.llm._shared import first_bound
 
 #: Leaves end after sentence marks, or after so many code points without one.
 LEAF = "[^.!?]{1,96}[.!?]*|[.!?]+"
@@ -63,20 +64,11 @@ def with_next(docs: DataFrame, value: str) -> DataFrame:
     if cuts[1] is None:
         return docs.withColumn(f"next_{value}", F.col(value))
     bounds = sorted({*cuts[0], cuts[1]})
-    # Binary search for the first boundary at or above an id.
-    bound = F.array(*[F.lit(b) for b in bounds])
-    steps = max(1, len(bounds).bit_length())
-    search = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        F.struct(F.lit(0).alias("lo"), F.lit(len(bounds) - 1).alias("hi")),
-        lambda s, _: F.when(
-            F.element_at(bound, F.floor((s["lo"] + s["hi"]) / 2).cast("int") + 1) >= F.col("_id"), F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi"))
-        ).otherwise(F.struct(F.least(F.floor((s["lo"] + s["hi"]) / 2).cast("int") + 1, s["hi"]).alias("lo"), s["hi"].alias("hi"))),
-    )["lo"]
     own = F.col("_block")
+    bound = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
     above = F.when(F.col("_id") == F.element_at(bound, own + 1), F.when(own + 1 < len(bounds), own + 1).otherwise(0))
     sent = F.array_compact(F.array(F.struct(own.alias("at"), F.lit(0).alias("guest")), F.when(above.isNotNull(), F.struct(above.alias("at"), F.lit(1).alias("guest")))))
-    dealt = rows.withColumn("_block", search).withColumn("_sent", F.explode(sent))
+    dealt = rows.withColumn("_block", first_bound(F.col("_id"), bounds)).withColumn("_sent", F.explode(sent))
     w = Window.partitionBy("_sent.at").orderBy(F.col("_sent.guest"), F.col("_id").desc(), F.col(value).desc())
     found = dealt.withColumn(f"next_{value}", F.lead(value).over(w))
     return found.where("_sent.guest = 0").drop("_id", "_block", "_sent")

@@ -15,11 +15,11 @@ from kgspark.llm._text import SPACES, U, Words, mix, pieces, run_hash
 SHINGLE = 5
 #: Similarity of linked documents, in hundredths.
 PERCENT = 75
-#: Each permutation gives a minimum and a maximum; two permutations make a band of four values. At similarity
-#: 0.75 a band agrees with probability 0.25 (tiny sets) to 0.32, so all 48 miss with under one in a million.
-PERMUTATIONS = 96
-#: Edges are few enough to send their end points to every task.
-SMALL_EDGES = 200_000
+#: Each permutation gives a minimum and a maximum; three permutations make a band of six values. At similarity
+#: 0.75 a band agrees with probability 0.18, so all 70 miss with about one in a million (sets of four: one in 10,000).
+PERMUTATIONS, PER_BAND = 210, 3
+#: Documents of a block when all pairs of a cluster are compared.
+BLOCK = 256
 
 _SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _XOR, _MUL = _SEEDS[:PERMUTATIONS], _SEEDS[PERMUTATIONS:] | U(1)
@@ -43,16 +43,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def min_max(s: np.ndarray, block: int = 2048) -> np.ndarray:
-    """Band keys of a set: both extremes of each permutation, two permutations a band."""
+    """Band keys of a set: both extremes of each permutation, three permutations a band."""
     low, high = np.full(PERMUTATIONS, np.iinfo(U).max, U), np.zeros(PERMUTATIONS, U)
     for k in range(0, len(s), block):
         x = (s[k : k + block, None] ^ _XOR) * _MUL
         np.minimum(low, x.min(0), out=low)
         np.maximum(high, x.max(0), out=high)
-    values = np.stack([low[0::2], high[0::2], low[1::2], high[1::2]])
-    key = np.arange(PERMUTATIONS // 2, dtype=U)
-    for v in values:
-        key = mix(key * U(0xD6E8FEB86659FD93) + v)
+    key = np.arange(PERMUTATIONS // PER_BAND, dtype=U)
+    for extreme in (low, high):
+        for v in extreme.reshape(-1, PER_BAND).T:
+            key = mix(key * U(0xD6E8FEB86659FD93) + v)
     return key
 
 
@@ -89,16 +89,70 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked; ``texts``: id, text of every candidate."""
-    pairs = materialize(pairs.select("a", "b").where("a <> b").distinct())
-    if pairs.count() <= SMALL_EDGES:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = texts.join(F.broadcast(ids), "id", "left_semi")
     joined = (
         pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "b", "text_a", "text_b")
     )
-    return materialize(joined.mapInArrow(_confirm, "a long, b long"))
+    return joined.mapInArrow(_confirm, "a long, b long")
+
+
+def common_sizes(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``left`` with all of ``right``."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    both = np.intersect1d(np.concatenate([np.zeros(0, U), *left]), np.concatenate([np.zeros(0, U), *right]))
+    places = [[(i, np.searchsorted(both, s[np.isin(s, both, assume_unique=True)])) for i, s in enumerate(side)] for side in (left, right)]
+    for at in range(0, len(both), width):
+        m = [np.zeros((len(side), min(width, len(both) - at)), np.float32) for side in (left, right)]
+        for x, side in zip(m, places, strict=True):
+            for i, p in side:
+                x[i, p[(p >= at) & (p < at + width)] - at] = 1
+        out += m[0] @ m[1].T
+    return out
+
+
+def _compare_blocks(table):
+    """Links between the two blocks of a task: of those that connect the same components, the first found."""
+    ids, comp, index, low, high = (table.column(c).to_numpy() for c in ("id", "comp", "index", "low", "high"))
+    sets = [s for _, _, d, o in pieces(table.column("text")) for s in shingle_sets(d, o)]
+    links, parent = [], {}
+
+    def find(c: int) -> int:
+        while (up := parent.setdefault(c, c)) != c:
+            parent[c] = c = parent[up]
+        return c
+
+    one, two = np.flatnonzero(index == low), np.flatnonzero(index == high)
+    if len(one) and len(two):
+        common = common_sizes([sets[i] for i in one], [sets[i] for i in two])
+        size = np.array([len(s) for s in sets], np.int64)
+        union = size[one][:, None] + size[two][None] - common
+        for x, y in np.argwhere((common > 0) & (100 * common >= PERCENT * union) & (comp[one][:, None] != comp[two][None])).tolist():
+            a, b = find(int(comp[one[x]])), find(int(comp[two[y]]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((int(ids[one[x]]), int(ids[two[y]])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def _between_components(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of a cluster; ``members``: cluster, id, comp.
+
+    The largest component's documents are compared with all others, and those among themselves, in blocks: a task
+    has two blocks, and a document goes to as many tasks as its cluster has blocks to compare it with. No pair of
+    documents is a row.
+    """
+    sizes = members.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("total")).select("cluster", F.col("m.comp").alias("main"), F.col("m.n").alias("n_main"), F.col("total"))
+    blocks = main.where("total > n_main").select("cluster", "main", F.ceil((F.col("total") - F.col("n_main")) / BLOCK).alias("others"), F.ceil(F.col("n_main") / BLOCK).alias("mains"))
+    at = F.pmod(F.xxhash64("id"), F.when(F.col("comp") == F.col("main"), F.col("mains")).otherwise(F.col("others")))
+    dealt = (
+        members.join(blocks, "cluster")
+        .withColumn("index", F.when(F.col("comp") == F.col("main"), F.col("others") + at).otherwise(at))
+        .withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("comp") == F.col("main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))))
+        .select("cluster", "id", "comp", "index", F.least("index", "partner").alias("low"), F.greatest("index", "partner").alias("high"))
+    )
+    return dealt.join(texts, "id").groupBy("cluster", "low", "high").applyInArrow(_compare_blocks, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -109,10 +163,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty text has an empty set and is linked with nothing. Repeated rows of one doc_id give one row each; they
     share a component when any row links. Rows with a null doc_id come back with a null component and are kept.
 
-    Equal sets are merged first (one representative per class), so copies never meet in a bucket. In a bucket of
-    a band each member is compared with the smallest one; then, only where a bucket still spans several
-    components, all pairs across components are compared. Links are confirmed on the full sets. Thus no pair that
-    shares a bucket goes unexamined unless it is already connected, and pairs within a group are not expanded.
+    Equal sets are merged first (one representative per class), so copies never meet in a bucket. Each document is
+    first compared with the smallest one that it shares a bucket with. Then, only where a bucket still spans several
+    components, the documents of such buckets are compared across components, in blocks. Links are confirmed on the
+    full sets. Thus no pair that shares a bucket goes unexamined unless it is already connected, and the pairs
+    within a group are never expanded to rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialize(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, sum_hash long, xor_hash long, bands array<long>"))
@@ -120,40 +175,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     filled = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy(*digest).agg(F.min("doc_id").alias("id"))
     member = materialize(filled.select("doc_id", *digest).join(classes, digest).select("doc_id", "id"))
-    reps = filled.join(member.where("doc_id = id").select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key")).distinct()
-    hubs = rows.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    bucket = materialize(rows.join(hubs, ["band", "key"]))
+    reps = filled.select(F.col("doc_id").alias("id"), "bands").join(member.where("doc_id = id").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    rows = reps.select("id", F.explode("bands").alias("key"))
+    hubs = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    bucket = materialize(rows.join(hubs, "key"))
 
-    ids = bucket.select("id").distinct()
-    texts = materialize(docs.where("doc_id is not null").withColumnRenamed("doc_id", "id").join(ids, "id").dropDuplicates(["id"]))
+    texts = docs.where("doc_id is not null").withColumnRenamed("doc_id", "id").join(bucket.select("id").distinct(), "id").dropDuplicates(["id"])
+    texts = materialize(texts)
 
-    # The smallest hub of each document first: it connects most of a group at one comparison a document.
     first = bucket.where("hub <> id").groupBy("id").agg(F.min("hub").alias("hub"))
     links = _verified(first.select(F.col("hub").alias("a"), F.col("id").alias("b")), texts)
     # Rows of one doc_id with different sets belong together.
-    own = member.where("doc_id <> id").groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    links = links.union(own.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
-    comp = materialize(connected_components(links))
-
-    def labelled(c: DataFrame) -> DataFrame:
-        return bucket.join(c.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-
-    # Then the other hubs, where they would connect something new.
-    at = labelled(comp)
-    hub_c = comp.select(F.col("id").alias("hub"), F.col("component").alias("hc"))
-    more = at.join(hub_c, "hub", "left").withColumn("hc", F.coalesce("hc", "hub")).where("c <> hc").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    links = materialize(links.union(_verified(more, texts)))
-    comp = materialize(connected_components(links))
-
-    # Then every pair of a bucket that still spans components.
-    at = materialize(labelled(comp).select("band", "key", "id", "c"))
-    mixed = at.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "key")
-    rest = materialize(at.join(mixed, ["band", "key"], "left_semi"))
-    left = rest.select("band", "key", F.col("id").alias("a"), F.col("c").alias("ca"))
-    right = rest.select("band", "key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    across = left.join(right, ["band", "key"]).where("a < b and ca <> cb").select("a", "b")
-    links = links.union(_verified(across, texts))
+    own = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b")
+    links = materialize(links.union(own))
+    comp = materialize(connected_components(links).withColumnsRenamed({"component": "comp"}))
+
+    at = bucket.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    at = materialize(at)
+    mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    rest = materialize(at.join(mixed, "key", "left_semi"))
+    clusters = connected_components(rest.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()).withColumnsRenamed({"component": "cluster"})
+    members = materialize(rest.select("id", "comp").distinct().join(clusters, "id").select("cluster", "id", "comp"))
+    links = materialize(links.union(_between_components(members, texts)))
     comp = connected_components(links).select("id", "component")
 
     member = member.join(comp, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component_id"))

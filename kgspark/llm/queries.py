@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from kgspark.llm import ctw, decontam, merkle, neardup, packing, pii, substring, toxicity
+from kgspark.llm import ctw, decontam, merkle, neardup, packing, pii, sharding, substring, toxicity, urls
 
 QUERIES = {
+    "op4_sampled_splitters": sharding.op4_sampled_splitters,
+    "op10_url_ratio": urls.op10_url_ratio,
     "op1_pii": pii.op1_pii,
     "op2_merkle": merkle.op2_merkle,
     "op9_toxicity": toxicity.op9_toxicity,
@@ -15,6 +17,7 @@ QUERIES = {
     "op7_decontaminate": decontam.op7_decontaminate,
 }
 ORACLES = {
+    "op10_url_ratio": urls.ORACLE,
     "op2_merkle": merkle.ORACLE,
     "op8_anchor_dedup": substring.ORACLE,
     "op5_minmax_neardup": neardup.ORACLE,
