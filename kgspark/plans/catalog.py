@@ -1,4 +1,6 @@
 """Registry of the queries outside the optional subpackage."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from kgspark.plans import graph, grouping, ingest, quality, records, retrieval, streams, text  # noqa: F401
+from kgspark.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
