@@ -36,9 +36,23 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+#: Logarithms of gamma at k + 1/2 and k + 1; most counts are small.
+_SMALL = 1 << 16
+_HALF, _WHOLE = log_gamma(np.arange(_SMALL) + 0.5), log_gamma(np.arange(_SMALL) + 1.0)
+
+
+def _looked_up(n: np.ndarray, table: np.ndarray, offset: float) -> np.ndarray:
+    n = n.astype(np.int64)
+    out = table[np.minimum(n, _SMALL - 1)]
+    large = n >= _SMALL
+    if large.any():
+        out[large] = log_gamma(n[large] + offset)
+    return out
+
+
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - 2 * 0.5723649429247001 - log_gamma(n0 + n1 + 1)
+    return _looked_up(n0, _HALF, 0.5) + _looked_up(n1, _HALF, 0.5) - 2 * 0.5723649429247001 - _looked_up(n0 + n1, _WHOLE, 1.0)
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,48 +63,56 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
 
 
-class Pieces:
-    """Grams and tokens of some texts, lower-cased, words joined by one space and closed by an end."""
-
-    def __init__(self, column: pa.Array):
-        data, offsets = text_buffers(column)
-        raw, n = data.tobytes(), len(offsets) - 1
-        self.grams, self.tokens, self.lengths = [], [], []
-        first = 0
-        while first < n:
-            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, "right")) - 1)
-            texts = [b" ".join(raw[offsets[i] : offsets[i + 1]].translate(_LOWER).split()) + b"\n" for i in range(first, last)]
-            pad = b"\n" * DEPTH
-            size = np.array([len(t) for t in texts])
-            b = np.frombuffer(b"".join(x for t in texts for x in (pad, t)), np.uint8)
-            ends = np.cumsum(size + DEPTH)
-            code = np.zeros(len(b), U)
-            for k in range(1, DEPTH + 1):
-                code[k:] |= b[:-k].astype(U) << U(8 * (DEPTH + 1 - k))
-            code |= b
-            real = np.ones(len(b), bool)
-            for k in range(DEPTH):
-                real[ends - size - 1 - k] = False
-            self.grams.append(np.unique(code[real], return_inverse=True))
-            w = Words(b, np.concatenate([[0], ends]), SPACES, False)
-            at = w.first[1:]
-            hashes = np.insert(w.hash, at, END)
-            self.tokens.append(np.unique(hashes, return_inverse=True))
-            self.lengths.append((size, np.diff(w.first) + 1))
-            first = last
-
-    def distinct(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        parts = self.grams if kind == GRAMS else self.tokens
-        return _merge([k for k, _ in parts], [np.bincount(i, minlength=len(k)) for k, i in parts])
-
-    def sums(self, kind: int, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Sum over each text of the value of each of its grams or tokens."""
-        out = [np.zeros(0)]
-        for (key, inverse), size in zip(self.grams if kind == GRAMS else self.tokens, self.lengths, strict=True):
-            v = values[np.searchsorted(keys, key)][inverse]
-            n = size[kind]
-            out.append(np.add.reduceat(v, np.concatenate([[0], np.cumsum(n)[:-1]])))
-        return np.concatenate(out)
+def streams(column: pa.Array) -> Iterator[tuple]:
+    """Grams and token hashes of some texts at a time, with the number of either in each text.
+
+    Texts are lower-cased, their words joined by one space and closed by an end.
+    """
+    data, offsets = text_buffers(column)
+    raw, n = data.tobytes(), len(offsets) - 1
+    first = 0
+    pad = b"\n" * DEPTH
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, "right")) - 1)
+        texts = [b" ".join(raw[offsets[i] : offsets[i + 1]].translate(_LOWER).split()) + b"\n" for i in range(first, last)]
+        size = np.array([len(t) for t in texts])
+        b = np.frombuffer(b"".join(x for t in texts for x in (pad, t)), np.uint8)
+        ends = np.cumsum(size + DEPTH)
+        code = b.astype(U)
+        for k in range(1, DEPTH + 1):
+            code[k:] |= b[:-k].astype(U) << U(8 * (DEPTH + 1 - k))
+        real = np.ones(len(b), bool)
+        for k in range(DEPTH):
+            real[ends - size - 1 - k] = False
+        w = Words(b, np.concatenate([[0], ends]), SPACES, False)
+        yield code[real], np.insert(w.hash, w.first[1:], END), size, np.diff(w.first) + 1
+        first = last
+
+
+def distinct(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct grams and distinct tokens of some texts, sorted, with their counts."""
+    found: list[list] = [[], []]
+    for part in streams(column):
+        for kind in (GRAMS, TOKENS):
+            key = np.sort(part[kind])
+            first = groups(key)
+            found[kind].append((key[first], np.diff(np.append(first, len(key)))))
+    return [_merge([k for k, _ in f], [n for _, n in f]) for f in found]
+
+
+def sums(column: pa.Array, keys: list[np.ndarray], values: list[list[np.ndarray]]) -> tuple[list, list[list]]:
+    """Number of grams and tokens of each text, and the sums over them of some values of their keys."""
+    sizes: list = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    out: list = [[[np.zeros(0)] for _ in v] for v in values]
+    for part in streams(column):
+        for kind in (GRAMS, TOKENS):
+            key, inverse = np.unique(part[kind], return_inverse=True)
+            at = np.searchsorted(keys[kind], key)
+            n = part[2 + kind]
+            sizes[kind].append(n)
+            for v, o in zip(values[kind], out[kind], strict=True):
+                o.append(np.add.reduceat(v[at][inverse], np.concatenate([[0], np.cumsum(n)[:-1]])))
+    return [np.concatenate(x) for x in sizes], [[np.concatenate(o) for o in x] for x in out]
 
 
 def bucket_of(kind: int, keys: np.ndarray, bits: int) -> np.ndarray:
@@ -174,10 +196,8 @@ def upper_levels(rows: list[tuple]) -> dict:
 def _count(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = Pieces(batch.column(0))
             rows: list[tuple] = []
-            for kind in (GRAMS, TOKENS):
-                key, n = p.distinct(kind)
+            for kind, (key, n) in enumerate(distinct(batch.column(0))):
                 b = bucket_of(kind, key, bits)
                 order = np.argsort(b, kind="stable")
                 key, n = key[order], n[order]
@@ -229,10 +249,8 @@ def score(docs: DataFrame, trained_on: DataFrame | None = None) -> DataFrame:
     shared = spark.sparkContext.broadcast(upper)
 
     def ask(key, table):
-        p = Pieces(table.column("text"))
         rows = []
-        for kind in (GRAMS, TOKENS):
-            keys, _ = p.distinct(kind)
+        for kind, (keys, _) in enumerate(distinct(table.column("text"))):
             b = bucket_of(kind, keys, bits)
             order = np.argsort(b, kind="stable")
             keys = keys[order]
@@ -257,28 +275,25 @@ def score(docs: DataFrame, trained_on: DataFrame | None = None) -> DataFrame:
         return pa.table(out, pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("values", pa.binary())]))
 
     def finish(key, table, answers):
-        p = Pieces(table.column("text"))
         replies = {(r["kind"], r["bucket"]): r["values"] for r in answers.to_pylist()}
-        found = {}
-        for kind in (GRAMS, TOKENS):
-            keys, _ = p.distinct(kind)
+        found = []
+        for kind, (keys, _) in enumerate(distinct(table.column("text"))):
             b = bucket_of(kind, keys, bits)
             order = np.argsort(b, kind="stable")
             values = np.zeros(len(keys))
             for i, x, y in split(b[order]):
                 values[order[x:y]] = np.frombuffer(replies[kind, i], "<f4" if kind == GRAMS else np.int64)
-            found[kind] = keys, values
-        keys, counts = found[TOKENS]
+            found.append((keys, values))
+        counts = found[TOKENS][1]
         base = np.log10((counts + 0.1) / (n_tokens + 0.1 * (n_kinds + 1)))
-        sizes = [np.concatenate([np.zeros(0, np.int64), *[s[k] for s in p.lengths]]) for k in (GRAMS, TOKENS)]
-        total = p.sums(GRAMS, *found[GRAMS])
+        sizes, ((total,), (known, unigram)) = sums(table.column("text"), [k for k, _ in found], [[found[GRAMS][1]], [(counts > 0).astype(float), base]])
         return pa.table(
             {
                 "doc_id": table.column("doc_id"),
                 "n_tokens": pa.array(sizes[1], pa.int64()),
-                "n_known": pa.array(p.sums(TOKENS, keys, (counts > 0).astype(float)).astype(np.int64)),
+                "n_known": pa.array(known.astype(np.int64)),
                 "train_tokens": pa.array(np.full(len(total), n_tokens, np.int64)),
-                "base_score": pa.array(p.sums(TOKENS, keys, base)),
+                "base_score": pa.array(unigram),
                 "score": pa.array(total),
                 "n_bytes": pa.array(sizes[0], pa.int64()),
                 "bits_per_byte": pa.array(-total * np.log2(10) / np.maximum(sizes[0], 1)),
