@@ -76,7 +76,7 @@ def all_sources_deleted(sources: DataFrame, records: DataFrame) -> DataFrame:
 
 def remove_document(nodes: DataFrame, edges: DataFrame, mentions: DataFrame, record_ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Take records' mentions away and what nothing mentions any more (C17); returns nodes, edges, mentions."""
-    kept = mentions.join(record_ids.select("record_id"), "record_id", "left_anti")
+    kept = mentions.join(record_ids.select("record_id"), "record_id", "left_anti").select(*mentions.columns)
     touched = mentions.join(record_ids.select("record_id"), "record_id", "left_semi").select(*EDGE_KEY).distinct()
     gone = touched.join(kept.select(*EDGE_KEY), EDGE_KEY, "left_anti")
     left = edges.join(gone, EDGE_KEY, "left_anti")
