@@ -43,10 +43,13 @@ def best_rule(host, path, rules: list[tuple[str, str, str]]):
 
 
 def _smoothed(side: str):
-    """Probability of a gram's last character: each context's counts, filled up by the next shorter context's estimate."""
+    """Probability of a gram's last character: each context's counts, filled up by the next shorter context's estimate.
+
+    An address that is an example itself is left out of the counts that judge it, else examples would look too sure.
+    """
     p = F.lit(UNIFORM)
     for k in range(ORDER + 1):
-        p = (F.col(f"{side}{k}") + WEIGHT * p) / (F.col(f"{side}c{k}") + WEIGHT)
+        p = (F.col(f"{side}{k}") - F.col(side) + WEIGHT * p) / (F.col(f"{side}c{k}") - F.col(side) + WEIGHT)
     return p
 
 
@@ -54,7 +57,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     """Add host, path, rule, ratio and verdict to page_id and url of ``pages``; other columns are left out.
 
     URLs that a rule decides are the accepted and the rejected examples. Both models count characters after up to
-    three others. A URL without a rule is allowed if its log-likelihood difference per character reaches the
+    three others, an example being judged without its own rows. A URL without a rule is allowed if its log-likelihood difference per character reaches the
     threshold that separates the examples best (the lowest of equals; 0 where one kind is missing). Null and empty
     URLs have ratio 0. Rows may repeat; each distinct address is scored once.
     """
@@ -82,10 +85,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
             table = table.join(part, F.substring(table["gram"], ORDER + 1 - k, k) == part["context"]).drop("context")
         else:
             table = table.withColumn("ac0", F.lit(totals[0] or 0)).withColumn("rc0", F.lit(totals[1] or 0))
-    table = table.select("gram", F.ln(_smoothed("a") / _smoothed("r")).alias("weight"))
     if counts.count() <= SMALL:
         table = F.broadcast(table)
-    scores = grams.join(table, "gram").groupBy("address").agg((F.sum("weight") / F.count("*")).alias("ratio"))
+    weight = F.ln(_smoothed("a") / _smoothed("r"))
+    scores = grams.join(table, "gram").groupBy("address").agg((F.sum(weight) / F.count("*")).alias("ratio"))
     scored = rows.join(scores, "address", "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
     bins = scored.where("decided is not null").groupBy(F.floor(F.col("ratio") * 1000).alias("bin")).agg(F.count_if(F.col("decided") == "allow").alias("a"), F.count_if(F.col("decided") == "block").alias("r"))
     # At most some ten thousand bins: one for each thousandth of the ratio.
@@ -111,7 +114,7 @@ def _oracle() -> str:
     ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     rule = "CASE " + fit.format(*[f"'{h}{p}'" for _, h, p in ordered]) + " END"
     decided = "CASE " + fit.format(*[f"'{v}'" for v, _, _ in ordered]) + " END"
-    p = {s: reduce(lambda q, k: f"(({s}{k} + {WEIGHT} * {q}) / ({s}c{k} + {WEIGHT}))", range(ORDER + 1), f"CAST({UNIFORM!r} AS DOUBLE)") for s in "ar"}
+    p = {s: reduce(lambda q, k: f"(({s}{k} - {s} + {WEIGHT} * {q}) / ({s}c{k} - {s} + {WEIGHT}))", range(ORDER + 1), f"CAST({UNIFORM!r} AS DOUBLE)") for s in "ar"}
     return f"""
 WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM rest),
@@ -128,8 +131,7 @@ t AS (SELECT gram, a3, r3,
   sum(a3) OVER (PARTITION BY substr(gram, 3, 1)) AS ac1, sum(r3) OVER (PARTITION BY substr(gram, 3, 1)) AS rc1,
   sum(a3) OVER (PARTITION BY substr(gram, 4, 1)) AS a0, sum(r3) OVER (PARTITION BY substr(gram, 4, 1)) AS r0,
   sum(a3) OVER () AS ac0, sum(r3) OVER () AS rc0 FROM g3),
-w AS (SELECT gram, ln({p["a"]} / {p["r"]}) AS weight FROM t),
-scores AS (SELECT address, sum(weight) / count(*) AS ratio FROM grams JOIN w USING (gram) GROUP BY address),
+scores AS (SELECT address, sum(ln({p["a"]} / {p["r"]})) / count(*) AS ratio FROM grams JOIN t USING (gram) GROUP BY address),
 scored AS (SELECT urls.*, coalesce(ratio, 0.0) AS ratio FROM urls LEFT JOIN scores USING (address)),
 bins AS (SELECT floor(ratio * 1000) AS bin, count(*) FILTER (decided = 'allow') AS a, count(*) FILTER (decided = 'block') AS r FROM scored WHERE decided IS NOT NULL GROUP BY 1),
 cuts AS (SELECT bin, sum(a) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / nullif(sum(a) OVER (), 0)
