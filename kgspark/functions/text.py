@@ -38,6 +38,11 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{JS_SPACE}+|{JS_SPACE}+$", "")
 
 
+def let(c: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it; keeps deep expressions linear in size."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def truthy(c: Column) -> Column:
     """A text that counts as given: neither null nor empty."""
     return c.isNotNull() & (c != "")
@@ -66,7 +71,7 @@ def command_name(c: Column) -> Column:
     """The script a command runs, or its first three words that are not flags."""
     script = F.regexp_replace(F.regexp_extract(c, r"scripts?/([^/\s]+)", 1), r"(?i)\.(ts|js|tsx|jsx)$", "")
     words = F.filter(F.split(c, " "), lambda w: ~F.startswith(w, F.lit("--")) & (trim(w) != ""))
-    return F.when(script != "", script).otherwise(F.array_join(F.slice(words, 1, 3), " "))
+    return let(script, lambda x: F.when(x != "", x).otherwise(F.array_join(F.slice(words, 1, 3), " ")))
 
 
 def is_path(c: Column) -> Column:
@@ -75,13 +80,19 @@ def is_path(c: Column) -> Column:
 
 def sanitize_name(c: Column) -> Column:
     """An entity's clean name, or null if it is no name (H4)."""
-    clean = F.nullif(strip_quotes(c), F.lit(""))
-    command = is_command(clean)
-    named = F.when(command, command_name(clean)).otherwise(clean)
-    named = F.when(command & (F.length(named) > 100), None).otherwise(named)
-    named = F.when(is_path(named), F.element_at(F.split(named, r"[/\\]"), -1)).otherwise(named)
-    special = F.length(F.regexp_replace(named, r"[a-zA-Z0-9\s_-]", ""))
-    return F.when((F.length(named) > 150) | (special > 0.3 * F.length(named)), None).otherwise(named)
+
+    def without_command(clean: Column) -> Column:
+        return let(command_name(clean), lambda n: F.when(is_command(clean), F.when(F.length(n) <= 100, n)).otherwise(clean))
+
+    def without_path(named: Column) -> Column:
+        return F.when(is_path(named), F.element_at(F.split(named, r"[/\\]"), -1)).otherwise(named)
+
+    def plausible(named: Column) -> Column:
+        special = F.length(F.regexp_replace(named, r"[a-zA-Z0-9\s_-]", ""))
+        return F.when((F.length(named) > 150) | (special > 0.3 * F.length(named)), None).otherwise(named)
+
+    clean = let(strip_quotes(c), lambda x: F.nullif(x, F.lit("")))
+    return let(let(let(clean, without_command), without_path), plausible)
 
 
 def type_from_relationship(c: Column) -> Column:
@@ -95,7 +106,7 @@ def type_from_relationship(c: Column) -> Column:
 def sanitize_identifier(c: Column, upper: bool = False, prefix: str = "_") -> Column:
     """A safe identifier, or null if nothing is left (H6)."""
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[^a-zA-Z0-9_]", "_"), "_+", "_"), "^_+|_+$", "")
-    s = F.nullif(F.when(s.rlike("^[0-9]"), F.concat(F.lit(prefix), s)).otherwise(s), F.lit(""))
+    s = let(s, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lit(prefix), x)).when(x != "", x))
     return F.upper(s) if upper else s
 
 

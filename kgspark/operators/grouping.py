@@ -45,7 +45,7 @@ def time_windows(records: DataFrame, seconds: Column, window: int, page: str, sa
     """Add group_start: windows anchored at their first record, closed by time or by a change of ``same`` columns.
 
     Records are in one time order for each page. A change closes the group even if the old value comes back. Runs
-    without a change are found by windows in the plan; only a run is walked, by jumps of one window.
+    without a change are found by windows in the plan; only within a run are rows walked, as a sorted stream.
     """
     w = Window.partitionBy(page).orderBy("_s", order)
     rows = records.withColumn("_s", seconds.cast("double"))
@@ -55,17 +55,24 @@ def time_windows(records: DataFrame, seconds: Column, window: int, page: str, sa
     rows = rows.withColumn("_run", F.sum(F.when(change, 1).otherwise(0)).over(w))
     schema = rows.select("*", F.lit(0.0).alias("group_start")).schema
 
-    def walk(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values(["_s", order], kind="stable")
-        s = run["_s"].to_numpy()
-        start, i = np.empty(len(s)), 0
-        while i < len(s):
-            j = int(np.searchsorted(s, s[i] + window, "right"))
-            start[i:j] = s[i]
-            i = j
-        return run.assign(group_start=start)
-
-    return rows.groupBy(page, "_run").applyInPandas(walk, schema).drop("_s", "_run")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, anchor = None, 0.0
+        for batch in batches:
+            s, start = batch["_s"].to_numpy(), np.empty(len(batch))
+            keys = list(zip(batch[page], batch["_run"], strict=True))
+            i = 0
+            while i < len(s):
+                if keys[i] != key or s[i] > anchor + window:
+                    key, anchor = keys[i], s[i]
+                j = i + 1
+                while j < len(s) and keys[j] == key and s[j] <= anchor + window:
+                    j += 1
+                start[i:j] = anchor
+                i = j
+            yield batch.assign(group_start=start)
+
+    runs = rows.repartition(page, "_run").sortWithinPartitions(page, "_run", "_s", order)
+    return runs.mapInPandas(walk, schema).drop("_s", "_run")
 
 
 def least_size(grouped: DataFrame, n: int, group: str = "group_id") -> DataFrame:

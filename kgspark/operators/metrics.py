@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions.dates import half_up
+from kgspark.functions.text import normalize_text
 
 
 def summary(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -132,3 +133,19 @@ def run_log(log: DataFrame, run: DataFrame) -> DataFrame:
 def next_range(log: DataFrame, days: int) -> DataFrame:
     """The next range to make ends where the earliest one starts."""
     return log.agg(F.min("start").alias("end")).select(F.date_sub("end", days).alias("start"), "end")
+
+
+def matched_items(responses: DataFrame, items: DataFrame) -> DataFrame:
+    """Which responses (doc_id, text) satisfy which required items (item_id, text) (H34): doc_id, item_id.
+
+    Both sides are normalized once. Words meet by an equi-join and are counted; only the test for whole items, a
+    stated query set, looks at every pair.
+    """
+    r = responses.select("doc_id", normalize_text(F.col("text")).alias("r"))
+    i = items.select("item_id", normalize_text(F.col("text")).alias("i"))
+    words = i.select("item_id", F.filter(F.split("i", " "), lambda w: F.length(w) > 2).alias("ws")).select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    words = words.groupBy("item_id", "n", "w").agg(F.count("*").alias("times"))
+    have = r.select("doc_id", F.explode(F.array_distinct(F.split("r", " "))).alias("w"))
+    by_words = have.join(words, "w").groupBy("doc_id", "item_id", "n").agg(F.sum("times").alias("found")).where(F.col("found") >= 0.7 * F.col("n"))
+    whole = r.join(F.broadcast(i), F.contains("r", F.col("i")))
+    return whole.select("doc_id", "item_id").union(by_words.select("doc_id", "item_id")).distinct()

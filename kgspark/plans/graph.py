@@ -46,17 +46,16 @@ def graph_page(spark, sf_dir):
 
 
 _PATHS = """
-WITH RECURSIVE base AS (SELECT 's' || s_suppkey AS src, 'LOCATED_IN' AS type, 'n' || s_nationkey AS dst FROM supplier WHERE s_suppkey <= 20 UNION ALL SELECT 'n' || n_nationkey, 'PART_OF', 'r' || n_regionkey FROM nation),
+WITH RECURSIVE """ + GRAPH.strip() + """, base AS (SELECT src, type, dst FROM edges),
 step AS (SELECT src AS a, dst AS b, src || '|' || type || '|' || dst AS e FROM base UNION SELECT dst, src, src || '|' || type || '|' || dst FROM base WHERE src <> dst),
-walk AS (SELECT [a, b] AS n, [e] AS es, b AS last FROM step WHERE a = 's1' UNION ALL SELECT list_append(n, b), list_append(es, e), b FROM walk JOIN step ON a = last WHERE NOT list_contains(es, e) AND len(es) < 4)
+walk AS (SELECT [a, b] AS n, [e] AS es, b AS last FROM step WHERE a = 's1' UNION ALL SELECT list_append(n, b), list_append(es, e), b FROM walk JOIN step ON a = last WHERE NOT list_contains(es, e) AND len(es) < 3)
 SELECT array_to_string(n, '>') AS path, len(es) AS depth, last AS target FROM walk
 """
 
 
 @query(_PATHS)
 def paths_bounded(spark, sf_dir):
-    e = edges(spark, sf_dir).where("type in ('LOCATED_IN', 'PART_OF') and (src rlike '^n' or (src rlike '^s' and cast(substr(src, 2) as int) <= 20))")
-    return G.paths(e, "s1", 4).select(F.array_join("nodes", ">").alias("path"), "depth", "target")
+    return G.paths(edges(spark, sf_dir), "s1", 3).select(F.array_join("nodes", ">").alias("path"), "depth", "target")
 
 
 @query(f"WITH {GRAPH} SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM edges WHERE type = 'PLACED_BY' UNION SELECT dst FROM edges WHERE type = 'PLACED_BY')")

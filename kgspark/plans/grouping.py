@@ -72,13 +72,13 @@ def user_sessions_with_context(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT event_id, user_id % 4 AS page, event_type, epoch(ts) AS s, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS n FROM events WHERE user_id < 40),
+    """WITH RECURSIVE e AS (SELECT event_id, user_id % 16 AS page, event_type, epoch(ts) AS s, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS n FROM events),
 f AS (SELECT *, s AS st FROM e WHERE n = 1 UNION ALL
   SELECT e.*, CASE WHEN e.s - f.st > 3600 OR e.event_type IS DISTINCT FROM f.event_type THEN e.s ELSE f.st END FROM f JOIN e ON e.page = f.page AND e.n = f.n + 1)
 SELECT event_id, page, round(st, 3) AS group_start FROM f"""
 )
 def time_window_groups(spark, sf_dir):
-    e = _events(spark, sf_dir).where("user_id < 40").select("event_id", (F.col("user_id") % 4).alias("page"), "event_type", "s", "ord")
+    e = _events(spark, sf_dir).select("event_id", (F.col("user_id") % 16).alias("page"), "event_type", "s", "ord")
     return G.time_windows(e, F.col("s"), 3600, "page", ["event_type"]).select("event_id", "page", F.round("group_start", 3).alias("group_start"))
 
 

@@ -78,9 +78,9 @@ def cutoff_filter(spark, sf_dir):
     return R.cutoff(records(spark, sf_dir), date, datetime.datetime(2024, 1, 11)).select("_id")
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (n > 0) AS with_mentions, count(*) FILTER (n = 0) AS orphans, avg(n) AS mean_mentions FROM (SELECT n_nationkey, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 3 = 0 GROUP BY 1)")
+@query("SELECT count(*) AS total, count(*) FILTER (n > 0) AS with_mentions, count(*) FILTER (n = 0) AS orphans, avg(n) AS mean_mentions FROM (SELECT n_nationkey, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY 1)")
 def mention_stats(spark, sf_dir):
-    s = read(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.collect_list("s_suppkey").alias("mentions"))
+    s = read(spark, sf_dir, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.collect_list("s_suppkey").alias("mentions"))
     return R.mention_statistics(read(spark, sf_dir, "nation").join(s, "n_nationkey", "left"))
 
 
@@ -91,10 +91,9 @@ def activity_window(spark, sf_dir):
     return R.activity(states, r, minutes=750).select("source", F.unix_seconds("synced_at").alias("synced_s"), "n")
 
 
-@query(_W + "SELECT _id, 'ID: ' || _id || chr(10) || '# ' || title || chr(10) || chr(10) || substr(content, 1, 50) AS text, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens, substr(content, 1, 500) AS snippet FROM records")
+@query(_W + "SELECT _id, 'ID: ' || _id || chr(10) || '# ' || title || chr(10) || chr(10) || content AS text, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens, substr(content, 1, 500) AS snippet FROM records")
 def content_texts(spark, sf_dir):
-    c = F.substring("content", 1, 50)
-    return records(spark, sf_dir).select("_id", T.content_text(F.col("_id"), F.col("title"), c).alias("text"), T.estimate_tokens(F.col("content")).alias("tokens"), T.snippet(F.col("content")).alias("snippet"))
+    return records(spark, sf_dir).select("_id", T.content_text(F.col("_id"), F.col("title"), F.col("content")).alias("text"), T.estimate_tokens(F.col("content")).alias("tokens"), T.snippet(F.col("content")).alias("snippet"))
 
 
 _CHUNKS = r"""

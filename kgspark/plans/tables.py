@@ -58,12 +58,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("vec_id")
     kind = F.element_at(F.array(F.lit("chunk"), F.lit("entity"), F.lit("relationship")), (v % 3 + 1).cast("int"))
     key = F.concat_ws("_", "source", "lang", F.col("doc_id").cast("string"))
-    names = F.broadcast(read(spark, sf_dir, "documents").where("doc_id < 200").select(F.col("doc_id").alias("_d"), key.alias("record_id")))
+    documents = read(spark, sf_dir, "documents")
+    names = documents.select(F.col("doc_id").alias("_d"), key.alias("record_id"))
     rows = read(spark, sf_dir, "embeddings").select(
         v.alias("id"),
         kind.alias("type"),
         "embedding",
-        (v * 7 % 200).alias("_d"),
+        (v * 7 % documents.count()).alias("_d"),
         F.when(v % 3 == 1, v).alias("entity_id"),
         F.when(v % 3 == 2, v - 1).alias("source_entity_id"),
         F.when(v % 3 == 2, v + 2).alias("target_entity_id"),
@@ -77,16 +78,18 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities and the records they come from."""
     v = F.col("vec_id")
     key = F.concat_ws("_", "source", "lang", F.col("doc_id").cast("string"))
-    names = read(spark, sf_dir, "documents").where("doc_id < 200").select(F.col("doc_id").alias("d"), key.alias("_id"))
-    pairs = read(spark, sf_dir, "embeddings").where(v % 3 == 1).select(v.cast("string").alias("entity_id"), F.posexplode(F.array(v * 3 % 200, (v * 5 + 1) % 200)).alias("o", "d"))
-    return pairs.join(F.broadcast(names), "d").groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "_id"))), lambda x: x["_id"]).alias("source_record_ids"))
+    documents = read(spark, sf_dir, "documents")
+    n = documents.count()
+    names = documents.select(F.col("doc_id").alias("d"), key.alias("_id"))
+    pairs = read(spark, sf_dir, "embeddings").where(v % 3 == 1).select(v.cast("string").alias("entity_id"), F.posexplode(F.array(v * 3 % n, (v * 5 + 1) % n)).alias("o", "d"))
+    return pairs.join(names, "d").groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "_id"))), lambda x: x["_id"]).alias("source_record_ids"))
 
 
 def record_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed edges between records; a fourth of them have none going out."""
-    docs = read(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", F.concat_ws("_", "source", "lang", F.col("doc_id").cast("string")).alias("_id"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("_", "source", "lang", F.col("doc_id").cast("string")).alias("_id"))
     d = F.col("doc_id")
-    out = docs.where(d % 4 != 0).select(F.col("_id").alias("src"), ((d * 7 + 3) % 200).alias("t"), F.concat(F.lit("T"), (d % 3).cast("string")).alias("type"), ((d % 10 + 1) / 10.0).alias("confidence"))
+    out = docs.where(d % 4 != 0).select(F.col("_id").alias("src"), ((d * 7 + 3) % docs.count()).alias("t"), F.concat(F.lit("T"), (d % 3).cast("string")).alias("type"), ((d % 10 + 1) / 10.0).alias("confidence"))
     return out.join(docs.select(F.col("doc_id").alias("t"), F.col("_id").alias("dst")), "t").select("src", "dst", "type", "confidence")
 
 
@@ -104,15 +107,16 @@ def request(spark: SparkSession, sf_dir: str, **options) -> Request:
 
 SEARCH = f"""
 {RECORDS.strip()},
+n AS (SELECT count(*) AS n FROM documents),
 vectors AS (
   SELECT e.vec_id AS id, ['chunk', 'entity', 'relationship'][e.vec_id % 3 + 1] AS type, CAST(embedding AS DOUBLE[]) AS e, r._id AS record_id
-  FROM embeddings e JOIN records r ON r.doc_id = e.vec_id * 7 % 200),
+  FROM embeddings e, n, records r WHERE r.doc_id = e.vec_id * 7 % n),
 metadata AS (
-  SELECT e.vec_id AS entity_id, o, r._id FROM embeddings e, (VALUES (0), (1)) AS t(o), records r
-  WHERE e.vec_id % 3 = 1 AND r.doc_id = CASE o WHEN 0 THEN e.vec_id * 3 % 200 ELSE (e.vec_id * 5 + 1) % 200 END),
+  SELECT e.vec_id AS entity_id, o, r._id FROM embeddings e, n, (VALUES (0), (1)) AS t(o), records r
+  WHERE e.vec_id % 3 = 1 AND r.doc_id = CASE o WHEN 0 THEN e.vec_id * 3 % n ELSE (e.vec_id * 5 + 1) % n END),
 edges AS (
   SELECT a._id AS src, b._id AS dst, 'T' || (a.doc_id % 3) AS type, (a.doc_id % 10 + 1) / 10.0::DOUBLE AS confidence
-  FROM records a JOIN records b ON b.doc_id = (a.doc_id * 7 + 3) % 200 WHERE a.doc_id < 200 AND a.doc_id % 4 <> 0),
+  FROM records a, n, records b WHERE b.doc_id = (a.doc_id * 7 + 3) % n AND a.doc_id % 4 <> 0),
 q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id IN (0, 1, 5)),
 hits AS (SELECT v.*, q.vec_id AS query, round(list_cosine_similarity(e, q), 6) AS score FROM vectors v, q),
 named AS (
