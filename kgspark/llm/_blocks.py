@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kgspark.llm._text import U
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Keys of one bucket, at about six bytes of text a key.
 BUCKET_KEYS = 2 << 20
 

@@ -17,7 +17,7 @@ from kgspark.llm._text import SPACES, U, Words, mix, text_buffers
 DEPTH = 5
 #: Depth below which trees are built in buckets; at most 2**16 contexts of this depth meet at the top.
 TOP = 2
-PIECE = 3 << 20
+PIECE = 2 << 20
 GRAMS, TOKENS = 0, 1
 #: The end of a text among the hashed tokens, and its byte (no word holds white space).
 END = U(0x0E0D0E0D0E0D0E0D)

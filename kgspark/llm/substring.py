@@ -24,7 +24,7 @@ class _Block:
         ids = table.column("doc_id").combine_chunks().fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
         size = window // 2
         self.count, self.anchors, self.windows, docs, aligned = [], [], [], [], []
-        for first, last, data, offsets in pieces(table.column("text"), 4 << 20):
+        for first, last, data, offsets in pieces(table.column("text")):
             w = Words(data, offsets, SPACES, False)
             n = np.diff(w.first)
             self.count.append(n)
