@@ -202,7 +202,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     key = F.to_json(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")))
     # Other columns travel in one struct, so that none of their names can clash.
-    packed = docs.select(key.alias("k"), "doc_id", "text", F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
+    packed = docs.select(key.alias("k"), "doc_id", "text", F.struct(F.lit(0).alias("no" + max(map(len, docs.columns)) * "_"), *rest).alias("rest"))
     spans = spans.select(F.to_json(F.struct("doc_id", "text_hash")).alias("k2"), "spans", "actions")
     joined = packed.join(spans, F.col("k") == F.col("k2"), "left").select("doc_id", "text", "spans", "actions", "rest")
     out = joined.mapInArrow(_replace, packed.select("doc_id", "text", "rest").schema)
