@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions.ids import embedding_checksum
-from kgspark.functions.text import content_text, trim
+from kgspark.functions.text import content_text, entity_text, trim
+from kgspark.operators.records import needs_reembedding
 
 SIZE, OVERLAP = 2000, 200
 
@@ -104,3 +105,10 @@ def outdated(vectors: DataFrame, records: DataFrame) -> DataFrame:
 def embedding_state(metadata: DataFrame) -> DataFrame:
     """Metadata with the checksum of what would be embedded."""
     return metadata.withColumn("content_checksum", embedding_checksum(text=F.col("name"), entityType=F.col("type"), description=F.col("description")))
+
+
+def refresh_embeddings(metadata: DataFrame, embedder: Callable | None = None) -> DataFrame:
+    """Metadata (id, name, type, description, embedded_checksum) whose content changed, embedded anew."""
+    stale = needs_reembedding(embedding_state(metadata))
+    fresh = embed(stale.withColumn("text", entity_text(F.col("type"), F.col("name"), F.col("description"))), "text", embedder)
+    return fresh.select("id", "embedding", F.col("content_checksum").alias("embedded_checksum"))

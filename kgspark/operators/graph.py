@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions.dates import half_up
 from kgspark.functions.ids import entity_id, relationship_id, relationship_key
-from kgspark.functions.text import GENERIC_RELATIONSHIPS, HIGH_VALUE_TYPES, id_name, normalize_name
+from kgspark.functions.text import GENERIC_RELATIONSHIPS, HIGH_VALUE_TYPES, normalize_name
 
 EDGE_KEY = ["src", "type", "dst"]
 MENTION_TYPES = ["MENTIONED_IN", "MENTIONS_REL"]
@@ -286,5 +286,23 @@ def discover_types(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.select("type").distinct().join(known.select("type"), "type", "left_anti")
 
 
-def canonical(name: Column) -> Column:
-    return id_name(name)
+def existing_ids(ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of some ids that are nodes."""
+    return ids.join(nodes.select("id"), "id", "left_semi")
+
+
+def existing_edges(keys: DataFrame, edges: DataFrame) -> DataFrame:
+    """Those of some edge keys that are edges."""
+    return keys.join(edges.select(*EDGE_KEY), EDGE_KEY, "left_semi")
+
+
+def edges_from(edges: DataFrame, prefix: str, skip: int = 0, limit: int = 1000) -> DataFrame:
+    """A page of the edges whose source starts with a text; a missing confidence counts as 1."""
+    rows = edges.where(F.startswith("src", F.lit(prefix))).withColumn("confidence", F.when(F.coalesce("confidence", F.lit(0.0)) == 0, 1.0).otherwise(F.col("confidence")))
+    return rows.orderBy(*EDGE_KEY).offset(skip).limit(limit)
+
+
+def index_config_entities(nodes: DataFrame, edges: DataFrame, entities: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges with entities (id, type, title) and links that a configuration extracts."""
+    new = entities.select("id", F.col("type").alias("label"), "title").dropDuplicates(["id"])
+    return upsert_nodes(nodes, new), upsert_edges(edges, links)

@@ -149,3 +149,14 @@ def matched_items(responses: DataFrame, items: DataFrame) -> DataFrame:
     by_words = have.join(words, "w").groupBy("doc_id", "item_id", "n").agg(F.sum("times").alias("found")).where(F.col("found") >= 0.7 * F.col("n"))
     whole = r.join(F.broadcast(i), F.contains("r", F.col("i")))
     return whole.select("doc_id", "item_id").union(by_words.select("doc_id", "item_id")).distinct()
+
+
+def evaluate(retrieved: DataFrame, relevant: DataFrame) -> DataFrame:
+    """Precision, recall, F1, reciprocal rank, NDCG and Jaccard of each query."""
+    return precision_recall(retrieved, relevant).join(mrr_ndcg(retrieved, relevant), "query", "left").join(jaccard(retrieved, relevant), "query", "left").fillna(0.0, ["mrr", "ndcg"])
+
+
+def formatted(metrics: DataFrame, names: list[str]) -> DataFrame:
+    """A line of text for each query."""
+    parts = [F.format_string(f"{n}: %.3f", F.col(n)) for n in names]
+    return metrics.select("query", F.concat_ws(", ", *parts).alias("line"))

@@ -5,7 +5,10 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from kgspark.operators import chunks as C
 from kgspark.operators import extraction as E
+from kgspark.operators import graph as G
+from kgspark.operators import metrics as M
 from kgspark.operators import registry as R
 from kgspark.operators import workflows as W
 from kgspark.sources import discovery as D
@@ -61,3 +64,29 @@ def test_extraction_statuses(spark):
     assert {x.record_id: x.status for x in g["status"].collect()} == {"1": "success", "2": "failed", "3": "toxic", "4": "empty", "7": "success"}
     assert g["nodes"].count() == 2 and g["edges"].count() == 2 and g["mentions"].count() == 4
     assert {x.status: x.n for x in E.statistics(g["results"], 2.0).collect()}["success"] == 2
+
+
+def test_existence_and_pages(spark):
+    e = spark.createDataFrame([("a1", "T", "b", None), ("a2", "T", "b", 0.5), ("c", "T", "b", 0.0)], "src string, type string, dst string, confidence double")
+    n = spark.createDataFrame([("a1", "L", "t")], "id string, label string, title string")
+    assert G.existing_ids(spark.createDataFrame([("a1",), ("x",)], "id string"), n).count() == 1
+    assert G.existing_edges(e.select("src", "type", "dst"), e.where("src = 'c'")).count() == 1
+    assert [r.confidence for r in G.edges_from(e, "a").collect()] == [1.0, 0.5] and G.edges_from(e, "a", 1, 1).first().src == "a2"
+    ents = spark.createDataFrame([("z", "Tag", "Z"), ("z", "Tag", "Z")], "id string, type string, title string")
+    nodes, edges = G.index_config_entities(n, e, ents, e.where("src = 'c'"))
+    assert nodes.count() == 2 and edges.count() == 3
+
+
+def test_metrics_bundle(spark):
+    got = spark.createDataFrame([("q", 1, "a"), ("q", 2, "b")], "query string, pos int, id string")
+    want = spark.createDataFrame([("q", "a")], "query string, id string")
+    m = M.evaluate(got, want)
+    assert m.first().jaccard == 0.5 and M.formatted(m, ["precision", "mrr"]).first().line == "precision: 0.500, mrr: 1.000"
+
+
+def test_refresh_embeddings(spark):
+    meta = spark.createDataFrame([("1", "Ann", "Person", None, None)], "id string, name string, type string, description string, embedded_checksum string")
+    one = C.refresh_embeddings(meta)
+    assert one.count() == 1
+    done = meta.drop("embedded_checksum").join(one.select("id", "embedded_checksum"), "id")
+    assert C.refresh_embeddings(done).count() == 0
