@@ -14,7 +14,7 @@ from kgspark.llm._text import NON_ALNUM, U, Words, pieces
 WINDOW = 10
 #: Items are broadcast in blocks of at most so many bytes of text; a larger benchmark takes several passes.
 BLOCK_BYTES = 32 << 20
-HITS = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+HITS = "doc_id long, text_hash long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
 class Windows:
@@ -94,7 +94,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     is one pass without a shuffle of texts; items go out in blocks of bounded size, one pass pair per block.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
@@ -113,12 +113,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
         found = hits if found is None else found.union(hits)
     if blocks > 1:
         found = (
-            found.groupBy("doc_id", "n_words")
-            .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+            found.groupBy("doc_id", "text_hash", "n_words")
+            .agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("n"))
             .withColumn("spans", _merged("spans"))
+            # Repeated rows have met in one; each pass has brought each of them once.
+            .withColumn("n", F.explode(F.sequence(F.lit(1), (F.col("n") / blocks).cast("int"))))
         )
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return found.withColumn("n_hit", n_hit)
+    return found.select("doc_id", "n_words", "spans", "items", n_hit.alias("n_hit"))
 
 
 def _merged(column: str):
@@ -173,11 +175,12 @@ def _prober(shared):
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(first, last - first),
+                        batch.column(2).slice(first, last - first),
                         pa.array(np.diff(w.first), pa.int64()),
                         pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                         pa.array([sorted(set(x)) for x in names], pa.list_(pa.string())),
                     ],
-                    ["doc_id", "n_words", "spans", "items"],
+                    ["doc_id", "text_hash", "n_words", "spans", "items"],
                 )
 
     return run
