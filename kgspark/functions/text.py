@@ -161,7 +161,9 @@ def estimate_tokens(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Lower case, punctuation to spaces, white space collapsed."""
-    return trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[.,;:!?()\[\]{}'\"]", " "), rf"{JS_SPACE}+", " "))
+    # Every mark and kind of white space becomes a space, so that the pattern only has to find runs of spaces.
+    blank = ".,;:!?()[]{}'\"\t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+    return F.trim(F.regexp_replace(F.translate(F.lower(c), blank, " " * len(blank)), " {2,}", " "))
 
 
 def item_matched(response: Column, item: Column) -> Column:

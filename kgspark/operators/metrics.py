@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions.dates import half_up
-from kgspark.functions.text import normalize_text
+from kgspark.functions.text import let, normalize_text
 
 
 def summary(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -135,20 +135,34 @@ def next_range(log: DataFrame, days: int) -> DataFrame:
     return log.agg(F.min("start").alias("end")).select(F.date_sub("end", days).alias("start"), "end")
 
 
-def matched_items(responses: DataFrame, items: DataFrame) -> DataFrame:
+def matched_items(responses: DataFrame, items: DataFrame, small: int = 1000) -> DataFrame:
     """Which responses (doc_id, text) satisfy which required items (item_id, text) (H34): doc_id, item_id.
 
-    Both sides are normalized once. Words meet by an equi-join and are counted; only the test for whole items, a
-    stated query set, looks at every pair.
+    An item is satisfied if it stands whole in a response or if 0.7 of its words of over two letters do. Pairs come
+    from equi-joins: a response with 0.7 of the words has one of the item's rarest 0.3 and a little more, rarity being
+    the number of responses with the word; one that holds a whole item has all its words but the first and last, so
+    items of seven counted words or more need no other search and shorter ones are sought by their longest inner word.
+    Items of one or two words have none and meet every response; they are broadcast up to ``small`` of them. Null
+    texts satisfy nothing; an item without words is in every response. Repeated rows give one row.
     """
-    r = responses.select("doc_id", normalize_text(F.col("text")).alias("r"))
-    i = items.select("item_id", normalize_text(F.col("text")).alias("i"))
-    words = i.select("item_id", F.filter(F.split("i", " "), lambda w: F.length(w) > 2).alias("ws")).select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    words = words.groupBy("item_id", "n", "w").agg(F.count("*").alias("times"))
+    r = responses.select("doc_id", normalize_text(F.col("text")).alias("r")).where("r is not null")
+    i = items.select("item_id", normalize_text(F.col("text")).alias("i")).where("i is not null").distinct()
+    i = i.withColumn("all", F.split("i", " ")).withColumn("ws", F.filter("all", lambda w: F.length(w) > 2)).withColumn("n", F.size("ws"))
     have = r.select("doc_id", F.explode(F.array_distinct(F.split("r", " "))).alias("w"))
-    by_words = have.join(words, "w").groupBy("doc_id", "item_id", "n").agg(F.sum("times").alias("found")).where(F.col("found") >= 0.7 * F.col("n"))
-    whole = r.join(F.broadcast(i), F.contains("r", F.col("i")))
-    return whole.select("doc_id", "item_id").union(by_words.select("doc_id", "item_id")).distinct()
+    words = i.select("item_id", "i", "n", F.explode("ws").alias("w")).groupBy("item_id", "i", "n", "w").agg(F.count("*").alias("times"))
+    frequency = have.join(words.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("f"))
+    rarest = Window.partitionBy("item_id", "i").orderBy(F.coalesce("f", F.lit(0)), "w")
+    prefix = words.join(frequency, "w", "left").withColumn("before", F.sum("times").over(rarest) - F.col("times"))
+    prefix = prefix.where(F.col("n") - F.col("before") >= 0.7 * F.col("n")).select("item_id", "i", "w")
+    inner = i.where((F.size("all") > 2) & (F.col("n") < 7)).withColumn("inner", F.slice("all", F.lit(2), F.size("all") - 2))
+    anchor = inner.select("item_id", "i", F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("length"), w.alias("w"))))["w"].alias("w"))
+    pairs = have.join(prefix.union(anchor), "w").select(F.col("doc_id").alias("d"), "item_id", "i").distinct()
+    pairs = pairs.join(i.select(F.col("item_id").alias("id"), F.col("i").alias("t"), "ws", "n"), F.col("item_id").eqNullSafe(F.col("id")) & (F.col("i") == F.col("t")))
+    found = let(F.array_intersect("ws", F.split("r", " ")), lambda c: F.size(F.filter("ws", lambda w: F.array_contains(c, w))))
+    met = r.join(pairs, F.col("doc_id").eqNullSafe(F.col("d"))).where(F.contains("r", F.col("i")) | ((F.col("n") > 0) & (found >= 0.7 * F.col("n"))))
+    brief = i.where(F.size("all") < 3).select("item_id", "i")
+    brief = F.broadcast(brief) if brief.limit(small + 1).count() <= small else brief
+    return met.select("doc_id", "item_id").union(r.join(brief, F.contains("r", F.col("i"))).select("doc_id", "item_id")).distinct()
 
 
 def evaluate(retrieved: DataFrame, relevant: DataFrame) -> DataFrame:

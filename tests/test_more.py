@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from kgspark.functions.text import item_matched
 from kgspark.operators import chunks as C
 from kgspark.operators import extraction as E
 from kgspark.operators import graph as G
@@ -90,3 +91,17 @@ def test_refresh_embeddings(spark):
     assert one.count() == 1
     done = meta.drop("embedded_checksum").join(one.select("id", "embedded_checksum"), "id")
     assert C.refresh_embeddings(done).count() == 0
+
+
+def test_matched_items_equals_comparing_every_pair(spark):
+    texts = ["the brown fox jumps over lazy dogs and runs", "xthe brown fox jumpsy", "fox", "", None, "of a b", "one two three four five six seven", "one, two! three four five", "one two three four five", "(The) Brown\n fox jumps"]
+    wanted = [*texts, "brown", "own fo", "a b", "six one two three", "five four three two one", "one one one six six six nine"]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, "brown fox")], "doc_id int, text string")
+    items = spark.createDataFrame([*((str(k), t) for k, t in enumerate(wanted)), ("3", wanted[3])], "item_id string, text string")
+    pairs = docs.join(items.withColumnRenamed("text", "item"), item_matched(F.col("text"), F.col("item"))).select("doc_id", "item_id").distinct()
+    want = sorted(map(tuple, pairs.collect()), key=repr)
+    for small in (1000, 0):
+        assert sorted(map(tuple, M.matched_items(docs, items, small).collect()), key=repr) == want
+    assert len(want) > 20
+    assert M.matched_items(docs.limit(0), items).count() == 0
+    assert M.matched_items(docs, items.limit(0)).count() == 0
