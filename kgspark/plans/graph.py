@@ -49,7 +49,7 @@ _PATHS = """
 WITH RECURSIVE """ + GRAPH.strip() + """, base AS (SELECT src, type, dst FROM edges),
 step AS (SELECT src AS a, dst AS b, src || '|' || type || '|' || dst AS e FROM base UNION SELECT dst, src, src || '|' || type || '|' || dst FROM base WHERE src <> dst),
 walk AS (SELECT [a, b] AS n, [e] AS es, b AS last FROM step WHERE a = 's1' UNION ALL SELECT list_append(n, b), list_append(es, e), b FROM walk JOIN step ON a = last WHERE NOT list_contains(es, e) AND len(es) < 3)
-SELECT array_to_string(n, '>') AS path, len(es) AS depth, last AS target FROM walk
+SELECT array_to_string(n, '>') AS path, CAST(len(es) AS INT) AS depth, last AS target FROM walk
 """
 
 

@@ -135,7 +135,7 @@ def embedding_checksum(spark, sf_dir):
 
 
 @query(
-    f"SELECT event_id, {START} + event_id * 1000 AS from_seconds, {START} + event_id * 1000 AS from_millis, CASE WHEN event_id % 2 = 0 THEN {START} END AS parsed, CAST({START} + event_id AS VARCHAR) AS unix FROM events"
+    f"SELECT event_id, {START} + event_id * 1000 AS from_seconds, {START} + event_id * 1000 AS from_millis, CASE WHEN event_id % 2 = 0 THEN CAST({START} AS BIGINT) END AS parsed, CAST({START} + event_id AS VARCHAR) AS unix FROM events"
 )
 def date_coercion(spark, sf_dir):
     e = F.col("event_id")

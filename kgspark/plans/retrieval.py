@@ -88,6 +88,6 @@ def first_wins_dedup(spark, sf_dir):
     return S.first_wins(rows, "label", [F.desc("score"), F.col("id")])
 
 
-@query(f"WITH {SEARCH} SELECT type, count(*) AS points, max(len(e)) AS dimension FROM vectors GROUP BY type")
+@query(f"WITH {SEARCH} SELECT type, count(*) AS points, CAST(max(len(e)) AS INT) AS dimension FROM vectors GROUP BY type")
 def vector_stats(spark, sf_dir):
     return vectors(spark, sf_dir).groupBy("type").agg(F.count("*").alias("points"), F.max(F.size("embedding")).alias("dimension"))
