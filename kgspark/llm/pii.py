@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +16,11 @@ from kgspark.llm._shared import materialize
 from kgspark.llm._text import NON_ALNUM, Words, pieces
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-#: Words to either side of a protected entity that count as its context.
-REACH = 8
-#: Different texts in which a term must stand near an entity before its disclosure is estimated.
+#: Different texts in which a term must stand with an entity before its disclosure is estimated.
 SUPPORT = 3
 #: Share of an entity's information that a term gives away: generalised from the first on, removed from the second.
 GENERALISE, REMOVE = 0.75, 0.95
-#: Flagged (entity, term) pairs are broadcast up to so many; beyond, they are joined by shuffle.
+#: Flagged terms are sent to all tasks up to so many; beyond, they are joined by shuffle.
 SMALL = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -70,55 +68,143 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def contexts(text: str, spans: list[tuple]) -> list[tuple[str, int, int, int]]:
-    """Entity, term (hash), start and end of each word near a protected entity."""
+def visible(text: str, spans: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term (hash), start and end of each word that no match overlaps; the others belong to their match."""
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     w = Words(raw, np.array([0, len(raw)]), NON_ALNUM, True)
     place = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    start, end, term = place[w.start].tolist(), place[w.end].tolist(), w.hash.view(np.int64).tolist()
-    # Words that overlap a pattern's match belong to it.
-    inside = [False] * len(start)
-    for s, _, e, _ in spans:
-        for k in range(bisect.bisect_right(end, s), bisect.bisect_left(start, e)):
-            inside[k] = True
-    out = []
-    for s, kind, e, value in spans:
-        before = [k for k in range(max(0, bisect.bisect_right(end, s) - REACH), bisect.bisect_right(end, s))]
-        after = [k for k in range(bisect.bisect_left(start, e), min(len(start), bisect.bisect_left(start, e) + REACH))]
-        out += [(f"{KINDS[kind]}:{value}", term[k], start[k], end[k]) for k in before + after if not inside[k]]
-    return out
+    start, end = place[w.start], place[w.end]
+    edge = np.zeros(len(start) + 1, np.int64)
+    low, high = np.searchsorted(end, [s[0] for s in spans], "right"), np.searchsorted(start, [s[2] for s in spans], "left")
+    np.add.at(edge, low, 1)
+    np.add.at(edge, np.maximum(low, high), -1)
+    keep = np.cumsum(edge)[:-1] == 0
+    return w.hash.view(np.int64)[keep], start[keep], end[keep]
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-_NEAR = pa.struct([("entity", pa.string()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_ACTION = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("action", pa.string())])
+_FOUND = "doc_id long, text_hash long, spans array<struct<start:long,kind:int,end:long>>"
+_ACTIONS = "array<struct<start:long,end:long,action:string>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches of each row and, where it has any, their distinct values and the distinct terms of the text."""
+    context = TaskContext.get()
+    row = (context.partitionId() if context else 0) << 33
     for batch in batches:
-        spans, near, entities = [], [], []
+        spans, terms, entities = [], [], []
         for text in batch.column(2):
             found = base_spans(text.as_py() or "")
             spans.append([{"start": s, "kind": k, "end": e} for s, k, e, _ in found])
-            entities.append([f"{KINDS[k]}:{v}" for _, k, _, v in found])
-            near.append([dict(zip(("entity", "term", "start", "end"), c, strict=True)) for c in contexts(text.as_py(), found)] if found else [])
+            entities.append(sorted({f"{KINDS[k]}:{v}" for _, k, _, v in found}))
+            terms.append(np.unique(visible(text.as_py(), found)[0]) if found else [])
         yield pa.record_batch(
-            [batch.column(0), batch.column(1), pa.array(spans, pa.list_(_SPAN)), pa.array(entities, pa.list_(pa.string())), pa.array(near, pa.list_(_NEAR))],
-            ["doc_id", "text_hash", "spans", "entities", "near"],
+            [batch.column(0), batch.column(1), pa.array(spans, pa.list_(_SPAN)), pa.array(range(row, row + len(spans)), pa.int64()), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.int64()))],
+            ["doc_id", "text_hash", "spans", "row", "entities", "terms"],
         )
+        row += len(spans)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each term with the number of texts of a batch in which it stands outside matches."""
     for batch in batches:
-        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for _, _, data, offsets in pieces(batch.column(0)):
-            k, n = np.unique(Words(data, offsets, NON_ALNUM, True).hash, return_counts=True)
-            keys.append(k)
-            counts.append(n)
+        keys, counts, plain = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for text in batch.column(0):
+            found = base_spans(text.as_py() or "")
+            plain.append(not found)
+            if found:
+                keys.append(np.unique(visible(text.as_py(), found)[0]))
+                counts.append(np.ones(len(keys[-1]), np.int64))
+        for _, _, data, offsets in pieces(batch.column(0).filter(pa.array(plain, pa.bool_()))):
+            w = Words(data, offsets, NON_ALNUM, True)
+            order = np.argsort(w.hash, kind="stable")  # texts stay in order within a term
+            k, owner = w.hash[order].view(np.int64), w.owner()[order]
+            first = groups(k)
+            if len(first):
+                new = np.concatenate([[True], (k[1:] != k[:-1]) | (owner[1:] != owner[:-1])]).astype(np.int64)
+                keys.append(k[first])
+                counts.append(np.add.reduceat(new, first))
         key, n = np.concatenate(keys), np.concatenate(counts)
         order = np.argsort(key, kind="stable")
         first = groups(key[order])
         if len(first):
-            yield pa.record_batch([pa.array(key[order][first].view(np.int64)), pa.array(np.add.reduceat(n[order], first))], ["term", "n"])
+            yield pa.record_batch([pa.array(key[order][first]), pa.array(np.add.reduceat(n[order], first))], ["term", "n"])
+
+
+def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, last, data, offsets in pieces(batch.column(2)):
+            w = Words(data, offsets, NON_ALNUM, True)
+            order = np.lexsort((w.hash, w.owner()))
+            k, owner = w.hash[order].view(np.int64), w.owner()[order]
+            new = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), bool), (k[1:] != k[:-1]) | (owner[1:] != owner[:-1])]))
+            at = pa.array(owner[new] + first)
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(k[new])], ["doc_id", "text_hash", "term"])
+
+
+def _mark(terms: np.ndarray | None = None, gone: np.ndarray | None = None):
+    """Matches and places of flagged terms in each text: of the sorted ``terms``, or of those that its row brings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans, actions = batch.column(2).to_pylist(), [], []
+            if terms is None:
+                flagged = [(np.array([t for t, _ in x], np.int64), np.array([g for _, g in x], bool)) if x else None for x in ([sorted((y["term"], y["gone"]) for y in x or []) for x in batch.column(3).to_pylist()])]
+            else:
+                flagged = []
+                for _, _, data, offsets in pieces(batch.column(2)):
+                    w = Words(data, offsets, NON_ALNUM, True)
+                    some = np.bincount(w.owner()[np.isin(w.hash.view(np.int64), terms)], minlength=w.texts) > 0
+                    flagged += [(terms, gone) if x else None for x in some.tolist()]
+            for text, own in zip(texts, flagged, strict=True):
+                found = base_spans(text or "")
+                out = [{"start": s, "kind": k, "end": e} for s, k, e, _ in found]
+                acts = []
+                if own:
+                    term, start, end = visible(text, found)
+                    at = np.minimum(np.searchsorted(own[0], term), len(own[0]) - 1)
+                    hit = own[0][at] == term
+                    for s, e, g in zip(start[hit].tolist(), end[hit].tolist(), own[1][at[hit]].tolist(), strict=True):
+                        acts.append({"start": s, "end": e, "action": "remove" if g else "generalise"})
+                    out = sorted(out + [{"start": x["start"], "kind": 4, "end": x["end"]} for x in acts], key=lambda x: (x["start"], x["kind"], x["end"]))
+                spans.append(out)
+                actions.append(acts)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(spans, pa.list_(_SPAN)), pa.array(actions, pa.list_(_ACTION))], ["doc_id", "text_hash", "spans", "actions"])
+
+    return run
+
+
+def _disclosing(docs: DataFrame, scan: DataFrame) -> DataFrame | None:
+    """Terms over a threshold for some entity, and whether one of them is the upper (gone); None if no entity is judged."""
+    rows = float(scan.count() or 1)
+    held = scan.select("row", "text_hash", F.explode("entities").alias("entity"))
+    own = F.greatest(F.log2(F.lit(rows) / F.col("f_entity")), F.lit(1.0))
+    occurs = (
+        held.groupBy("entity", "text_hash").agg(F.count("*").alias("c")).groupBy("entity").agg(F.sum("c").alias("f_entity"), F.count("*").alias("texts"))
+        .where(F.col("texts") >= SUPPORT)
+        .withColumn("own", own)
+        # A term in more texts cannot reach the threshold, even if it stands in all of the entity's.
+        .withColumn("most", F.col("f_entity") * F.pow(F.lit(2.0), (1 - GENERALISE) * F.col("own")) * (1 + 1e-9))
+        .select("entity", "own", "most")
+    )
+    held = materialize(held.join(occurs, "entity"))
+    if held.isEmpty():
+        return None
+    frequency = docs.select("text").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("f_term")).where(F.col("f_term") >= SUPPORT)
+    limit = held.groupBy("row").agg(F.max("most").alias("limit"))
+    terms = scan.select("row", "terms").join(limit, "row").select("row", "limit", F.explode("terms").alias("term"))
+    terms = terms.join(frequency, "term").where("f_term <= limit").select("row", "term", "f_term")
+    return (
+        terms.join(held, "row")
+        .where("f_term <= most")
+        .groupBy("entity", "term", "text_hash").agg(F.count("*").alias("c"), F.first("f_term").alias("f_term"), F.first("own").alias("own"))
+        .groupBy("entity", "term").agg(F.sum("c").alias("c"), F.count("*").alias("texts"), F.first("f_term").alias("f_term"), F.first("own").alias("own"))
+        .where(F.col("texts") >= SUPPORT)
+        .withColumn("disclosure", 1 + F.log2(F.col("c") / F.col("f_term")) / F.col("own"))
+        .where(F.col("disclosure") >= GENERALISE)
+        .groupBy("term").agg((F.max("disclosure") >= REMOVE).alias("gone"))
+    )
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -128,44 +214,26 @@ def find(docs: DataFrame) -> DataFrame:
     and disclosure spans' action (generalise or remove) in ``actions`` (start, end, action). Null and empty texts
     have no spans. Repeated rows give repeated rows. A null doc_id is kept.
 
-    Protected entities are the patterns' matches by value. A term near an entity discloses the share
-    1 + log p(entity | term) / -log p(entity) of the entity's information: the pointwise mutual information over
-    the entity's own. Probabilities come from all words of all texts. Only pairs that stand together in SUPPORT
-    different texts are judged; a term over the threshold is flagged wherever it stands near that entity.
+    Protected entities are the patterns' matches by value. A term that stands in the texts of an entity discloses the
+    share 1 + log p(entity | term) / -log p(entity) of the entity's information: the pointwise mutual information over
+    the entity's own. Probabilities are shares of the rows whose text holds the entity or the term, at any distance.
+    Only pairs that stand together in SUPPORT different texts are judged; a term over the threshold for any entity is
+    flagged wherever it stands, in texts without the entity too, but within matches.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    scan = materialize(docs.mapInArrow(_scan, "doc_id long, text_hash long, spans array<struct<start:long,kind:int,end:long>>, entities array<string>, near array<struct<entity:string,term:long,start:long,end:long>>"))
-    near = scan.where(F.size("near") > 0).select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.*")
-    pairs = near.groupBy("entity", "term", "text_hash").agg(F.count("*").alias("c")).groupBy("entity", "term").agg(F.sum("c").alias("c"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
-    occurs = scan.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("f_entity"))
-    frequency = materialize(docs.select("text").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("f_term")))
-    words = float(frequency.agg(F.sum("f_term")).first()[0] or 1)
-    own = F.greatest(F.log2(F.lit(words) / (2 * REACH * F.col("f_entity"))), F.lit(1.0))
-    share = F.least(F.col("c") / F.col("f_term"), F.lit(1.0))
-    flagged = (
-        pairs.join(occurs, "entity")
-        .join(frequency, "term")
-        .withColumn("disclosure", 1 + F.log2(share) / own)
-        .where(F.col("disclosure") >= GENERALISE)
-        .select("entity", "term", F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise").alias("action"))
-    )
-    flagged = materialize(flagged)
-    if flagged.count() <= SMALL:
-        flagged = F.broadcast(flagged)
-    span = F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("end"))
-    extra = (
-        near.join(flagged, ["entity", "term"])
-        .groupBy("doc_id", "text_hash")
-        .agg(F.collect_set(span).alias("extra"), F.array_sort(F.collect_set(F.struct("start", "end", "action"))).alias("actions"))
-        .withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
-    )
-    out = scan.join(extra, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
-    return out.select(
-        "doc_id",
-        "text_hash",
-        F.when(F.col("extra").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "extra"))).alias("spans"),
-        F.coalesce("actions", F.array().cast("array<struct<start:long,end:long,action:string>>")).alias("actions"),
-    )
+    scan = materialize(docs.mapInArrow(_scan, f"{_FOUND}, row long, entities array<string>, terms array<long>"))
+    flagged = _disclosing(docs, scan)
+    flagged = flagged and materialize(flagged)
+    n = flagged.count() if flagged else 0
+    if not n:
+        return scan.select("doc_id", "text_hash", "spans", F.array().cast(_ACTIONS).alias("actions"))
+    if n <= SMALL:
+        known = sorted(map(tuple, flagged.collect()))
+        return docs.mapInArrow(_mark(np.array([t for t, _ in known], np.int64), np.array([g for _, g in known], bool)), f"{_FOUND}, actions {_ACTIONS}")
+    own = docs.mapInArrow(_distinct_terms, "doc_id long, text_hash long, term long").join(flagged, "term")
+    own = own.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("term", "gone")).alias("own")).withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
+    joined = docs.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left").select("doc_id", "text_hash", "text", "own")
+    return joined.mapInArrow(_mark(), f"{_FOUND}, actions {_ACTIONS}")
 
 
 def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
