@@ -56,8 +56,8 @@ class _Block:
         at, key, first = self.anchor_keys()
         if not len(first):
             return []
-        last = np.append(first[1:], len(at)) - 1
-        many = self.docs[at[first]] != self.docs[at[last]]
+        docs = self.docs[at]  # in row order within a key, in which rows of one document may enclose another's
+        many = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
         anchor = np.logical_or.reduceat(self.aligned[at], first)
         key = key[first]
         return [

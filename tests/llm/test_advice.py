@@ -1,9 +1,10 @@
 """Findings of the review: each test is a case that the operators once cut short."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kgspark.llm import pii
+from kgspark.llm import pii, substring
 
 
 @pytest.mark.parametrize("small", [pii.SMALL, 0])  # flagged terms in every task, and joined
@@ -25,3 +26,15 @@ def test_pii_terms_go_wherever_they_stand(spark, monkeypatch, small):
     found = pii.find(docs)
     assert found.where("doc_id is null").select(F.sum(F.size("spans"))).first()[0] == 2
     assert found.where("doc_id = 11").first().spans[0].kind == 0
+
+
+@pytest.mark.parametrize("ids, short", [([5, 7, 5], {7}), ([None, 7, None], {None})])
+def test_repeats_between_rows_of_one_document(spark, ids, short):
+    """One block, in which a document's rows stand on both sides of another's."""
+    passage = " ".join(f"w{k}" for k in range(80))
+    table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": [passage] * 3})
+    asked = substring._Block(table, substring.WINDOW, 3).ask_anchors(0)
+    assert asked and all(substring.unpack_bits(r["many"], len(r["keys"]) // 4).all() for r in asked)
+    docs = spark.createDataFrame([(i, passage) for i in ids], "doc_id long, text string").coalesce(1)
+    got = [(r.doc_id, r.n_removed) for r in substring.remove_repeats(docs).collect()]
+    assert sorted(got, key=str) == sorted([(i, 80 if i in short else 0) for i in ids], key=str)
