@@ -20,6 +20,8 @@ TAIL_PIECE = 256
 #: Documents packed together: their tails share windows. Only the last set of a task is smaller.
 DOCS_PER_SET = 1024
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Added tokens of the vocabulary, which are found inside texts.
+MARKERS = {"<|endoftext|>": 50256}
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 )
@@ -95,13 +97,13 @@ def _encoder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=MARKERS)
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, piece: int = TAIL_PIECE, with_ids: bool = True) -> DataFrame:
     """Pack the tokens of every document into sequences of at most ``capacity`` tokens.
 
-    ``docs``: doc_id, text. A document's tokens are those of the byte-level vocabulary, then id 0 (so a null or
+    ``docs``: doc_id, text. A document's tokens are those of the byte-level vocabulary with its markers, then id 0 (so a null or
     empty text is one token). Returns a row per piece: doc_id, start (tokens of the document before it), length,
     ids_crc32, doc_tokens, sequence_id, offset and, if ``with_ids``, ids (little-endian unsigned 32-bit).
     Repeated rows are packed like any others; an empty table gives no rows.
@@ -114,7 +116,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from public_tokenizers import path
 
-        encode = _encoder(vocabulary or path(VOCABULARY)).encode_ordinary
+        encoder = _encoder(vocabulary or path(VOCABULARY))
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 33
         tails: list[tuple] = []
@@ -135,7 +137,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
         def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
             nonlocal sequence, documents
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = encode(text.as_py() or "")
+                tokens = encoder.encode(text.as_py() or "", allowed_special="all")
                 tokens.append(0)
                 ids = np.array(tokens, "<u4").tobytes()
                 total = len(tokens)

@@ -1,10 +1,11 @@
 """Findings of the review: each test is a case that the operators once cut short."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kgspark.llm import pii, substring
+from kgspark.llm import packing, pii, substring
 
 
 @pytest.mark.parametrize("small", [pii.SMALL, 0])  # flagged terms in every task, and joined
@@ -38,3 +39,16 @@ def test_repeats_between_rows_of_one_document(spark, ids, short):
     docs = spark.createDataFrame([(i, passage) for i in ids], "doc_id long, text string").coalesce(1)
     got = [(r.doc_id, r.n_removed) for r in substring.remove_repeats(docs).collect()]
     assert sorted(got, key=str) == sorted([(i, 80 if i in short else 0) for i in ids], key=str)
+
+
+def test_pack_knows_the_end_marker(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["one<|endoftext|>two", "<|endoftext|>", "  a  <|endoftext|>  <|endoftext|>\n b  ", "<|endoftext|", "<|ENDOFTEXT|> é<|endoftext|>😀", "plain  text"]
+    got = {r.doc_id: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        want = [*t.encode(text, add_special_tokens=False).ids, 0]
+        assert np.frombuffer(bytes(got[i].ids), "<u4").tolist() == want, text
+    assert 50256 in np.frombuffer(bytes(got[0].ids), "<u4")
