@@ -29,11 +29,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Columns (id, component): the smallest id reachable over ``edges`` (a, b), for every id that has an edge.
 
     Alternates large-star and small-star steps, whose rounds grow with the logarithm of the longest path.
-    No vertex gathers its neighbours as a list; only minima are aggregated.
+    No vertex gathers its neighbours as a list; only minima are aggregated. Rounds go on until nothing changes; more
+    than ``max_rounds``, if given, are an error.
     """
     spark = edges.sparkSession
     shared_dir(spark)
@@ -43,9 +44,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     cur = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
     before = state(cur)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    rounds = 0
+    while before[0]:
+        if rounds == max_rounds:
+            raise RuntimeError(f"components have not converged after {max_rounds} rounds")
+        rounds += 1
         sym = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = sym.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgspark.llm import packing, pii, substring
+from kgspark.llm._shared import connected_components
 
 
 @pytest.mark.parametrize("small", [pii.SMALL, 0])  # flagged terms in every task, and joined
@@ -52,3 +53,11 @@ def test_pack_knows_the_end_marker(spark):
         want = [*t.encode(text, add_special_tokens=False).ids, 0]
         assert np.frombuffer(bytes(got[i].ids), "<u4").tolist() == want, text
     assert 50256 in np.frombuffer(bytes(got[0].ids), "<u4")
+
+
+def test_components_never_end_early(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not converged"):
+        connected_components(edges, max_rounds=1)
+    assert {r.component for r in connected_components(edges).collect()} == {0}
+    assert connected_components(edges.limit(0), max_rounds=0).count() == 0
