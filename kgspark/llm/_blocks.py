@@ -1,13 +1,15 @@
 """Blocks of documents that ask buckets of keys: how operators share corpus-wide facts without a broadcast.
 
-Documents are dealt to blocks of about equal bytes. A block sends its distinct keys, packed, to the buckets that
-own them; a bucket sees every block's keys, so it can answer for the whole corpus; the answers, in the order asked,
-go back to the block. A key that is frequent arrives at most once from each block.
+Documents are dealt to blocks of about equal bytes. A block sends its distinct keys, packed, to FAN buckets; a bucket
+sees every block's keys, so it can answer for the whole corpus, and the answers go back in the order asked. Where the
+corpus has more keys than FAN buckets can hold, the messages of FAN blocks about one bucket are merged and sent on to
+FAN buckets below it, and answers come back the same way. So the number of messages grows in proportion to the number
+of blocks at every size, a message keeps its size, and a frequent key arrives at most once from each sender.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,16 +18,40 @@ from pyspark.sql import functions as F
 from kgspark.llm._text import U
 
 BLOCK_BYTES = 8 << 20
+#: Bits of a key that one level of buckets tells apart.
+FAN_BITS = 8
 #: Keys of one bucket, at about six bytes of text a key.
 BUCKET_KEYS = 2 << 20
 
 
-def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """``docs`` (doc_id, text) with a block number, and how many leading bits of a key name its bucket."""
+def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, int]:
+    """``docs`` (doc_id, text) with a block number, and how many levels of buckets hold its keys."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    bits = max(3, (size // 6 // BUCKET_KEYS).bit_length())
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))), bits
+    levels = max(1, -(-(size // 6 // bucket_keys).bit_length() // FAN_BITS))
+    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))), levels
+
+
+def up(asks: DataFrame, levels: int, merge: Callable, schema: str) -> list[DataFrame]:
+    """Messages (kind, bucket, block and others) of each level; ``merge(level)`` makes those of a level from a table of the one above."""
+    frames = [asks.withColumn("group", F.expr(f"block div {1 << FAN_BITS}"))]
+    for level in range(1, levels):
+        # A group's messages go on under its number.
+        frames.append(frames[-1].groupBy("kind", "bucket", "group").applyInArrow(merge(level), schema).withColumn("group", F.expr(f"block div {1 << FAN_BITS}")))
+    return frames
+
+
+def down(frames: list[DataFrame], replies: DataFrame, unmerge: Callable, schema: str) -> DataFrame:
+    """Replies to the first level's messages from those to the last one's; ``unmerge(level)`` maps a group's messages and replies."""
+    for level in range(len(frames) - 1, 0, -1):
+        back = replies.withColumn("over", F.shiftright("bucket", FAN_BITS)).groupBy("kind", "over", "block")
+        replies = frames[level - 1].groupBy("kind", "bucket", "group").cogroup(back).applyInArrow(unmerge(level), schema)
+    return replies
+
+
+def prefix(keys: np.ndarray, level: int) -> np.ndarray:
+    """Bucket of evenly spread keys on a level (from 1)."""
+    return (keys >> U(64 - FAN_BITS * level)).astype(np.int64)
 
 
 def split(buckets: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -47,7 +73,3 @@ def pack_bits(x: np.ndarray) -> bytes:
 
 def unpack_bits(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
-
-
-def top(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> U(64 - bits)).astype(np.int64)

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one where none is set (local tests)."""
+    """The folder that the cluster names for checkpoints; a temporary one where none is set and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -20,6 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows of an Arrow batch. Texts are long rows: Spark's 10,000 would hold tens of megabytes in each worker and twice in the JVM.
+BATCH_ROWS = 2048
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session have at most BATCH_ROWS rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -29,12 +43,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: At most so many vertices are sent to all tasks as hubs; every other vertex has under this share of all edge ends.
+HUBS = 100_000
+
+
+def _told(edges: DataFrame, low: DataFrame, ends: int) -> DataFrame:
+    """(b, m) for each of ``edges`` (a, b), with a's ``m`` of ``low`` (a, m, n: edges of a).
+
+    A vertex with more than 1/HUBS of the ``ends`` of all edges is a hub; there can be at most HUBS of them, so they are
+    broadcast, and no key of the join has more rows than that share.
+    """
+    most = max(1000, ends // HUBS)
+    hubs = F.broadcast(low.where(F.col("n") > most).select("a", F.col("m").alias("hub")))
+    marked = edges.join(hubs, "a", "left")
+    far = marked.where("hub is not null").select("b", F.col("hub").alias("m"))
+    return far.union(marked.where("hub is null").select("a", "b").join(low.where(F.col("n") <= most), "a").select("b", "m"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Columns (id, component): the smallest id reachable over ``edges`` (a, b), for every id that has an edge.
 
     Alternates large-star and small-star steps, whose rounds grow with the logarithm of the longest path.
-    No vertex gathers its neighbours as a list; only minima are aggregated. Rounds go on until nothing changes; more
-    than ``max_rounds``, if given, are an error.
+    No vertex gathers its neighbours as a list; only minima are aggregated, and hubs are kept out of the joins. Rounds
+    go on until nothing changes; more than ``max_rounds``, if given, are an error.
     """
     spark = edges.sparkSession
     shared_dir(spark)
@@ -50,10 +81,10 @@ def connected_components(edges: DataFrame, max_rounds: int | None = None) -> Dat
             raise RuntimeError(f"components have not converged after {max_rounds} rounds")
         rounds += 1
         sym = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = sym.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        low = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _told(sym.where("b > a"), low, 2 * before[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _told(large, low, before[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         cur = small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
         after = state(cur)
         if after == before:

@@ -9,44 +9,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm._text import NON_ALNUM, U, Words, pieces
+from kgspark.llm._shared import small_batches
+from kgspark.llm._text import NON_ALNUM, U, Words, pair, pieces, same_words
 
 WINDOW = 10
 #: Items are broadcast in blocks of at most so many bytes of text; a larger benchmark takes several passes.
 BLOCK_BYTES = 32 << 20
+#: Candidate places that are checked at a time.
+SLICE = 1 << 20
 HITS = "doc_id long, text_hash long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
+def shingles(hashes: np.ndarray) -> np.ndarray:
+    """Hash of each two neighbouring words by the first; the last one has none."""
+    return np.append(pair(hashes[:-1], hashes[1:]), U(0)) if len(hashes) else hashes
+
+
 class Windows:
-    """The windows of a block of items, and for each the word that is rarest in the corpus (its prefix)."""
+    """The distinct windows of a block of items, and for each the shingle that is rarest in the corpus (its prefix).
+
+    Shingles are pairs of words; a window of one word has that word.
+    """
 
     def __init__(self, ids: list[str], texts: list[str | None], window: int):
-        w = Words(*next(iter(_buffers(texts))), NON_ALNUM, True)
-        self.ids, self.words = ids, w.hash
+        w = self.words = Words(*next(iter(_buffers(texts))), NON_ALNUM, True)
         count = np.diff(w.first)
-        self.length = np.minimum(count, window)
-        per = np.where(count > 0, count - self.length + 1, 0)
-        self.item = np.repeat(np.arange(len(ids)), per)
-        self.start = np.repeat(w.first[:-1], per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        self.length = self.length[self.item]
-        self.vocabulary = np.unique(w.hash)
+        length = np.minimum(count, window)
+        per = np.where(count > 0, count - length + 1, 0)
+        item = np.repeat(np.arange(len(ids)), per)
+        start = np.repeat(w.first[:-1], per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        length = length[item]
+        # Equal windows get one number, by the words' numbers.
+        number: dict = {}
+        one = np.array([number.setdefault(w.data[a:b].tobytes(), len(number)) for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)], np.int64)
+        key = length.copy()
+        for k in range(int(length.max(initial=0))):
+            inside = k < length
+            step = np.where(inside, one[np.where(inside, start + k, 0)] + 1, 0)
+            key = np.unique(key * (step.max(initial=0) + 1) + step, return_inverse=True)[1]
+        _, first, at = np.unique(key, return_index=True, return_inverse=True)
+        self.start, self.length = start[first], length[first]
+        names: list[set] = [set() for _ in first]
+        for window_at, i in zip(at.tolist(), item.tolist(), strict=True):
+            names[window_at].add(ids[i])
+        self.names = [sorted(n) for n in names]
+        self.shingles = shingles(w.hash)
+        self.vocabulary = np.unique(np.concatenate([self.shingles, w.hash[start[length == 1]]]))
 
     def index(self, frequency: np.ndarray) -> tuple:
-        """Sorted prefix words, the slice of windows of each, and the windows with their prefix's position."""
+        """Sorted prefix shingles, the slice of windows of each, and the windows by prefix with its place in each."""
         rank = np.lexsort((self.vocabulary, frequency))
         order = np.empty(len(rank), np.int64)
         order[rank] = np.arange(len(rank))
-        word_rank = order[np.searchsorted(self.vocabulary, self.words)]
-        bounds = np.stack([self.start, self.start + self.length], 1).ravel()
-        low = np.minimum.reduceat(np.append(word_rank, len(rank)), bounds)[::2] if len(bounds) else np.zeros(0, np.int64)
-        at = np.zeros(len(low), np.int64)
-        for k in range(int(self.length.max(initial=0)) - 1, -1, -1):
-            here = k < self.length
-            at[here] = np.where(word_rank[self.start[here] + k] == low[here], k, at[here])
-        prefix = self.vocabulary[rank[low]] if len(low) else np.zeros(0, U)
+        best, at = np.full(len(self.start), len(rank), np.int64), np.zeros(len(self.start), np.int64)
+        for k in range(max(1, int(self.length.max(initial=0)) - 1)):
+            here = np.flatnonzero((k < self.length - 1) | ((k == 0) & (self.length == 1)))
+            place = self.start[here] + k
+            own = order[np.searchsorted(self.vocabulary, np.where(self.length[here] == 1, self.words.hash[place], self.shingles[place]))] if len(here) else here
+            less = own < best[here]
+            best[here[less]], at[here[less]] = own[less], k
+        prefix = self.vocabulary[rank[best]] if len(best) else np.zeros(0, U)
         by = np.argsort(prefix, kind="stable")
         keys, first = np.unique(prefix[by], return_index=True)
-        return keys, np.append(first, len(by)), self.start[by], self.length[by], self.item[by], at[by]
+        return keys, np.append(first, len(by)), self.start[by], self.length[by], by, at[by]
 
 
 def _buffers(texts: list[str | None]):
@@ -57,27 +82,44 @@ def _buffers(texts: list[str | None]):
         yield np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
 
-def find(w: Words, words: np.ndarray, index: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and item of every occurrence of a window in the words of some texts."""
-    keys, first, start, length, item, at = index
-    empty = np.zeros(0, np.int64)
-    if not len(keys) or not len(w.hash):
-        return empty, empty, empty
-    k = np.minimum(np.searchsorted(keys, w.hash), len(keys) - 1)
-    hit = np.flatnonzero(keys[k] == w.hash)
-    k = k[hit]
-    many = first[k + 1] - first[k]
-    window = np.repeat(first[k] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+def find(w: Words, words: Words, index: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and window of every occurrence of a window in the words of some texts."""
+    keys, first, start, length, number, at = index
+    out = [(np.zeros(0, np.int64),) * 3]
+    if len(keys) and len(w.hash):
+        for probe in (w.hash, shingles(w.hash)):
+            k = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
+            hit = np.flatnonzero(keys[k] == probe)
+            k = k[hit]
+            many = first[k + 1] - first[k]
+            total = np.cumsum(many)
+            done = 0
+            while done < len(hit):
+                # Some hits at a time, so that the windows of frequent shingles do not all meet in memory.
+                upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + SLICE, "right")))
+                out.append(_checked(w, words, hit[done:upto], first[k[done:upto]], many[done:upto], start, length, number, at))
+                done = upto
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _checked(w: Words, words: Words, hit, first, many, start, length, number, at) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    window = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
     begin = np.repeat(hit, many) - at[window]
     # Positional and length bounds: the whole window must lie in the text that holds its prefix.
     owner = np.searchsorted(w.first, np.repeat(hit, many), "right") - 1
     fits = (begin >= w.first[owner]) & (begin + length[window] <= w.first[owner + 1])
     begin, window = begin[fits], window[fits]
     for j in range(int(length[window].max(initial=0))):
-        inside = j < length[window]
-        same = w.hash[np.where(inside, begin + j, 0)] == words[np.where(inside, start[window] + j, 0)]
-        begin, window = begin[same | ~inside], window[same | ~inside]
-    return begin, length[window], item[window]
+        inside = np.flatnonzero(j < length[window])
+        wrong = inside[w.hash[begin[inside] + j] != words.hash[start[window[inside]] + j]]
+        keep = np.ones(len(begin), bool)
+        keep[wrong] = False
+        begin, window = begin[keep], window[keep]
+    # Equal hashes make candidates; the words themselves decide.
+    place = np.arange(length[window].sum()) - np.repeat(np.cumsum(length[window]) - length[window], length[window])
+    same = same_words(w, np.repeat(begin, length[window]) + place, words, np.repeat(start[window], length[window]) + place)
+    ok = np.bincount(np.repeat(np.arange(len(begin)), length[window]), ~same, len(begin)) == 0
+    return begin[ok], length[window[ok]], number[window[ok]]
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -89,10 +131,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     fewer words than a window is one window; one without words (or null) has none. A null item_id counts as "".
     Null texts have no words; empty tables give no rows or no hits.
 
-    A window can only occur where its rarest word does, so a first scan counts the item vocabulary in all
-    documents and a second probes with one word per window, checks the bounds and verifies all words. Each scan
-    is one pass without a shuffle of texts; items go out in blocks of bounded size, one pass pair per block.
+    A window can only occur where its rarest shingle (two neighbouring words) does, so a first scan counts the items'
+    shingles in all documents and a second probes with one shingle per distinct window, checks the bounds and
+    verifies all words, letter by letter. Each scan is one pass without a shuffle of texts, about a MiB at a time; a
+    longer text is one piece. Items go out in blocks of bounded size (a longer item is a block of its own), one pass
+    pair per block.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
@@ -108,14 +153,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
         frequency = np.zeros(len(wins.vocabulary), np.int64)
         for word, n in counted.collect():
             frequency[word] = n
-        index = spark.sparkContext.broadcast((wins.index(frequency), wins.words, wins.ids))
+        index = spark.sparkContext.broadcast((wins.index(frequency), wins.words, wins.names))
         hits = docs.mapInArrow(_prober(index), HITS)
         found = hits if found is None else found.union(hits)
     if blocks > 1:
         found = (
             found.groupBy("doc_id", "text_hash", "n_words")
-            .agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("n"))
-            .withColumn("spans", _merged("spans"))
+            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("n"))
+            .mapInArrow(_merge_spans, f"{HITS}, n long")
             # Repeated rows have met in one; each pass has brought each of them once.
             .withColumn("n", F.explode(F.sequence(F.lit(1), (F.col("n") / blocks).cast("int"))))
         )
@@ -123,13 +168,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     return found.select("doc_id", "n_words", "spans", "items", n_hit.alias("n_hit"))
 
 
-def _merged(column: str):
-    """Union of sorted spans; a document has few of them."""
-    span = "struct<start:bigint,end:bigint>"
-    return F.expr(
-        f"aggregate(array_sort({column}), cast(array() as array<{span}>), (a, x) -> if(size(a) > 0 and element_at(a, -1).end >= x.start, "
-        f"concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))), concat(a, array(x))))"
-    )
+def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unite the sorted spans of each row that overlap or touch."""
+    for batch in batches:
+        merged = []
+        for spans in batch.column(3).to_pylist():
+            out: list[dict] = []
+            for s in spans:
+                if out and s["start"] <= out[-1]["end"]:
+                    out[-1]["end"] = max(out[-1]["end"], s["end"])
+                else:
+                    out.append(s)
+            merged.append(out)
+        yield pa.record_batch([*batch.columns[:3], pa.array(merged, batch.schema.field(3).type), *batch.columns[4:]], batch.schema.names)
 
 
 def _counter(vocabulary):
@@ -139,9 +190,9 @@ def _counter(vocabulary):
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column(0)):
                 h = Words(data, offsets, NON_ALNUM, True).hash
-                if len(known) and len(h):
-                    k = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    n += np.bincount(np.where(known[k] == h, k, len(known)), minlength=len(known) + 1)
+                for probe in (h, shingles(h)) if len(known) else ():
+                    k = np.minimum(np.searchsorted(known, probe), len(known) - 1)
+                    n += np.bincount(np.where(known[k] == probe, k, len(known)), minlength=len(known) + 1)
         some = np.flatnonzero(n[:-1])
         yield pa.record_batch([pa.array(some, pa.int64()), pa.array(n[some], pa.int64())], ["word", "n"])
 
@@ -150,11 +201,11 @@ def _counter(vocabulary):
 
 def _prober(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, words, ids = shared.value
+        index, words, windows = shared.value
         for batch in batches:
             for first, last, data, offsets in pieces(batch.column(1)):
                 w = Words(data, offsets, NON_ALNUM, True)
-                begin, length, item = find(w, words, index)
+                begin, length, number = find(w, words, index)
                 spans: list[list] = [[] for _ in range(last - first)]
                 names: list[list] = [[] for _ in range(last - first)]
                 if len(begin):
@@ -169,9 +220,9 @@ def _prober(shared):
                     owner = np.searchsorted(w.first, on, "right") - 1
                     for d, s, e in zip(owner.tolist(), (on - w.first[owner]).tolist(), (off - w.first[owner]).tolist(), strict=True):
                         spans[d].append({"start": s, "end": e})
-                    pair = np.unique(np.stack([np.searchsorted(w.first, begin, "right") - 1, item], 1), axis=0)
+                    pair = np.unique(np.stack([np.searchsorted(w.first, begin, "right") - 1, number], 1), axis=0)
                     for d, i in pair.tolist():
-                        names[d].append(ids[i])
+                        names[d] += windows[i]
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(first, last - first),

@@ -1,4 +1,8 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and sentence-like pieces."""
+"""Document fingerprints: a Merkle tree over sections, paragraphs and sentence-like pieces.
+
+A branch is written as a string: its digest, then what lies below it. Roots test equality; two texts are compared by
+descending only into the branches whose digests differ.
+"""
 
 from __future__ import annotations
 
@@ -9,39 +13,70 @@ from kgspark.llm._shared import first_bound
 
 #: Leaves end after sentence marks, or after so many code points without one.
 LEAF = "[^.!?]{1,96}[.!?]*|[.!?]+"
-#: Documents of one block, whose neighbours in doc_id order are found together, and the most blocks.
-BLOCK_ROWS, MAX_BLOCKS = 2000, 4096
+#: Documents of one block, whose neighbours in doc_id order are found together; and the most blocks, whose bounds a plan
+#: holds. At 25 billion documents a block is 1.5 GB, which the sort spills as it must.
+BLOCK_ROWS, MAX_BLOCKS = 2000, 1 << 16
+#: Hexadecimal digits of a leaf's digest and of a branch's.
+LEAF_DIGITS, DIGITS = 32, 64
 
 
 def tree(text: Column) -> Column:
-    """Sections of paragraphs of leaf digests: joining back the parts gives the text, so equal trees mean equal texts."""
-    return F.transform(
-        F.split(text, "\n\n"),
-        lambda section: F.transform(
-            F.split(section, "\n"),
-            lambda paragraph: F.transform(F.regexp_extract_all(paragraph, F.lit(LEAF), F.lit(0)), lambda leaf: F.substring(F.sha2(leaf, 256), 1, 32)),
-        ),
-    )
+    """Sections: each its digest, then for each paragraph a mark and the paragraph's digest and leaf digests.
+
+    Joining back the parts gives the text, so equal trees mean equal texts. A section's digest is that of its
+    paragraphs' digests, a paragraph's that of its leaves'.
+    """
+
+    def paragraph(p: Column) -> Column:
+        leaves = F.array_join(F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda leaf: F.substring(F.sha2(leaf, 256), 1, LEAF_DIGITS)), "")
+        return F.concat(F.sha2(leaves, 256), leaves)
+
+    def section(s: Column) -> Column:
+        return F.transform(F.split(s, "\n"), paragraph)
+
+    return F.transform(F.transform(F.split(text, "\n\n"), section), lambda ps: F.concat(F.sha2(F.array_join(digests(ps), ""), 256), F.array_join(F.transform(ps, lambda p: F.concat(F.lit("|"), p)), "")))
 
 
-def section_digests(t: Column) -> Column:
-    """A section's digest is that of its paragraphs' digests, a paragraph's that of its leaves'."""
-    return F.transform(t, lambda section: F.sha2(F.array_join(F.transform(section, lambda p: F.sha2(F.array_join(p, ""), 256)), ""), 256))
+def digests(branches: Column) -> Column:
+    return F.transform(branches, lambda x: F.substring(x, 1, DIGITS))
 
 
 def root(t: Column) -> Column:
-    return F.sha2(F.array_join(section_digests(t), ""), 256)
+    return F.sha2(F.array_join(digests(t), ""), 256)
 
 
-def leaves(t: Column) -> Column:
-    return F.flatten(F.flatten(t))
+def paragraphs(section: Column) -> Column:
+    """Of a section: paragraphs with their digests."""
+    return F.split(F.substr(section, F.lit(DIGITS + 2)), "\\|")
+
+
+def leaves(paragraph: Column) -> Column:
+    n = ((F.length(paragraph) - DIGITS) / LEAF_DIGITS).cast("int")
+    return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(paragraph, DIGITS + 1 + (i - 1) * LEAF_DIGITS, F.lit(LEAF_DIGITS)))
+
+
+def _size(branches: Column) -> Column:
+    """Leaves below paragraphs; one without leaves counts as one."""
+    return F.aggregate(branches, F.lit(0).cast("long"), lambda n, p: n + F.greatest(F.floor((F.length(p) - DIGITS) / LEAF_DIGITS), F.lit(1).cast("long")))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of distinct leaves that two lists have in common (0 to 1); 1 for equal lists, so for two empty ones."""
-    both = F.size(F.array_union(a, b))
-    common = F.size(F.array_intersect(a, b))
-    return F.when(both == 0, 1.0).otherwise(2.0 * common / (both + common))
+    """Share of leaves that two trees have in common (0 to 1).
+
+    Equal sections count with all their leaves; in the others, equal paragraphs do; and only the leaves of the rest are
+    compared one by one. A branch that is repeated counts once. Equal trees have likeness 1.
+    """
+    below = lambda sections: F.flatten(F.transform(sections, paragraphs))
+    same = _size(below(F.array_intersect(a, b)))
+    state = F.struct(same.alias("same"), below(F.array_except(a, b)).alias("p"), below(F.array_except(b, a)).alias("q"))
+    state = _let(state, lambda s: F.struct((s["same"] + _size(F.array_intersect(s["p"], s["q"]))).alias("same"), F.array_except(s["p"], s["q"]).alias("p"), F.array_except(s["q"], s["p"]).alias("q")))
+    state = _let(state, lambda s: F.struct(s["same"].alias("same"), F.array_distinct(F.flatten(F.transform(s["p"], leaves))).alias("p"), F.array_distinct(F.flatten(F.transform(s["q"], leaves))).alias("q")))
+    return _let(state, lambda s: 2.0 * (s["same"] + F.size(F.array_intersect(s["p"], s["q"]))) / (2 * s["same"] + F.size(s["p"]) + F.size(s["q"])))
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)``, evaluating ``value`` once."""
+    return F.transform(F.array(value), then)[0]
 
 
 def first_difference(a: Column, b: Column) -> Column:
@@ -49,6 +84,26 @@ def first_difference(a: Column, b: Column) -> Column:
     return F.when(a == b, None).otherwise(F.coalesce(F.nullif(F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False), F.lit(0)), F.lit(0)) - 1).cast("long")
 
 
+def first_edit(a: Column, b: Column) -> Column:
+    """Section, paragraph in it and leaf in that (from 0) where two trees first differ, found from the top; nulls if equal."""
+    none = F.array(F.lit(""))
+    at = lambda x, i: F.coalesce(F.get(x, i.cast("int")), F.lit("|"))
+
+    def within(s: Column) -> Column:
+        i = first_difference(digests(s["a"]), digests(s["b"]))
+        return _let(F.struct(i.alias("i"), paragraphs(at(s["a"], i)).alias("p"), paragraphs(at(s["b"], i)).alias("q")), paragraph)
+
+    def paragraph(s: Column) -> Column:
+        j = first_difference(digests(s["p"]), digests(s["q"]))
+        return _let(F.struct(s["i"].alias("i"), j.alias("j"), leaves(at(s["p"], j)).alias("l"), leaves(at(s["q"], j)).alias("m")), leaf)
+
+    def leaf(s: Column) -> Column:
+        return F.struct(s["i"].alias("section"), s["j"].alias("paragraph"), first_difference(s["l"], s["m"]).alias("leaf"))
+
+    nothing = F.lit(None).cast("struct<section:bigint,paragraph:bigint,leaf:bigint>")
+    return F.when(digests(F.coalesce(a, none)) == digests(F.coalesce(b, none)), nothing).otherwise(_let(F.struct(a.alias("a"), b.alias("b")), within))
+
+
 def with_next(docs: DataFrame, value: str) -> DataFrame:
     """Add next_``value``: that of the next row in descending doc_id order; after the last row comes the first.
 
@@ -60,7 +115,7 @@ def with_next(docs: DataFrame, value: str) -> DataFrame:
     rows = docs.withColumn("_id", order)
     n = rows.count()
     blocks = min(MAX_BLOCKS, max(1, n // BLOCK_ROWS))
-    cuts = rows.agg(F.percentile_approx("_id", [(k + 1) / blocks for k in range(blocks - 1)] or [1.0], 10000), F.max("_id"), F.min("_id")).first()
+    cuts = rows.agg(F.percentile_approx("_id", [(k + 1) / blocks for k in range(blocks - 1)] or [1.0], max(10_000, 4 * blocks)), F.max("_id"), F.min("_id")).first()
     if cuts[1] is None:
         return docs.withColumn(f"next_{value}", F.col(value))
     bounds = sorted({*cuts[0], cuts[1]})
@@ -75,15 +130,20 @@ def with_next(docs: DataFrame, value: str) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, text, tree, leaves and fingerprint (the tree's root) of each row of ``docs``; a null text counts as empty."""
+    """doc_id, text, tree and fingerprint (the tree's root) of each row of ``docs``; a null text counts as empty.
+
+    Other columns are ignored. Repeated rows give repeated rows; an empty table gives none. A row holds its text and
+    its tree, about as large as the text.
+    """
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("tree", tree(F.col("text"))).withColumn("fingerprint", root(F.col("tree"))).withColumn("leaves", leaves(F.col("tree")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("tree", tree(F.col("text"))).withColumn("fingerprint", root(F.col("tree")))
 
 
 def op2_merkle(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of all texts and of their edited forms, compared with those and with the next document's.
 
-    An empty table gives no rows; in a table of one row the next document is that row.
+    An empty table gives no rows; in a table of one row the next document is that row. A row holds three texts and
+    their trees while it is compared, however long they are.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     pairs = with_next(docs, "text")
@@ -92,34 +152,54 @@ def op2_merkle(spark, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - k), F.substring("next_text", F.lit(1), k))
     t = pairs.select("doc_id", "text", "next_text", edited.alias("edited"), n.cast("long").alias("n_chars"))
     t = t.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("text")).alias("own"), tree(F.col("edited")).alias("new"), tree(F.col("next_text")).alias("next"))
-    t = t.select("*", leaves(F.col("own")).alias("a"), leaves(F.col("new")).alias("b"), leaves(F.col("next")).alias("c"))
+    own, new, following = F.col("own"), F.col("new"), F.col("next")
+    t = t.select("*", root(own).alias("fingerprint"), root(new).alias("edited_fingerprint"), likeness(own, new).alias("near_edited"), likeness(own, following).alias("near_next"), first_edit(own, new).alias("edit"))
     return t.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        root(F.col("own")).alias("fingerprint"),
-        root(F.col("new")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b")).alias("near_edited"),
-        likeness(F.col("a"), F.col("c")).alias("near_next"),
-        F.size("a").cast("long").alias("n_leaves"),
-        first_difference(F.col("a"), F.col("b")).alias("first_edited_leaf"),
-    )
-
-
-_TREE = r"""[[[substr(sha256(l), 1, 32) for l in regexp_extract_all(p, '[^.!?]{1,96}[.!?]*|[.!?]+')] for p in string_split(s, chr(10))] for s in string_split(%s, chr(10) || chr(10))]"""
-_ROOT = r"""sha256(array_to_string([sha256(array_to_string([sha256(array_to_string(p, '')) for p in s], '')) for s in %s], ''))"""
-ORACLE = f"""
-WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC, text DESC), first_value(text) OVER (ORDER BY doc_id DESC, text DESC)) AS next_text FROM docs),
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.size("own").cast("long").alias("n_sections"),
+        F.col("edit.section").alias("edit_section"), F.col("edit.paragraph").alias("edit_paragraph"), F.col("edit.leaf").alias("edit_leaf"),
+    )
+
+
+def _oracle() -> str:
+    leaf = f"substr(sha256(l), 1, {LEAF_DIGITS})"
+    paragraph = f"[{leaf} for l in regexp_extract_all(p, '{LEAF}')]"
+    tree_sql = f"[[{paragraph} for p in string_split(s, chr(10))] for s in string_split(%s, chr(10) || chr(10))]"
+    # A branch by its digest; what lies below is looked up in the tree itself.
+    section = "sha256(array_to_string([sha256(array_to_string(p, '')) for p in s], ''))"
+    count = "greatest(len(p), 1)"
+
+    def near(x: str, y: str) -> str:
+        return f"""SELECT rn,
+  list_sum([list_sum([{count} for p in s]) for s in list_distinct(list_intersect({x}, {y}))]) AS whole,
+  list_distinct(flatten([s for s in {x} if NOT list_contains({y}, s)])) AS p, list_distinct(flatten([s for s in {y} if NOT list_contains({x}, s)])) AS q FROM t"""
+
+    def rest(name: str) -> str:
+        return f"""SELECT rn, coalesce(whole, 0) + coalesce(list_sum([{count} for p in list_distinct(list_intersect(p, q))]), 0) AS same,
+  list_distinct(flatten([CASE WHEN len(x) = 0 THEN [''] ELSE x END for x in p if NOT list_contains(q, x)])) AS a,
+  list_distinct(flatten([CASE WHEN len(x) = 0 THEN [''] ELSE x END for x in q if NOT list_contains(p, x)])) AS b FROM {name}"""
+
+    def share(name: str) -> str:
+        return f"SELECT rn, 2.0::DOUBLE * (same + len(list_intersect(a, b))) / (2 * same + len(a) + len(b)) AS near FROM {name}"
+
+    def differ(a: str, b: str) -> str:
+        return f"list_min([i for i in range(1, greatest(len({a}), len({b})) + 1) if NOT coalesce({a}[i] = {b}[i], false)])"
+
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT rn, doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC, text DESC), first_value(text) OVER (ORDER BY doc_id DESC, text DESC)) AS next_text FROM docs),
 e AS (SELECT *, CAST(length(text) AS BIGINT) AS n_chars, substring(text, 1, length(text) - CAST(floor(length(text) / 3) AS INT)) || substring(next_text, 1, CAST(floor(length(text) / 3) AS INT)) AS edited FROM n),
-t AS (SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_TREE % "text"} AS own, {_TREE % "edited"} AS new, {_TREE % "next_text"} AS nxt FROM e),
-l AS (SELECT *, flatten(flatten(own)) AS a, flatten(flatten(new)) AS b, flatten(flatten(nxt)) AS c FROM t),
-s AS (SELECT *, len(list_distinct(list_concat(a, b))) AS ab, len(list_intersect(list_distinct(a), list_distinct(b))) AS xab,
-  len(list_distinct(list_concat(a, c))) AS ac, len(list_intersect(list_distinct(a), list_distinct(c))) AS xac FROM l)
-SELECT doc_id, n_chars, edited_sha256, {_ROOT % "own"} AS fingerprint, {_ROOT % "new"} AS edited_fingerprint,
-  CASE WHEN ab = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * xab / (ab + xab) END AS near_edited,
-  CASE WHEN ac = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * xac / (ac + xac) END AS near_next,
-  CAST(len(a) AS BIGINT) AS n_leaves,
-  CASE WHEN a = b THEN NULL ELSE CAST(coalesce(list_min([i for i in range(1, greatest(len(a), len(b)) + 1) if NOT coalesce(a[i] = b[i], false)]), 1) - 1 AS BIGINT) END AS first_edited_leaf
-FROM s
+t AS (SELECT rn, doc_id, n_chars, sha256(edited) AS edited_sha256, {tree_sql % "text"} AS own, {tree_sql % "edited"} AS new, {tree_sql % "next_text"} AS nxt FROM e),
+d AS (SELECT *, [{section} for s in own] AS a, [{section} for s in new] AS b FROM t),
+i AS (SELECT *, {differ("a", "b")} AS i FROM d),
+j AS (SELECT *, {differ("coalesce(own[i], [['?']])", "coalesce(new[i], [['?']])")} AS j FROM i),
+k AS (SELECT *, CASE WHEN i IS NOT NULL THEN {differ("(CASE WHEN len(coalesce(own[i][j], [])) = 0 THEN [''] ELSE own[i][j] END)", "(CASE WHEN len(coalesce(new[i][j], [])) = 0 THEN [''] ELSE new[i][j] END)")} END AS k FROM j),
+e1 AS ({near("own", "new")}), e2 AS ({rest("e1")}), e3 AS ({share("e2")}),
+x1 AS ({near("own", "nxt")}), x2 AS ({rest("x1")}), x3 AS ({share("x2")})
+SELECT doc_id, n_chars, edited_sha256, sha256(array_to_string(a, '')) AS fingerprint, sha256(array_to_string(b, '')) AS edited_fingerprint,
+  e3.near AS near_edited, x3.near AS near_next, CAST(len(own) AS BIGINT) AS n_sections,
+  CAST(i - 1 AS BIGINT) AS edit_section, CAST(CASE WHEN i IS NOT NULL THEN j - 1 END AS BIGINT) AS edit_paragraph, CAST(k - 1 AS BIGINT) AS edit_leaf
+FROM k JOIN e3 USING (rn) JOIN x3 USING (rn)
 """
+
+
+ORACLE = _oracle()

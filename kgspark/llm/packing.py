@@ -14,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.llm._shared import small_batches
+
 CAPACITY = 1024
 #: A document's tail is cut to pieces of at most so many tokens, so that windows hold several and come out near equal.
 TAIL_PIECE = 256
@@ -112,6 +114,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     are cut to small pieces and divided by differencing. Texts and tokens are never shuffled; a task holds one
     set's tokens at a time. ``vocabulary`` is the place of a rank file; its default is looked up on each executor.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from public_tokenizers import path

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm._blocks import groups
-from kgspark.llm._shared import materialize
+from kgspark.llm._shared import materialize, small_batches
 from kgspark.llm._text import NON_ALNUM, Words, pieces
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -20,6 +20,8 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 SUPPORT = 3
 #: Share of an entity's information that a term gives away: generalised from the first on, removed from the second.
 GENERALISE, REMOVE = 0.75, 0.95
+#: A word of so many bytes or more that has both digits and letters is opaque: it may be a secret, if words before it say so.
+OPAQUE = 16
 #: Flagged terms are sent to all tasks up to so many; beyond, they are joined by shuffle.
 SMALL = 200_000
 
@@ -68,18 +70,43 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def visible(text: str, spans: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Term (hash), start and end of each word that no match overlaps; the others belong to their match."""
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    w = Words(raw, np.array([0, len(raw)]), NON_ALNUM, True)
-    place = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    start, end = place[w.start], place[w.end]
-    edge = np.zeros(len(start) + 1, np.int64)
-    low, high = np.searchsorted(end, [s[0] for s in spans], "right"), np.searchsorted(start, [s[2] for s in spans], "left")
-    np.add.at(edge, low, 1)
-    np.add.at(edge, np.maximum(low, high), -1)
-    keep = np.cumsum(edge)[:-1] == 0
-    return w.hash.view(np.int64)[keep], start[keep], end[keep]
+_DIGIT, _LETTER = (np.array([bool(re.match(p, chr(c))) for c in range(256)]) for p in ("[0-9]", "[a-z]"))
+
+
+def opaque(w: Words) -> np.ndarray:
+    """Which words are opaque."""
+    out = w.end - w.start >= OPAQUE
+    for table in (_DIGIT, _LETTER):
+        at = np.flatnonzero(out)
+        total = np.concatenate([[0], np.cumsum(table[w.data], dtype=np.int32)]) if len(at) else np.zeros(1, np.int32)
+        out[at] = total[w.end[at]] > total[w.start[at]]
+    return out
+
+
+def cues(w: Words) -> np.ndarray:
+    """Opaque words that follow another word of their text, which may be the cue that they are secret."""
+    at = np.flatnonzero(opaque(w))
+    owner = np.searchsorted(w.first, at, "right") - 1
+    return at[at > w.first[owner]]
+
+
+class Visible:
+    """Words of a text that no match overlaps: term (hash), start, end; and which of them are opaque after a ``cue``."""
+
+    def __init__(self, text: str, spans: list[tuple]):
+        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        w = Words(raw, np.array([0, len(raw)]), NON_ALNUM, True)
+        place = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        start, end = place[w.start], place[w.end]
+        edge = np.zeros(len(start) + 1, np.int64)
+        low, high = np.searchsorted(end, [s[0] for s in spans], "right"), np.searchsorted(start, [s[2] for s in spans], "left")
+        np.add.at(edge, low, 1)
+        np.add.at(edge, np.maximum(low, high), -1)
+        keep = np.cumsum(edge)[:-1] == 0
+        at = cues(w)
+        at = at[keep[at]]
+        self.term, self.start, self.end = w.hash.view(np.int64)[keep], start[keep], end[keep]
+        self.cue, self.cue_start, self.cue_end = w.hash.view(np.int64)[at - 1], start[at], end[at]
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
@@ -89,23 +116,47 @@ _ACTIONS = "array<struct<start:long,end:long,action:string>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of each row and, where it has any, their distinct values and the distinct terms of the text."""
+    """Matches of each row and, where it has any, their distinct values and the distinct terms of the text; opaque words with the word before each."""
     context = TaskContext.get()
     row = (context.partitionId() if context else 0) << 33
     for batch in batches:
-        spans, terms, entities = [], [], []
+        spans, terms, entities, words, before, value, counts = [], [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
         for text in batch.column(2):
             found = base_spans(text.as_py() or "")
             spans.append([{"start": s, "kind": k, "end": e} for s, k, e, _ in found])
             entities.append(sorted({f"{KINDS[k]}:{v}" for _, k, _, v in found}))
-            terms.append(np.unique(visible(text.as_py(), found)[0]) if found else [])
+            terms.append(np.unique(Visible(text.as_py(), found).term) if found else [])
+        for _, _, data, offsets in pieces(batch.column(2)):
+            w = Words(data, offsets, NON_ALNUM, True)
+            at = cues(w)
+            before.append(w.hash.view(np.int64)[at - 1])
+            value.append(w.hash.view(np.int64)[at])
+            counts.append(np.bincount(np.searchsorted(w.first, at, "right") - 1, minlength=w.texts))
+            words += np.diff(w.first).tolist()
+        pairs = pa.StructArray.from_arrays([np.concatenate(before), np.concatenate(value)], ["cue", "value"])
         yield pa.record_batch(
-            [batch.column(0), batch.column(1), pa.array(spans, pa.list_(_SPAN)), pa.array(range(row, row + len(spans)), pa.int64()), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.int64()))],
-            ["doc_id", "text_hash", "spans", "row", "entities", "terms"],
-        )
+            [
+                batch.column(0), batch.column(1), pa.array(spans, pa.list_(_SPAN)), pa.array(range(row, row + len(spans)), pa.int64()), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)), pa.int32()), pairs), pa.array(words, pa.int64()),
+            ],
+            ["doc_id", "text_hash", "spans", "row", "entities", "terms", "opaque", "words"],
+        )
         row += len(spans)
 
 
+def _occurrences(known: np.ndarray | None):
+    """How often words stand in the texts of a batch: each of the sorted ``known``, or all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in pieces(batch.column(0)):
+                h = Words(data, offsets, NON_ALNUM, True).hash.view(np.int64)
+                term, n = np.unique(h if known is None else h[np.isin(h, known)], return_counts=True)
+                yield pa.record_batch([pa.array(term), pa.array(n)], ["term", "n"])
+
+    return run
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each term with the number of texts of a batch in which it stands outside matches."""
     for batch in batches:
@@ -114,7 +165,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = base_spans(text.as_py() or "")
             plain.append(not found)
             if found:
-                keys.append(np.unique(visible(text.as_py(), found)[0]))
+                keys.append(np.unique(Visible(text.as_py(), found).term))
                 counts.append(np.ones(len(keys[-1]), np.int64))
         for _, _, data, offsets in pieces(batch.column(0).filter(pa.array(plain, pa.bool_()))):
             w = Words(data, offsets, NON_ALNUM, True)
@@ -143,30 +194,43 @@ def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(k[new])], ["doc_id", "text_hash", "term"])
 
 
-def _mark(terms: np.ndarray | None = None, gone: np.ndarray | None = None):
-    """Matches and places of flagged terms in each text: of the sorted ``terms``, or of those that its row brings."""
+def _places(flagged: np.ndarray, gone: np.ndarray, term: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[dict]:
+    if not len(flagged) or not len(term):
+        return []
+    at = np.minimum(np.searchsorted(flagged, term), len(flagged) - 1)
+    hit = flagged[at] == term
+    return [{"start": s, "end": e, "action": "remove" if g else "generalise"} for s, e, g in zip(start[hit].tolist(), end[hit].tolist(), gone[at[hit]].tolist(), strict=True)]
+
+
+def _split_flags(flags: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Sorted terms and what becomes of them, then sorted cues and what becomes of the words after them."""
+    return tuple(np.array([x[k] for x in sorted(flags) if x[2] == cue], kind) for cue in (False, True) for k, kind in ((0, np.int64), (1, bool)))
+
+
+def _mark(flags: list[tuple] | None = None):
+    """Matches, places of flagged terms and opaque words after flagged cues in each text: of ``flags`` (term, gone, cue), or of those that its row brings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = None if flags is None else _split_flags(flags)
+        names = None if every is None else np.unique(np.concatenate([every[0], every[2]]))
         for batch in batches:
             texts, spans, actions = batch.column(2).to_pylist(), [], []
-            if terms is None:
-                flagged = [(np.array([t for t, _ in x], np.int64), np.array([g for _, g in x], bool)) if x else None for x in ([sorted((y["term"], y["gone"]) for y in x or []) for x in batch.column(3).to_pylist()])]
+            if every is None:
+                flagged = [_split_flags([(y["term"], y["gone"], y["cue"]) for y in x]) if x else None for x in batch.column(3).to_pylist()]
             else:
                 flagged = []
                 for _, _, data, offsets in pieces(batch.column(2)):
                     w = Words(data, offsets, NON_ALNUM, True)
-                    some = np.bincount(w.owner()[np.isin(w.hash.view(np.int64), terms)], minlength=w.texts) > 0
-                    flagged += [(terms, gone) if x else None for x in some.tolist()]
+                    some = np.bincount(w.owner()[np.isin(w.hash.view(np.int64), names)], minlength=w.texts) > 0
+                    flagged += [every if x else None for x in some.tolist()]
             for text, own in zip(texts, flagged, strict=True):
                 found = base_spans(text or "")
                 out = [{"start": s, "kind": k, "end": e} for s, k, e, _ in found]
                 acts = []
                 if own:
-                    term, start, end = visible(text, found)
-                    at = np.minimum(np.searchsorted(own[0], term), len(own[0]) - 1)
-                    hit = own[0][at] == term
-                    for s, e, g in zip(start[hit].tolist(), end[hit].tolist(), own[1][at[hit]].tolist(), strict=True):
-                        acts.append({"start": s, "end": e, "action": "remove" if g else "generalise"})
+                    v = Visible(text, found)
+                    places = {(x["start"], x["end"]): x for x in _places(*own[:2], v.term, v.start, v.end) + _places(*own[2:], v.cue, v.cue_start, v.cue_end)}
+                    acts = [places[k] for k in sorted(places)]
                     out = sorted(out + [{"start": x["start"], "kind": 4, "end": x["end"]} for x in acts], key=lambda x: (x["start"], x["kind"], x["end"]))
                 spans.append(out)
                 actions.append(acts)
@@ -175,6 +239,22 @@ def _mark(terms: np.ndarray | None = None, gone: np.ndarray | None = None):
     return run
 
 
+def _secret_cues(docs: DataFrame, scan: DataFrame) -> DataFrame | None:
+    """Words (term, gone) that reveal that the opaque word after them is secret; None if there are none to judge."""
+    pairs = scan.select(F.explode("opaque").alias("p")).select("p.cue", "p.value")
+    follow = pairs.groupBy("cue", "value").agg(F.count("*").alias("c")).groupBy("cue").agg(F.sum("c").alias("c"), F.count("*").alias("values")).where(F.col("values") >= SUPPORT)
+    follow = materialize(follow.select(F.col("cue").alias("term"), "c"))
+    n = follow.count()
+    if not n:
+        return None
+    known = np.sort(np.array([r[0] for r in follow.select("term").collect()], np.int64)) if n <= SMALL else None
+    counted = docs.select("text").mapInArrow(_occurrences(known), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    total, words = scan.agg(F.sum(F.size("opaque")), F.sum("words")).first()
+    own = float(np.log2(max(2.0, words / total)))
+    judged = follow.join(counted, "term").withColumn("disclosure", 1 + F.log2(F.col("c") / F.col("n")) / own)
+    return judged.where(F.col("disclosure") >= GENERALISE).select("term", (F.col("disclosure") >= REMOVE).alias("gone"))
+
+
 def _disclosing(docs: DataFrame, scan: DataFrame) -> DataFrame | None:
     """Terms over a threshold for some entity, and whether one of them is the upper (gone); None if no entity is judged."""
     rows = float(scan.count() or 1)
@@ -188,7 +268,7 @@ def _disclosing(docs: DataFrame, scan: DataFrame) -> DataFrame | None:
         .withColumn("most", F.col("f_entity") * F.pow(F.lit(2.0), (1 - GENERALISE) * F.col("own")) * (1 + 1e-9))
         .select("entity", "own", "most")
     )
-    held = materialize(held.join(occurs, "entity"))
+    held = materialize(held.join(materialize(occurs), "entity"))
     if held.isEmpty():
         return None
     frequency = docs.select("text").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("f_term")).where(F.col("f_term") >= SUPPORT)
@@ -214,24 +294,32 @@ def find(docs: DataFrame) -> DataFrame:
     and disclosure spans' action (generalise or remove) in ``actions`` (start, end, action). Null and empty texts
     have no spans. Repeated rows give repeated rows. A null doc_id is kept.
 
-    Protected entities are the patterns' matches by value. A term that stands in the texts of an entity discloses the
-    share 1 + log p(entity | term) / -log p(entity) of the entity's information: the pointwise mutual information over
-    the entity's own. Probabilities are shares of the rows whose text holds the entity or the term, at any distance.
-    Only pairs that stand together in SUPPORT different texts are judged; a term over the threshold for any entity is
-    flagged wherever it stands, in texts without the entity too, but within matches.
+    Protected entities are the patterns' matches by value, and secrets as a class. A term that stands in the texts of
+    an entity discloses the share 1 + log p(entity | term) / -log p(entity) of the entity's information: the pointwise
+    mutual information over the entity's own. Probabilities are shares of the rows whose text holds the entity or the
+    term, at any distance. Only pairs that stand together in SUPPORT different texts are judged; a term over the
+    threshold for any entity is flagged wherever it stands, in texts without the entity too, but within matches.
+
+    An opaque word (OPAQUE bytes or more, with digits and letters) is nothing by itself. A word before it discloses the
+    same share of the information that an opaque word comes next, probabilities being shares of words; it is judged
+    if SUPPORT different opaque words follow it somewhere. Over the threshold it is a cue of secrets, and each opaque
+    word after it is flagged as a term.
+
+    An empty table gives no rows. A text is held whole while it is searched, however long it is.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    scan = materialize(docs.mapInArrow(_scan, f"{_FOUND}, row long, entities array<string>, terms array<long>"))
-    flagged = _disclosing(docs, scan)
-    flagged = flagged and materialize(flagged)
+    scan = materialize(docs.mapInArrow(_scan, f"{_FOUND}, row long, entities array<string>, terms array<long>, opaque array<struct<cue:long,value:long>>, words long"))
+    terms, secret = _disclosing(docs, scan), _secret_cues(docs, scan)
+    parts = [x.select("term", "gone", F.lit(cue).alias("cue")) for x, cue in ((terms, False), (secret, True)) if x is not None]
+    flagged = materialize(parts[0].union(parts[-1]) if len(parts) == 2 else parts[0]) if parts else None
     n = flagged.count() if flagged else 0
     if not n:
         return scan.select("doc_id", "text_hash", "spans", F.array().cast(_ACTIONS).alias("actions"))
     if n <= SMALL:
-        known = sorted(map(tuple, flagged.collect()))
-        return docs.mapInArrow(_mark(np.array([t for t, _ in known], np.int64), np.array([g for _, g in known], bool)), f"{_FOUND}, actions {_ACTIONS}")
+        return docs.mapInArrow(_mark(sorted(map(tuple, flagged.collect()))), f"{_FOUND}, actions {_ACTIONS}")
     own = docs.mapInArrow(_distinct_terms, "doc_id long, text_hash long, term long").join(flagged, "term")
-    own = own.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("term", "gone")).alias("own")).withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
+    own = own.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("term", "gone", "cue")).alias("own")).withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
     joined = docs.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left").select("doc_id", "text_hash", "text", "own")
     return joined.mapInArrow(_mark(), f"{_FOUND}, actions {_ACTIONS}")
 
@@ -266,6 +354,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     All columns of ``docs`` are kept; one named spans, actions, text_hash, d or t does not disturb the work.
     """
+    small_batches(docs.sparkSession)
     spans = find(docs).where(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"), F.first("actions").alias("actions"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     key = F.to_json(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")))

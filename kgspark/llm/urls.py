@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgspark.llm._shared import materialize
+
 #: Verdict, host and path of each rule.
 RULES = [
     ("block", "com", "/en/"),
@@ -17,8 +19,8 @@ RULES = [
 ]
 #: Longest context, weight of the next shorter context's estimate, and the probability of any character without context.
 ORDER, WEIGHT, UNIFORM = 3, 2.0, 1 / 96
-#: The table of distinct grams is broadcast up to so many rows.
-SMALL = 500_000
+#: The table of distinct grams is broadcast up to so many rows of about 200 bytes; a larger one is joined by shuffle.
+SMALL = 100_000
 
 
 def parts(url) -> tuple:
@@ -58,8 +60,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
 
     URLs that a rule decides are the accepted and the rejected examples. Both models count characters after up to
     three others, an example being judged without its own rows. A URL without a rule is allowed if its log-likelihood difference per character reaches the
-    threshold that separates the examples best (the lowest of equals; 0 where one kind is missing). Null and empty
-    URLs have ratio 0. Rows may repeat; each distinct address is scored once.
+    threshold that separates the examples best, in steps of a thousandth (the lowest of equals; 0 where one kind is
+    missing). Null and empty URLs have ratio 0. Rows may repeat; each distinct address is scored once. An empty table
+    gives no rows.
     """
     url = F.coalesce("url", F.lit(""))
     host, path = parts(url)
@@ -67,13 +70,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     rows = rows.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
     rows = rows.select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("decided"))
     rows = rows.withColumn("address", F.concat("host", "path"))
-    known = rows.groupBy("address").agg(F.count_if(F.col("decided") == "allow").alias("a"), F.count_if(F.col("decided") == "block").alias("r"))
+    known = rows.where(F.col("address") != "").groupBy("address").agg(F.count_if(F.col("decided") == "allow").alias("a"), F.count_if(F.col("decided") == "block").alias("r"))
+    # The number is written with its address, so it is the same wherever it is read.
+    known = materialize(known.withColumn("number", F.monotonically_increasing_id()))
     padded = F.concat(F.lit("~" * ORDER), F.col("address"))
     gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("address")), lambda i: F.substring(padded, i, F.lit(ORDER + 1))))
-    grams = known.where(F.length("address") > 0).select("address", "a", "r", gram.alias("gram"))
-    counts = grams.groupBy("gram").agg(F.sum("a").alias("a3"), F.sum("r").alias("r3"))
+    grams = known.select("number", "a", "r", gram.alias("gram"))
+    counts = materialize(grams.groupBy("gram").agg(F.sum("a").alias("a3"), F.sum("r").alias("r3")))
     table = counts
-    totals = counts.agg(F.sum("a3"), F.sum("r3")).first()
+    totals = counts.agg(F.sum("a3"), F.sum("r3"), F.count("*")).first()
     for k in range(ORDER + 1):
         # k characters of context and the last one; then the context alone.
         if k < ORDER:
@@ -85,11 +90,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
             table = table.join(part, F.substring(table["gram"], ORDER + 1 - k, k) == part["context"]).drop("context")
         else:
             table = table.withColumn("ac0", F.lit(totals[0] or 0)).withColumn("rc0", F.lit(totals[1] or 0))
-    if counts.count() <= SMALL:
+    if totals[2] <= SMALL:
         table = F.broadcast(table)
     weight = F.ln(_smoothed("a") / _smoothed("r"))
-    scores = grams.join(table, "gram").groupBy("address").agg((F.sum(weight) / F.count("*")).alias("ratio"))
-    scored = rows.join(scores, "address", "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
+    scores = grams.join(table, "gram").groupBy("number").agg((F.sum(weight) / F.count("*")).alias("ratio"))
+    scores = materialize(known.join(scores, "number").select("address", "ratio"))
+    # Rows without an address have no characters to judge and stay out of the join.
+    scored = rows.where(F.col("address") != "").join(scores, "address", "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
+    scored = scored.unionByName(rows.where(F.col("address") == "").withColumn("ratio", F.lit(0.0)))
     bins = scored.where("decided is not null").groupBy(F.floor(F.col("ratio") * 1000).alias("bin")).agg(F.count_if(F.col("decided") == "allow").alias("a"), F.count_if(F.col("decided") == "block").alias("r"))
     # At most some ten thousand bins: one for each thousandth of the ratio.
     up = Window.orderBy("bin").rowsBetween(0, Window.unboundedFollowing)

@@ -233,10 +233,11 @@ def test_context_tree_is_a_distribution():
     keys = np.array(sorted(codes), np.uint64)
     counts = np.array([codes[int(k)] for k in keys])
     tree = ctw.Tree(keys, counts)
-    level = tree.levels[ctw.TOP]
-    rows = [(x["key"], x["n0"], x["n1"], x["weighted"]) for x in level]
-    packed = [((k >> np.uint64(i) << np.uint64(8)) | np.uint64(1 << i) | (k & np.uint64((1 << i) - 1))).astype(np.int64) for i, (k, *_) in enumerate(rows)]
-    upper = ctw.upper_levels([(p.tobytes(), a.astype(np.int64).tobytes(), b.astype(np.int64).tobytes(), w.tobytes()) for p, (_, a, b, w) in zip(packed, rows, strict=True)])
+    nodes = ctw.parent_sums(tree)
+    whole, weight = ctw.weighed(*nodes[1:])
+    above = (nodes[0] >> 16 << 8) | (nodes[0] & 255)
+    upper = ctw.upper_levels(above, nodes[1], nodes[2], whole)
+    upper[2] = {"key": nodes[0].astype(np.uint64), "n0": nodes[1], "n1": nodes[2], "weight": weight}
     for context in (b"bracad", b"zzzzzz", b"\n\n\n\n\n\n"):
         head = int.from_bytes(context[-d:][::-1], "big") << 8
         p = 10 ** tree.log10(np.array([head | x for x in range(256)], np.uint64), upper)
