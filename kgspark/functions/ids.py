@@ -45,13 +45,16 @@ def raw_checksum(raw: Column) -> Column:
     return F.sha2(raw, 256)
 
 
-def embedding_checksum(**fields: Column) -> Column:
-    """SHA-256 of JSON of the given texts, lower-cased and trimmed; fields without a text are left out.
-
-    Texts must be free of characters that the two sides' JSON writers escape differently.
-    """
-    return F.sha2(F.to_json(F.struct(*[F.nullif(trim(F.lower(c)), F.lit("")).alias(k) for k, c in fields.items()])), 256)
+def json_text(c: Column) -> Column:
+    """A text as JSON writes it: quotes, backslashes and control characters escaped, all else as it is."""
+    out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for code in range(32):
+        short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}.get(code, f"\\u{code:04x}")
+        out = F.replace(out, F.lit(chr(code)), F.lit(short))
+    return F.concat(F.lit('"'), out, F.lit('"'))
 
 
-def lookup_key(name: Column) -> Column:
-    return normalize_name(name)
+def embedding_checksum(**fields: Column) -> Column:
+    """SHA-256 of JSON of the given texts, lower-cased and trimmed; fields without a text are left out."""
+    parts = [F.concat(F.lit(f'"{k}":'), json_text(F.nullif(trim(F.lower(c)), F.lit("")))) for k, c in fields.items()]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,42 +11,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions.ids import embedding_checksum
-from kgspark.functions.text import content_text, entity_text, trim
+from kgspark.functions.text import content_text, entity_text, let, trim
 from kgspark.operators.records import needs_reembedding
 
 SIZE, OVERLAP = 2000, 200
 
 
+#: Code points of the slices of a text in which chunks are looked up.
+_SLICE = 1 << 16
+
+
 def chunk(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Chunks of a text (E8): array of index, text, start, end.
 
     Paragraphs are packed, joined by a space, until the next would pass ``size``; a new chunk starts with the last
     ``overlap`` characters of the one before. A longer paragraph is not split. Offsets are in the re-joined text.
-    The fold carries only the open chunk and the finished ones.
+    The fold runs over the paragraphs' lengths only; each chunk is then cut out once, from the slices it lies in.
     """
-    piece = "struct<text:string,start:int>"
-    blank = F.struct(F.lit("").alias("text"), F.lit(0).alias("start"))
-
-    def step(s, segment):
-        open_ = s["open"]
-        full = F.length(open_["text"]) + F.length(segment) + 1 > size
-        tail = F.right(open_["text"], F.lit(overlap))
-        return (
-            F.when(
-                full & (F.length(open_["text"]) > 0),
-                F.struct(
-                    F.concat(s["done"], F.array(open_)).alias("done"),
-                    F.struct(F.concat(tail, F.lit(" "), segment).alias("text"), (open_["start"] + F.length(open_["text"]) - F.length(tail)).alias("start")).alias("open"),
-                ),
-            )
-            .when(full, F.struct(s["done"].alias("done"), F.struct(segment.alias("text"), open_["start"].alias("start")).alias("open")))
-            .otherwise(F.struct(s["done"].alias("done"), F.struct(F.concat(open_["text"], F.when(F.length(open_["text"]) > 0, " ").otherwise(""), segment).alias("text"), open_["start"].alias("start")).alias("open")))
-        )
-
-    segments = F.split(text, r"\n\n+")
-    folded = F.aggregate(segments, F.struct(F.array().cast(f"array<{piece}>").alias("done"), blank.alias("open")), step)
-    packed = F.concat(folded["done"], F.when(F.length(folded["open"]["text"]) > 0, F.array(folded["open"])).otherwise(F.array().cast(f"array<{piece}>")))
-    many = F.transform(packed, lambda p, i: F.struct(i.alias("index"), trim(p["text"]).alias("text"), p["start"].alias("start"), (p["start"] + F.length(p["text"])).alias("end")))
+    span = "array<struct<start:int,end:int>>"
+    none = F.array().cast(span)
+
+    def step(s, n):
+        long = s["end"] - s["start"]
+        full = long + n + 1 > size
+        start = F.when(full & (long > 0), s["end"] - F.least(F.lit(overlap), long)).otherwise(s["start"])
+        done = F.when(full & (long > 0), F.concat(s["done"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(s["done"])
+        return F.struct(done.alias("done"), start.alias("start"), (s["end"] + F.when(long > 0, 1).otherwise(0) + n).alias("end"))
+
+    def cut(s):
+        first = F.get(s["parts"], F.lit(0)) == ""
+        parts = F.when(first, F.slice(s["parts"], 2, 1 << 30)).otherwise(s["parts"])
+        slices = F.regexp_extract_all(F.array_join(parts, " "), F.lit(f"(?s).{{1,{_SLICE}}}"), F.lit(0))
+        folded = F.aggregate(F.transform(s["parts"], F.length), F.struct(none.alias("done"), F.lit(0).alias("start"), F.lit(0).alias("end")), step)
+        last = F.array(F.struct(folded["start"].alias("start"), folded["end"].alias("end")))
+        return F.struct(slices.alias("slices"), F.concat(folded["done"], F.when(folded["end"] > folded["start"], last).otherwise(none)).alias("spans"))
+
+    def taken(s):
+        def one(c, i):
+            at = F.floor(c["start"] / _SLICE).cast("int")
+            near = F.array_join(F.slice(s["slices"], at + 1, F.floor((c["end"] - 1) / _SLICE).cast("int") - at + 1), "")
+            return F.struct(i.alias("index"), trim(F.substring(near, c["start"] - at * _SLICE + 1, c["end"] - c["start"])).alias("text"), c["start"].alias("start"), c["end"].alias("end"))
+
+        return F.transform(s["spans"], one)
+
+    many = let(let(F.struct(F.split(text, r"\n\n+").alias("parts")), cut), taken)
     one = F.array(F.struct(F.lit(0).alias("index"), text.alias("text"), F.lit(0).alias("start"), F.length(text).alias("end")))
     return F.when(F.length(text) <= size, one).otherwise(many)
 
@@ -60,16 +69,17 @@ def hashed_embedder(dim: int = 64) -> Callable[[pd.Series], list[np.ndarray]]:
     """A stand-in for an embedding model: signed feature hashing of words, of unit length."""
 
     def embed(texts: pd.Series) -> list[np.ndarray]:
-        import zlib
-
-        out = []
-        for text in texts:
-            v = np.zeros(dim, np.float32)
-            for w in (text or "").lower().split():
-                h = zlib.crc32(w.encode())
-                v[h % dim] += 1 if h >> 31 else -1
-            out.append(v / (np.linalg.norm(v) or 1))
-        return out
+        words = [t.lower().split() if t else [] for t in texts]
+        number: dict = {}
+        at = np.array([number.setdefault(w, len(number)) for ws in words for w in ws], np.int64)
+        h = np.array([zlib.crc32(w.encode()) for w in number], np.int64)
+        row = np.repeat(np.arange(len(words)), [len(ws) for ws in words])
+        out = np.zeros((len(words), dim))
+        if len(at):
+            flat = np.bincount(row * dim + (h % dim)[at], np.where(h >> 31, 1.0, -1.0)[at], len(words) * dim)
+            out = flat.reshape(-1, dim)
+        norm = np.sqrt((out * out).sum(1, keepdims=True))
+        return list((out / np.where(norm == 0, 1, norm)).astype(np.float32))
 
     return embed
 

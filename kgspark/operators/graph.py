@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from kgspark.functions.dates import half_up
 from kgspark.functions.ids import entity_id, relationship_id, relationship_key
-from kgspark.functions.text import GENERIC_RELATIONSHIPS, HIGH_VALUE_TYPES, normalize_name
+from kgspark.functions.text import GENERIC_RELATIONSHIPS, HIGH_VALUE_TYPES, normalize_name, relationship_text
+from kgspark.session import written
 
 EDGE_KEY = ["src", "type", "dst"]
 MENTION_TYPES = ["MENTIONED_IN", "MENTIONS_REL"]
@@ -92,9 +93,21 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[Da
     return nodes.join(ids, "id", "left_anti"), left
 
 
-def upsert_nodes(old: DataFrame, new: DataFrame, keep_description: bool = True) -> DataFrame:
-    """Nodes of both by id; the new one's fields win, but a null description leaves the old one."""
-    latest = new.dropDuplicates(["id"])
+def one_of(rows: DataFrame, key: str, order: str | None = None, last: bool = True) -> DataFrame:
+    """One row of each key: the last or first by ``order``, then by the other columns, never by the order of rows."""
+    rest = [c for c in rows.columns if c != key]
+    if not rest:
+        return rows.distinct()
+    by = F.struct(*([F.col(order)] if order else []), *[F.col(c) for c in rest if c != order])
+    return rows.groupBy(key).agg((F.max if last else F.min)(F.struct(by.alias("by"), F.struct(*rest).alias("row"))).alias("x")).select(key, "x.row.*").select(*rows.columns)
+
+
+def upsert_nodes(old: DataFrame, new: DataFrame, keep_description: bool = True, order: str | None = None) -> DataFrame:
+    """Nodes of both by id; the new one's fields win, but a null description leaves the old one.
+
+    Of new rows with the same id the last by ``order`` counts (a column of ``new`` that need not be one of ``old``).
+    """
+    latest = one_of(new, "id", order)
     o = old.select("id", F.struct(*old.columns).alias("o"))
     n = latest.select("id", F.struct(*latest.columns).alias("n"))
     both = o.join(n, "id", "full_outer")
@@ -146,16 +159,32 @@ def page(nodes: DataFrame, edges: DataFrame, skip: int, limit: int) -> tuple[Dat
     return some, induced(edges, some)
 
 
-def paths(edges: DataFrame, source: str, max_depth: int = 5) -> DataFrame:
-    """Undirected walks from a node of 1 to ``max_depth`` edges that repeat no edge (C23): nodes, kinds and depth."""
+def paths(edges: DataFrame, source: str, target: str, max_depth: int = 5, limit: int = 10) -> DataFrame:
+    """Undirected walks between two nodes of 1 to ``max_depth`` edges that repeat no edge (C23): nodes and depth.
+
+    The shortest ones first, then by their nodes, ``limit`` at most. Nodes that can reach the target in the edges left
+    are found from the target, as sets; walks from the source only step on those, so a hub's other edges are never
+    walked.
+    """
     key = F.concat_ws("|", "src", "type", "dst")
-    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), key.alias("edge")).union(edges.where("src <> dst").select("dst", "src", key)).distinct()
-    level = step.where(F.col("at") == source).select(F.array("at", "to").alias("nodes"), F.array("edge").alias("edges"), F.col("to").alias("last"))
-    found = level
-    for _ in range(1, max_depth):
-        level = level.join(step, level["last"] == step["at"]).where(~F.array_contains("edges", F.col("edge"))).select(F.concat("nodes", F.array("to")).alias("nodes"), F.concat("edges", F.array("edge")).alias("edges"), F.col("to").alias("last"))
-        found = found.unionByName(level)
-    return found.select("nodes", F.size("edges").alias("depth"), F.col("last").alias("target"))
+    step = written(edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), key.alias("edge")).union(edges.where("src <> dst").select("dst", "src", key)).distinct())
+    spark = edges.sparkSession
+    near = written(spark.range(1).select(F.lit(target).alias("to"), F.lit(0).alias("left")))
+    for k in range(1, max_depth):
+        new = step.join(near.where(F.col("left") == k - 1), "to", "left_semi").select(F.col("at").alias("to")).distinct().join(near, "to", "left_anti")
+        near = near.union(written(new.select("to", F.lit(k).alias("left"))))
+    level = spark.range(1).select(F.array(F.lit(source)).alias("nodes"), F.array().cast("array<string>").alias("edges"), F.lit(source).alias("last"))
+    found = level.where(F.lit(False)).select("nodes", F.lit(0).alias("depth"))
+    for depth in range(1, max_depth + 1):
+        level = written(
+            level.join(step.join(near.where(F.col("left") <= max_depth - depth), "to", "left_semi"), F.col("last") == F.col("at"))
+            .where(~F.array_contains("edges", F.col("edge")))
+            .select(F.concat("nodes", F.array("to")).alias("nodes"), F.concat("edges", F.array("edge")).alias("edges"), F.col("to").alias("last"))
+        )
+        found = found.union(level.where(F.col("last") == target).select("nodes", F.lit(depth).alias("depth")))
+        if found.limit(limit).count() == limit:
+            break  # longer ones come later
+    return found.orderBy("depth", F.array_join("nodes", ">")).limit(limit)
 
 
 def score_map(edges: DataFrame, initial: DataFrame) -> DataFrame:
@@ -303,6 +332,14 @@ def edges_from(edges: DataFrame, prefix: str, skip: int = 0, limit: int = 1000)
 
 
 def index_config_entities(nodes: DataFrame, edges: DataFrame, entities: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges with entities (id, type, title) and links that a configuration extracts."""
-    new = entities.select("id", F.col("type").alias("label"), "title").dropDuplicates(["id"])
+    """Nodes and edges with entities (id, type, title) and links that a configuration extracts (I14); of equal ids the least row."""
+    new = one_of(entities.select("id", F.col("type").alias("label"), "title"), "id", last=False)
     return upsert_nodes(nodes, new), upsert_edges(edges, links)
+
+
+def relationship_texts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (with description) and the text that is embedded for each, by the titles of both ends."""
+    s = nodes.select(F.col("id").alias("src"), F.col("title").alias("s"))
+    d = nodes.select(F.col("id").alias("dst"), F.col("title").alias("d"))
+    named = edges.join(s, "src", "left").join(d, "dst", "left")
+    return named.withColumn("text", relationship_text(F.coalesce("s", "src"), F.col("type"), F.coalesce("d", "dst"), F.col("description"))).drop("s", "d")

@@ -34,11 +34,26 @@ def user_sessions(records: DataFrame, user: str, seconds: Column, context: str |
     return rows.withColumn("session_start", F.min("_s").over(Window.partitionBy(user, "session"))).drop("_s")
 
 
+#: Sessions of a range in which numbers are counted on.
+_RANGE = 50_000
+
+
 def number_sessions(sessions: DataFrame, user: str) -> DataFrame:
-    """One row a session with its number over all users, by each user's first activity (E3); a report-sized result."""
+    """One row a session with its number over all users, by each user's first activity.
+
+    First activities are cut into ranges by approximate quantiles; a number is the count of sessions in earlier ranges
+    and its place in its own, so no task sees all sessions. Only the ranges' counts are added up in one place.
+    """
     per = sessions.groupBy(user, "session").agg(F.min("session_start").alias("start"), F.count("*").alias("n"))
-    first = per.groupBy(user).agg(F.min("start").alias("first"))
-    return per.join(first, user).withColumn("number", F.row_number().over(Window.orderBy("first", user, "session")) - 1).drop("first")
+    per = per.withColumn("first", F.min("start").over(Window.partitionBy(user)))
+    rows = per.count()
+    ranges = min(10_000, -(-rows // _RANGE))
+    cuts = per.agg(F.percentile_approx("first", [k / ranges for k in range(1, ranges)], 100_000)).first()[0] if ranges > 1 else []
+    bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array(F.lit(None).cast("double"))
+    placed = per.withColumn("_r", F.size(F.filter(bounds, lambda b: b < F.col("first"))))
+    before = placed.groupBy("_r").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(Window.orderBy("_r")) - F.col("_c"))
+    order = Window.partitionBy("_r").orderBy("first", user, "session")
+    return placed.join(F.broadcast(before.select("_r", "_before")), "_r").withColumn("number", (F.col("_before") + F.row_number().over(order) - 1).cast("int")).drop("first", "_r", "_before")
 
 
 def time_windows(records: DataFrame, seconds: Column, window: int, page: str, same: list[str] | None = None, order: str = "ord") -> DataFrame:

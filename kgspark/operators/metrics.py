@@ -5,29 +5,62 @@ Judgements: ``retrieved`` (query, pos from 1, id) and ``relevant`` (query, id).
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions.dates import half_up
-from kgspark.functions.text import let, normalize_text
+from kgspark.functions.text import normalize_text
+from kgspark.operators.phrases import automaton, found_in, match
 
 
 def summary(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Mean, median, population deviation, nearest-rank p95 and p99, extremes, sum and count."""
+    """Mean, median, population deviation, nearest-rank p95 and p99, extremes, sum and count.
+
+    Groups keep their values together, as exact percentiles need; without groups the ranks are found by narrowing
+    ranges instead, so no task holds all values.
+    """
     v = F.col(value)
-    nearest = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)")
-    aggs = [
-        F.avg(v).alias("mean"),
-        F.median(v).alias("median"),
-        F.stddev_pop(v).alias("std_dev"),
-        nearest(0.95).alias("p95"),
-        nearest(0.99).alias("p99"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.sum(v).alias("sum"),
-        F.count(v).alias("n"),
-    ]
-    return rows.groupBy(*(by or [])).agg(*aggs)
+    plain = [F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_dev"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"), F.count(v).alias("n")]
+    if by:
+        nearest = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)")
+        out = rows.groupBy(*by).agg(*plain, F.median(v).alias("median"), nearest(0.95).alias("p95"), nearest(0.99).alias("p99"))
+    else:
+        n = rows.agg(F.count(v)).first()[0]
+        at = lambda rank: value_at(rows, value, rank) if n else None
+        kind = rows.schema[value].dataType.simpleString()
+        middle = [at((n + 1) // 2), at(n // 2 + 1)]
+        found = {"median": (F.lit(middle[0]).cast("double") + F.lit(middle[1]).cast("double")) / 2, "p95": F.lit(at(-(-n * 95 // 100))).cast(kind), "p99": F.lit(at(-(-n * 99 // 100))).cast(kind)}
+        out = rows.agg(*plain).withColumns(found)
+    return out.select(*(by or []), "mean", "median", "std_dev", "p95", "p99", "min", "max", "sum", "n")
+
+
+#: Rows among which a rank is looked up at once.
+_FEW = 100_000
+
+
+def value_at(rows: DataFrame, value: str, rank: int):
+    """The value of a rank (from 1) in ascending order, exactly, without sorting all values.
+
+    Approximate percentiles bound a range round the rank, counts make the rank within it exact, and the range is
+    narrowed until few values are left. Nulls have no rank.
+    """
+    part, below = rows.select(F.col(value).alias("v")).where("v is not null"), 0
+    while True:
+        n = part.count()
+        if n <= _FEW:
+            w = Window.orderBy("v")
+            return part.groupBy("v").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(w)).where(F.col("upto") >= rank - below).agg(F.min("v")).first()[0]
+        share = (rank - below) / n
+        low, high = part.agg(F.percentile_approx("v", [max(0.0, share - 0.002), min(1.0, share + 0.002)], 10_000)).first()[0]
+        if low == high:
+            return low
+        under, inside = part.agg(F.count_if(F.col("v") < low), F.count_if((F.col("v") >= low) & (F.col("v") <= high))).first()
+        if inside == n:
+            # So few different values that they can be counted.
+            w = Window.orderBy("v")
+            return part.groupBy("v").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(w)).where(F.col("upto") >= rank - below).agg(F.min("v")).first()[0]
+        part, below = part.where((F.col("v") >= low) & (F.col("v") <= high)), below + under
 
 
 def judged(retrieved: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -111,11 +144,13 @@ def matrix_analysis(runs: DataFrame, base: str, other: str) -> DataFrame:
     )
 
 
-def scenario_matrix(agents: DataFrame, scenarios: DataFrame, setups: list[str], iterations: int) -> DataFrame:
-    """Every agent with every scenario, setup and iteration (C26): a small product by design."""
-    options = F.explode(F.array(*map(F.lit, setups)))
-    times = F.explode(F.sequence(F.lit(1), F.lit(iterations)))
-    return agents.select("agent").crossJoin(F.broadcast(scenarios.select("scenario"))).withColumn("setup", options).withColumn("iteration", times)
+def scenario_matrix(agents: DataFrame, scenarios: DataFrame, setups: list[str], iterations: int, most: int = 10_000) -> DataFrame:
+    """Every agent with every scenario, setup and iteration (C26). The product is the result; scenarios are a stated list of at most ``most``."""
+    names = [r[0] for r in scenarios.select("scenario").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"over {most} scenarios")
+    every = lambda values: F.explode(F.array(*map(F.lit, values)))
+    return agents.select("agent").withColumn("scenario", every(names)).withColumn("setup", every(setups)).withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
 
 
 def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -126,8 +161,12 @@ def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def run_log(log: DataFrame, run: DataFrame) -> DataFrame:
-    """A log with one more run, and day totals."""
-    return log.unionByName(run)
+    """A log (start, and counts) with one more run, each row with the totals of its day."""
+    rows = log.unionByName(run)
+    counts = [c for c, kind in rows.dtypes if kind in ("int", "bigint", "double")]
+    day = F.to_date("start").alias("day")
+    totals = rows.groupBy(day).agg(*[F.sum(c).alias(f"day_{c}") for c in counts])
+    return rows.withColumn("day", day).join(totals, "day").drop("day")
 
 
 def next_range(log: DataFrame, days: int) -> DataFrame:
@@ -135,34 +174,39 @@ def next_range(log: DataFrame, days: int) -> DataFrame:
     return log.agg(F.min("start").alias("end")).select(F.date_sub("end", days).alias("start"), "end")
 
 
-def matched_items(responses: DataFrame, items: DataFrame, small: int = 1000) -> DataFrame:
+def _item_index(pairs: list[tuple]) -> tuple:
+    """Items by text, a searcher for whole ones, and for each counted word the items it counts for, as often as they have it."""
+    texts = sorted({t for _, t in pairs})
+    ids: dict = {t: [] for t in texts}
+    for k, t in pairs:
+        ids[t].append(k)
+    words = [[w for w in t.split(" ") if len(w) > 2] for t in texts]
+    postings: dict = {}
+    for i, ws in enumerate(words):
+        for w in ws:
+            postings.setdefault(w, []).append(i)
+    needed = np.array([0.7 * len(ws) if ws else np.inf for ws in words])
+    return automaton(texts), {w: np.array(x) for w, x in postings.items()}, needed, [ids[t] for t in texts], [i for i, t in enumerate(texts) if not t]
+
+
+def _items_met(state: tuple, text: str) -> list:
+    searcher, postings, needed, ids, every = state
+    own = [postings[w] for w in set(text.split(" ")) if w in postings]
+    met = set(np.flatnonzero(np.bincount(np.concatenate(own), minlength=len(ids)) >= needed).tolist()) if own else set()
+    return list(dict.fromkeys(k for i in sorted(met | found_in(searcher, text) | set(every)) for k in ids[i]))
+
+
+def matched_items(responses: DataFrame, items: DataFrame) -> DataFrame:
     """Which responses (doc_id, text) satisfy which required items (item_id, text) (H34): doc_id, item_id.
 
-    An item is satisfied if it stands whole in a response or if 0.7 of its words of over two letters do. Pairs come
-    from equi-joins: a response with 0.7 of the words has one of the item's rarest 0.3 and a little more, rarity being
-    the number of responses with the word; one that holds a whole item has all its words but the first and last, so
-    items of seven counted words or more need no other search and shorter ones are sought by their longest inner word.
-    Items of one or two words have none and meet every response; they are broadcast up to ``small`` of them. Null
-    texts satisfy nothing; an item without words is in every response. Repeated rows give one row.
+    An item is satisfied if it stands whole in a response or if 0.7 of its words of over two letters do. Items are a
+    stated query set: they go out in blocks of bounded size, and one pass over the responses for each block looks up
+    every word once and searches for all whole items at a time; no text is shuffled. Null texts satisfy nothing; an
+    item without words is in every response. Repeated rows give one row.
     """
-    r = responses.select("doc_id", normalize_text(F.col("text")).alias("r")).where("r is not null")
-    i = items.select("item_id", normalize_text(F.col("text")).alias("i")).where("i is not null").distinct()
-    i = i.withColumn("all", F.split("i", " ")).withColumn("ws", F.filter("all", lambda w: F.length(w) > 2)).withColumn("n", F.size("ws"))
-    have = r.select("doc_id", F.explode(F.array_distinct(F.split("r", " "))).alias("w"))
-    words = i.select("item_id", "i", "n", F.explode("ws").alias("w")).groupBy("item_id", "i", "n", "w").agg(F.count("*").alias("times"))
-    frequency = have.join(words.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("f"))
-    rarest = Window.partitionBy("item_id", "i").orderBy(F.coalesce("f", F.lit(0)), "w")
-    prefix = words.join(frequency, "w", "left").withColumn("before", F.sum("times").over(rarest) - F.col("times"))
-    prefix = prefix.where(F.col("n") - F.col("before") >= 0.7 * F.col("n")).select("item_id", "i", "w")
-    inner = i.where((F.size("all") > 2) & (F.col("n") < 7)).withColumn("inner", F.slice("all", F.lit(2), F.size("all") - 2))
-    anchor = inner.select("item_id", "i", F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("length"), w.alias("w"))))["w"].alias("w"))
-    pairs = have.join(prefix.union(anchor), "w").select(F.col("doc_id").alias("d"), "item_id", "i").distinct()
-    pairs = pairs.join(i.select(F.col("item_id").alias("id"), F.col("i").alias("t"), "ws", "n"), F.col("item_id").eqNullSafe(F.col("id")) & (F.col("i") == F.col("t")))
-    found = let(F.array_intersect("ws", F.split("r", " ")), lambda c: F.size(F.filter("ws", lambda w: F.array_contains(c, w))))
-    met = r.join(pairs, F.col("doc_id").eqNullSafe(F.col("d"))).where(F.contains("r", F.col("i")) | ((F.col("n") > 0) & (found >= 0.7 * F.col("n"))))
-    brief = i.where(F.size("all") < 3).select("item_id", "i")
-    brief = F.broadcast(brief) if brief.limit(small + 1).count() <= small else brief
-    return met.select("doc_id", "item_id").union(r.join(brief, F.contains("r", F.col("i"))).select("doc_id", "item_id")).distinct()
+    r = responses.select("doc_id", normalize_text(F.col("text")).alias("r"))
+    i = items.select("item_id", normalize_text(F.col("text")).alias("i"))
+    return match(r, "doc_id", "r", i, "item_id", "i", _item_index, _items_met).distinct()
 
 
 def evaluate(retrieved: DataFrame, relevant: DataFrame) -> DataFrame:

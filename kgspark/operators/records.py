@@ -127,3 +127,8 @@ def activity(states: DataFrame, records: DataFrame, minutes: int = 5, limit: int
     r = records.select(F.col("source").alias("_src"), F.unix_seconds("synced_at").alias("_rt")).withColumn("_rb", F.floor(F.col("_rt") / width))
     near = s.join(r, (F.col("_b") == F.col("_rb")) & (F.col("source") == F.col("_src")) & (F.abs(F.col("_t") - F.col("_rt")) <= width), "left")
     return near.groupBy("source", "synced_at").agg(F.count("_rt").alias("n"))
+
+
+def newest(rows: DataFrame, date: str, key: str, n: int = 1) -> DataFrame:
+    """The last rows by a date, ties by key: the newest synced record, the last sync states, a capped history."""
+    return rows.orderBy(F.desc_nulls_last(date), key).limit(n)

@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.operators.graph import one_of
+
 ENTITY_TYPES = "name string, description string"
 RELATIONSHIP_TYPES = "name string, source_types array<string>, target_types array<string>, bidirectional boolean"
 HISTORY = "version int, updated_at timestamp, reason string, entity_types_added int, relationship_types_added int, total_entity_types int, total_relationship_types int"
@@ -20,9 +22,9 @@ def new(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def add(types: DataFrame, found: DataFrame) -> DataFrame:
-    """Types with those of ``found`` that are new by name, the first of equals."""
+    """Types with those of ``found`` that are new by name (G5); of equal names the least row, whatever the order of rows."""
     fresh = found.join(types.select("name"), "name", "left_anti").select(*types.columns)
-    return types.unionByName(fresh.dropDuplicates(["name"]))
+    return types.unionByName(one_of(fresh, "name", last=False))
 
 
 def update(registry: dict[str, DataFrame], entities: DataFrame, relationships: DataFrame, reason: str, at: datetime.datetime) -> dict[str, DataFrame]:

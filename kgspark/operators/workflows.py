@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import ISSUE_REFERENCE, references
+from kgspark.operators.phrases import match
 
 
 def threads(messages: DataFrame) -> DataFrame:
@@ -35,12 +36,13 @@ def issue_references(rows: DataFrame, key: str, text: str) -> DataFrame:
 def claim_threads(owners: DataFrame, messages: DataFrame) -> DataFrame:
     """Threads by the first owner that one of their messages mentions (C21): thread_id, owner.
 
-    ``owners``: owner, phase, ord, phrase; a stated list of meetings and pages, sent to all tasks. Greedy claiming in
-    order gives each thread to its first match, which is the least (phase, ord), so no loop is needed.
+    ``owners``: owner, phase, ord, phrase; a stated list of meetings and pages, searched for in one pass over the
+    messages. Greedy claiming in order gives each thread to its first match, which is the least (phase, ord), so no
+    loop is needed.
     """
     m = messages.select(F.coalesce(F.nullif("thread_ts", F.lit("")), "ts").alias("thread_id"), "text")
-    hits = m.join(F.broadcast(owners.where(F.length("phrase") > 0)), F.contains("text", F.col("phrase")))
-    return hits.groupBy("thread_id").agg(F.min_by("owner", F.struct("phase", "ord")).alias("owner"))
+    hits = match(m, "thread_id", "text", owners.where(F.length("phrase") > 0), "owner", "phrase").distinct()
+    return hits.join(owners.select("owner", "phase", "ord"), "owner").groupBy("thread_id").agg(F.min_by("owner", F.struct("phase", "ord")).alias("owner"))
 
 
 def workflows(owners: DataFrame, messages: DataFrame) -> DataFrame:

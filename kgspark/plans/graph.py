@@ -48,14 +48,14 @@ def graph_page(spark, sf_dir):
 _PATHS = """
 WITH RECURSIVE """ + GRAPH.strip() + """, base AS (SELECT src, type, dst FROM edges),
 step AS (SELECT src AS a, dst AS b, src || '|' || type || '|' || dst AS e FROM base UNION SELECT dst, src, src || '|' || type || '|' || dst FROM base WHERE src <> dst),
-walk AS (SELECT [a, b] AS n, [e] AS es, b AS last FROM step WHERE a = 's1' UNION ALL SELECT list_append(n, b), list_append(es, e), b FROM walk JOIN step ON a = last WHERE NOT list_contains(es, e) AND len(es) < 3)
-SELECT array_to_string(n, '>') AS path, CAST(len(es) AS INT) AS depth, last AS target FROM walk
+walk AS (SELECT [a, b] AS n, [e] AS es, b AS last FROM step WHERE a = 'n1' UNION ALL SELECT list_append(n, b), list_append(es, e), b FROM walk JOIN step ON a = last WHERE NOT list_contains(es, e) AND len(es) < 4)
+SELECT array_to_string(n, '>') AS path, CAST(len(es) AS INT) AS depth FROM walk WHERE last = 'n6' ORDER BY depth, path LIMIT 10
 """
 
 
 @query(_PATHS)
 def paths_bounded(spark, sf_dir):
-    return G.paths(edges(spark, sf_dir), "s1", 3).select(F.array_join("nodes", ">").alias("path"), "depth", "target")
+    return G.paths(edges(spark, sf_dir), "n1", "n6", 4).select(F.array_join("nodes", ">").alias("path"), "depth")
 
 
 @query(f"WITH {GRAPH} SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM edges WHERE type = 'PLACED_BY' UNION SELECT dst FROM edges WHERE type = 'PLACED_BY')")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.functions.vector import cosine, literal
 from kgspark.operators import search as S
+from kgspark.operators.graph import one_hop
+from kgspark.operators.graph import score_map as scores_of
 from kgspark.plans.registry import query
-from kgspark.plans.tables import SEARCH, request, search_tables, vectors
+from kgspark.plans.tables import SEARCH, request, requests, search_tables, vectors
 
 _OUT = "SELECT r.source, r.record_type, r._id, round(x.score, 6) AS score FROM {} x JOIN records r USING (_id)"
 
@@ -17,10 +20,10 @@ def _run(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     return rows.select("source", "record_type", "_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {SEARCH} SELECT id, score FROM hits WHERE query = 0 AND type = 'chunk' AND score >= 0.1 ORDER BY score DESC, id LIMIT 20")
+@query(f"WITH {SEARCH} SELECT id, round(score, 6) AS score FROM hits WHERE query = 0 AND type = 'chunk' AND hits.score >= 0.1 ORDER BY hits.score DESC, id LIMIT 20")
 def vec_topk(spark, sf_dir):
     r = request(spark, sf_dir)
-    return S.top_k(vectors(spark, sf_dir), r.vector, 20, r.threshold, "chunk").select("id", "score")
+    return S.top_k(search_tables(spark, sf_dir).vectors, r.vector, 20, r.threshold, "chunk").select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {SEARCH}, best AS (SELECT record_id AS _id, max(score) AS score FROM (SELECT * FROM hits WHERE query = 0 AND type = 'chunk' AND score >= 0.1 ORDER BY score DESC, id LIMIT 20) GROUP BY 1) " + _OUT.format("best"))
@@ -52,13 +55,28 @@ best AS (SELECT * FROM mixed WHERE score >= 0.3 ORDER BY score DESC, _id LIMIT 2
 @query(f"WITH {SEARCH}{_MIXED}" + _OUT.format("best"))
 def retrieve_mix_threshold(spark, sf_dir):
     t, r = search_tables(spark, sf_dir), request(spark, sf_dir, text="the with of")
-    return S.mix(t, r, least=0.3).select("source", "record_type", "_id", F.round("score", 6).alias("score"))
+    return S.retrieve(t, r, S.overlap_scorer(r.text), 0.3).select("source", "record_type", "_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {SEARCH} SELECT id, max(score) AS score FROM found GROUP BY id")
+@query(f"WITH {SEARCH} " + _OUT.format("hybrid_rows"))
+def retrieve_mix_without_reranker(spark, sf_dir):
+    return _run(spark, sf_dir, "mix")
+
+
+@query(
+    f"""WITH {SEARCH}, asked AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 40),
+near AS MATERIALIZED (SELECT a.query, v.record_id, list_cosine_similarity(e, q) AS score, v.id FROM vectors v, asked a WHERE type = 'chunk'),
+best AS (SELECT query, record_id AS _id, max(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS n FROM near WHERE score >= 0.1) WHERE n <= 20 GROUP BY 1, 2)
+SELECT CAST(query AS INT) AS query, _id, round(score, 6) AS score FROM best JOIN records USING (_id)"""
+)
+def retrieve_batch(spark, sf_dir):
+    return S.answer(search_tables(spark, sf_dir), requests(spark, sf_dir, 40, mode="naive")).select("query", "_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {SEARCH} SELECT id, round(max(score), 6) AS score FROM found GROUP BY id")
 def entity_records(spark, sf_dir):
     r = request(spark, sf_dir)
-    return S.records_of_entities(search_tables(spark, sf_dir), r.low, r.top_k, r.threshold)
+    return S.records_of_entities(search_tables(spark, sf_dir), r.low, r.top_k, r.threshold).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {SEARCH} SELECT src, dst, confidence, CAST(floor(confidence * 10 + 0.5) AS BIGINT) AS weight FROM named WHERE query = 5")
@@ -73,8 +91,8 @@ def score_map(spark, sf_dir):
     t, r = search_tables(spark, sf_dir), request(spark, sf_dir)
     found = S.records_of_entities(t, r.low, r.top_k, r.threshold)
     named = S.relationships_of_query(t, r.low, r.top_k // 2, r.threshold)
-    around = S.one_hop(t.edges, found).select("src", "dst", "type", "confidence")
-    return S.score_map(around.unionByName(named), found).withColumn("score", F.round("score", 6))
+    around = one_hop(t.edges, found).select("src", "dst", "type", "confidence")
+    return scores_of(around.unionByName(named), found).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -84,7 +102,7 @@ FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DES
 def first_wins_dedup(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     q = request(spark, sf_dir).vector
-    rows = rows.select("label", F.col("vec_id").alias("id"), F.round(S.cosine(F.col("embedding"), S.literal(q)), 6).alias("score"))
+    rows = rows.select("label", F.col("vec_id").alias("id"), F.round(cosine(F.col("embedding"), literal(q)), 6).alias("score"))
     return S.first_wins(rows, "label", [F.desc("score"), F.col("id")])
 
 

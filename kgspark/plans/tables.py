@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions.ids import content_checksum
 from kgspark.operators.search import Request, Tables
+from kgspark.session import written
 
 #: Seconds of 2024-01-01 UTC.
 START = 1704067200
@@ -93,10 +94,17 @@ def record_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(docs.select(F.col("doc_id").alias("t"), F.col("_id").alias("dst")), "t").select("src", "dst", "type", "confidence")
 
 
+_INDEX: dict[tuple, Tables] = {}
+
+
 def search_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    v = vectors(spark, sf_dir)
-    v = v.select(*[F.col(c).cast("string").alias(c) if c in ("entity_id", "source_entity_id", "target_entity_id") else F.col(c) for c in v.columns])
-    return Tables(v, metadata(spark, sf_dir), records(spark, sf_dir), record_edges(spark, sf_dir))
+    """The engine's index of a folder: its tables are derived and written on first use, then read by every search."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEX:
+        v = vectors(spark, sf_dir)
+        v = v.select(*[F.col(c).cast("string").alias(c) if c in ("entity_id", "source_entity_id", "target_entity_id") else F.col(c) for c in v.columns])
+        _INDEX[key] = Tables(*(written(t) for t in (v, metadata(spark, sf_dir), records(spark, sf_dir).select("_id", "source", "record_type", "title", "content"), record_edges(spark, sf_dir))))
+    return _INDEX[key]
 
 
 def request(spark: SparkSession, sf_dir: str, **options) -> Request:
@@ -105,21 +113,27 @@ def request(spark: SparkSession, sf_dir: str, **options) -> Request:
     return Request(rows[0], rows[1], rows[5], **{"threshold": 0.1, **options})
 
 
+def requests(spark: SparkSession, sf_dir: str, n: int, **options) -> list[Request]:
+    """A batch of requests: the first n embeddings, each as all three vectors."""
+    rows = read(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select("vec_id", "embedding").orderBy("vec_id").collect()
+    return [Request(*[list(r[1])] * 3, **{"threshold": 0.1, **options}) for r in rows]
+
+
 SEARCH = f"""
 {RECORDS.strip()},
 n AS (SELECT count(*) AS n FROM documents),
-vectors AS (
+vectors AS MATERIALIZED (
   SELECT e.vec_id AS id, ['chunk', 'entity', 'relationship'][e.vec_id % 3 + 1] AS type, CAST(embedding AS DOUBLE[]) AS e, r._id AS record_id
   FROM embeddings e, n, records r WHERE r.doc_id = e.vec_id * 7 % n),
-metadata AS (
+metadata AS MATERIALIZED (
   SELECT e.vec_id AS entity_id, o, r._id FROM embeddings e, n, (VALUES (0), (1)) AS t(o), records r
   WHERE e.vec_id % 3 = 1 AND r.doc_id = CASE o WHEN 0 THEN e.vec_id * 3 % n ELSE (e.vec_id * 5 + 1) % n END),
 edges AS (
   SELECT a._id AS src, b._id AS dst, 'T' || (a.doc_id % 3) AS type, (a.doc_id % 10 + 1) / 10.0::DOUBLE AS confidence
   FROM records a, n, records b WHERE b.doc_id = (a.doc_id * 7 + 3) % n AND a.doc_id % 4 <> 0),
 q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id IN (0, 1, 5)),
-hits AS (SELECT v.*, q.vec_id AS query, round(list_cosine_similarity(e, q), 6) AS score FROM vectors v, q),
-named AS (
+hits AS MATERIALIZED (SELECT v.*, q.vec_id AS query, list_cosine_similarity(e, q) AS score FROM vectors v, q),
+named AS MATERIALIZED (
   SELECT query, h.id, coalesce(s._id, CAST(h.id - 1 AS VARCHAR)) AS src, coalesce(d._id, CAST(h.id + 2 AS VARCHAR)) AS dst, (h.id % 10 + 1) / 10.0::DOUBLE AS confidence
   FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS n FROM hits WHERE type = 'relationship' AND score >= 0.1) h
   LEFT JOIN metadata s ON s.entity_id = h.id - 1 AND s.o = 0 LEFT JOIN metadata d ON d.entity_id = h.id + 2 AND d.o = 0

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from kgspark.functions import ids as I
 from kgspark.functions import markup as M
 from kgspark.functions import text as T
-from kgspark.operators.search import keyword_phrases
+from kgspark.operators import search
+from kgspark.operators.phrases import match
 from kgspark.plans.registry import query
 from kgspark.plans.tables import read
 
@@ -69,15 +70,14 @@ def xref_join(spark, sf_dir):
     k = F.col("c_custkey")
     text = F.concat(F.lit("#"), (k % 25).cast("string"), F.lit(" #"), (k % 7).cast("string"))
     refs = read(spark, sf_dir, "customer").select("c_custkey", F.explode(T.references(text, T.ISSUE_REFERENCE)).alias("r"))
-    return refs.join(F.broadcast(read(spark, sf_dir, "nation")), F.col("r") == F.col("n_nationkey").cast("string")).select("n_name", "c_custkey").distinct()
+    return refs.join(read(spark, sf_dir, "nation"), F.col("r") == F.col("n_nationkey").cast("string")).select("n_name", "c_custkey").distinct()
 
 
-@query("SELECT min(doc_id) AS doc_id, item_id FROM documents d JOIN (SELECT item_id, string_split(text, ' ')[2] AS p FROM benchmark) ON contains(d.text, p) GROUP BY item_id")
+@query("SELECT min(doc_id) AS doc_id, item_id FROM documents d JOIN (SELECT item_id, unnest([string_split(text, ' ')[2], text]) AS p FROM benchmark) ON contains(d.text, p) GROUP BY item_id")
 def substring_join(spark, sf_dir):
-    """The first document that holds each phrase (C21): phrases are a small query set, sent to all tasks."""
-    phrases = F.broadcast(read(spark, sf_dir, "benchmark").select("item_id", F.element_at(F.split("text", " "), 2).alias("p")))
-    hit = read(spark, sf_dir, "documents").join(phrases, F.contains("text", F.col("p")))
-    return hit.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    """The first document that holds each item's text or its second word."""
+    phrases = read(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array(F.element_at(F.split("text", " "), 2), "text")).alias("p"))
+    return match(read(spark, sf_dir, "documents"), "doc_id", "text", phrases, "item_id", "p").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
 
 
 @query("SELECT p_partkey, lower('PART') || '' AS kind, 'tpc_part_' || p_partkey AS id, lower(trim(p_brand)) || '|HAS|' || lower(trim(p_type)) AS key, p_brand || ' -[HAS]-> Unknown' AS text FROM part")
@@ -91,8 +91,18 @@ def record_keys(spark, sf_dir):
     )
 
 
-@query("SELECT 'high_level' AS level, unnest(['compare', 'revenue', 'between']) AS word UNION ALL SELECT 'low_level', unnest(['acme corp', 'berlin'])")
+_STOP = "('the', 'a', 'an', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for')"
+_CLEAN = "list_filter([trim(lower(x)) for x in {}], lambda x: length(x) > 2 AND x NOT IN " + _STOP + ")"
+_FIRSTS = "[x for x, i in {0} if list_position({0}, x) = i]"
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, [trim(x, '.,;:!?"''()') for x in string_split_regex(text, '\\s+')] AS ws FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, {_CLEAN.format("regexp_extract_all(' ' || array_to_string(ws, ' '), ' (\\p{Lu}[^ ]*(?: \\p{Lu}[^ ]*)*)', 1)")} AS low, {_CLEAN.format("list_filter(ws, lambda x: length(x) > 3)")} AS rest FROM w),
+d AS (SELECT doc_id, {_FIRSTS.format("low")} AS low, {_FIRSTS.format("rest")} AS rest FROM l),
+u AS (SELECT doc_id, low, rest, list_concat(low, flatten([string_split(x, ' ') for x in low])) AS used FROM d)
+SELECT doc_id, low[1:7] AS low_level, list_filter(rest, lambda x: NOT list_contains(used, x))[1:5] AS high_level FROM u"""
+)
 def keywords(spark, sf_dir):
-    found = keyword_phrases("compare the revenue of Acme Corp between Q1 and Berlin")
-    rows = [(k, w) for k, ws in found.items() for w in ws]
-    return spark.createDataFrame(rows, "level string, word string")
+    d = read(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", search.keywords(F.col("text")).alias("k")).select("doc_id", "k.low_level", "k.high_level")

@@ -2,24 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def get_session(cpus: str = "8", shuffle_partitions: int = 8, memory: str = "12g", **conf: str) -> SparkSession:
-    """A local session with UTC time, adaptive execution and Arrow transfer."""
+
+def get_session(cpus: str = "8", shuffle_partitions: int | None = None, memory: str = "12g", **conf: str) -> SparkSession:
+    """A local session with UTC time, adaptive execution and Arrow transfer.
+
+    Without ``shuffle_partitions`` Spark's own number holds, which adaptive execution lowers to what the data need.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("kgspark")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; a temporary one where none is set and all runs on one machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df``, written as Parquet to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

@@ -85,3 +85,11 @@ class PagedSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return PagedReader(self.options)
+
+
+def parquet_pages(seed: dict, cursor: int | None, page_size: int) -> tuple[list[str], int | None]:
+    """A client of the paged source over a Parquet file: seed ``{"path": ...}``, the cursor being a row's number."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(seed["path"]).slice(cursor or 0, page_size + 1).to_pylist()
+    return [json.dumps(r, default=str) for r in rows[:page_size]], (cursor or 0) + page_size if len(rows) > page_size else None

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +18,39 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def csv_objects(raw: Column, delimiter: str = ",", header: bool = True, trim: bool = True, skip_empty: bool = True) -> Column:
+    """CSV text as an array of JSON objects by its header line, or of JSON lists without one.
+
+    Quoted values may hold line breaks and delimiters; numbers become numbers; ragged lines are padded or cut.
+    """
+
+    @F.pandas_udf("array<string>")
+    def parse(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _csv_lines(t or "", delimiter, header, trim, skip_empty))
+
+    return parse(raw)
+
+
+_INTEGER, _NUMBER = re.compile(r"-?\d+"), re.compile(r"-?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?")
+
+
+def _csv_lines(text: str, delimiter: str, header: bool, trim: bool, skip_empty: bool) -> list[str]:
+    """The lines of one text; a small helper round the standard reader."""
+
+    def typed(v: str):
+        v = v.strip() if trim else v
+        return int(v) if _INTEGER.fullmatch(v) else float(v) if _NUMBER.fullmatch(v) else v
+
+    lines = [x for x in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, skipinitialspace=trim) if not skip_empty or any(v.strip() for v in x)]
+    if not header:
+        return [json.dumps([typed(v) for v in x], ensure_ascii=False) for x in lines]
+    names = [n.strip() if trim else n for n in lines[0]] if lines else []
+    return [json.dumps({n: typed(v) for n, v in zip(names, x, strict=False)}, ensure_ascii=False) for x in lines[1:]]
+
+
 def csv_rows(raw: Column, schema: str, delimiter: str = ",") -> Column:
-    """CSV text with a header line as an array of structs; ragged lines are padded."""
-    lines = F.filter(F.split(F.trim(raw), r"\r?\n"), lambda x: F.trim(x) != "")
-    return F.transform(F.slice(lines, 2, 1 << 30), lambda x: F.from_csv(x, schema, {"sep": delimiter, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}))
+    """CSV text with a header line as an array of structs of a known schema."""
+    return F.transform(csv_objects(raw, delimiter), lambda x: F.from_json(x, schema))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -54,7 +54,7 @@ def source_id(raw: Column, id_field: str | None = None) -> Column:
 
 
 def field(raw: Column, mapping) -> Column:
-    """A column of one mapping: path, paths, template, processor, sql, or a bare path."""
+    """A column of one mapping: path, paths, template, processor, or a bare path (B4-B9); no mapping can hold code."""
     if isinstance(mapping, str):
         return J.value(raw, mapping)
     kind = mapping.get("type", "path")
@@ -66,8 +66,6 @@ def field(raw: Column, mapping) -> Column:
         return J.template(raw, mapping["template"])
     if kind == "processor":
         return PROCESSORS[mapping["processor"]](J.value(raw, mapping["path"]))
-    if kind == "sql":
-        return F.expr(mapping["expression"])
     raise ValueError(f"unknown mapping {kind!r}")
 
 

@@ -10,6 +10,7 @@ from kgspark.operators import chunks as C
 from kgspark.operators import extraction as E
 from kgspark.operators import graph as G
 from kgspark.operators import metrics as M
+from kgspark.operators.phrases import match
 from kgspark.operators import registry as R
 from kgspark.operators import workflows as W
 from kgspark.sources import discovery as D
@@ -100,8 +101,10 @@ def test_matched_items_equals_comparing_every_pair(spark):
     items = spark.createDataFrame([*((str(k), t) for k, t in enumerate(wanted)), ("3", wanted[3])], "item_id string, text string")
     pairs = docs.join(items.withColumnRenamed("text", "item"), item_matched(F.col("text"), F.col("item"))).select("doc_id", "item_id").distinct()
     want = sorted(map(tuple, pairs.collect()), key=repr)
-    for small in (1000, 0):
-        assert sorted(map(tuple, M.matched_items(docs, items, small).collect()), key=repr) == want
+    assert sorted(map(tuple, M.matched_items(docs, items).collect()), key=repr) == want
+    several = match(docs.where("text is not null"), "doc_id", "text", items, "item_id", "text", block_bytes=60)
+    every = docs.join(items.withColumnRenamed("text", "item"), F.contains("text", F.col("item"))).select("doc_id", "item_id").distinct()
+    assert sorted(map(tuple, several.distinct().collect()), key=repr) == sorted(map(tuple, every.collect()), key=repr)
     assert len(want) > 20
     assert M.matched_items(docs.limit(0), items).count() == 0
     assert M.matched_items(docs, items.limit(0)).count() == 0

@@ -48,7 +48,16 @@ def test_entities_and_relationships(spark):
 
 def test_paths_repeat_no_edge(spark):
     e = spark.createDataFrame([("a", "T", "b", 1.0), ("b", "T", "c", 1.0), ("c", "T", "a", 1.0)], EDGE)
-    assert sorted(",".join(r.nodes) for r in G.paths(e, "a", 3).collect()) == ["a,b", "a,b,c", "a,b,c,a", "a,c", "a,c,b", "a,c,b,a"]
+    walks = lambda *a: [",".join(r.nodes) for r in G.paths(e, *a).collect()]
+    assert walks("a", "c", 3) == ["a,c", "a,b,c"] and walks("a", "a", 3) == ["a,b,c,a", "a,c,b,a"]
+    assert walks("a", "c", 3, 1) == ["a,c"] and walks("a", "z", 3) == []
+
+
+def test_one_of_equal_keys_is_told_by_its_columns(spark):
+    n = spark.createDataFrame([("a", "y", 1), ("a", "x", 2), ("b", "z", 1)], "id string, title string, at int")
+    assert rows(G.one_of(n, "id", "at")) == [("a", "x", 2), ("b", "z", 1)]
+    assert rows(G.one_of(n, "id", last=False)) == [("a", "x", 2), ("b", "z", 1)]
+    assert rows(G.one_of(n, "id")) == [("a", "y", 1), ("b", "z", 1)]
 
 
 def test_upserts_are_idempotent(spark):
@@ -157,7 +166,19 @@ def test_modes_drop_what_has_no_edge(spark):
     assert [x._id for x in S.retrieve(t, r("hybrid")).collect()] == ["r1", "r2"]
     assert S.retrieve(t, r("local", top_k=1)).count() == 2
     assert S.retrieve(t, r("naive", threshold=1.1)).count() == 0
-    assert [x.score for x in S.rerank(S.hybrid(t, r("hybrid")), None).collect()] == [1.0, 0.99]
+    both = S.answer(t, [r("hybrid"), r("mix"), r("naive", threshold=1.1), r("naive")])
+    assert sorted((x.query, x._id) for x in both.collect()) == [(0, "r1"), (0, "r2"), (1, "r1"), (1, "r2"), (3, "r1")]
+    assert sorted(x.score for x in S.rerank(both.where("query = 0"), None).collect()) == [0.99, 1.0]
+    again = S.answer(t, [r("mix", text="T1 zzz"), r("hybrid")], S.overlap_scorer("T1 zzz", ""), 0.3)
+    assert sorted((x.query, x._id, x.score) for x in again.collect()) == [(0, "r1", 0.5), (1, "r1", 1.0), (1, "r2", 0.7)]
+
+
+def test_nearest_keeps_ties_by_id(spark):
+    v = [(i, "chunk", e) for i, e in enumerate([[1.0, 0.0], [1.0, 0.0], [2.0, 0.0], [0.0, 0.0], None, [1.0], [0.0, 1.0]])]
+    vec = spark.createDataFrame(v, "id long, type string, embedding array<double>").repartition(4)
+    assert [x.id for x in S.top_k(vec, [1.0, 0.0], 2, 0.5, "chunk").orderBy("id").collect()] == [0, 1]
+    assert {x.id for x in S.top_k(vec, [1.0, 0.0], 9, 0.0, "chunk").collect()} == {0, 1, 2, 6}
+    assert S.top_k(vec, [1.0, 0.0], 9, 0.0, "entity").count() == 0 and S.top_k(vec, [0.0, 0.0], 9, -1.0, "chunk").count() == 0
 
 
 def test_metrics(spark):
@@ -245,5 +266,5 @@ def test_micro_batches_upsert_once(spark, tmp_path):
         q = I.micro_batches(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), I.upsert_into(spark, f"{tmp_path}/out", spark.createDataFrame([], schema).schema), f"{tmp_path}/c")
         q.awaitTermination()
         assert n < 2
-    assert rows(spark.read.parquet(f"{tmp_path}/out/v1").select("_id", "title", "version")) == [("1", "b", 2), ("2", "c", 1)]
+    assert rows(I.table_of(spark, f"{tmp_path}/out", spark.createDataFrame([], schema).schema).select("_id", "title", "version")) == [("1", "b", 2), ("2", "c", 1)]
     assert I.next_status(True, 2) == ("error", 3) and I.next_status(False, 2) == ("idle", 0)
