@@ -22,7 +22,7 @@ DEPTH = 5
 #: there are at most 2**24 grams; sums for the depths above are aggregated.
 TOP = 3
 #: Texts of a block, and of one step within it.
-BLOCK_BYTES, PIECE = 32 << 20, 1 << 20
+BLOCK_BYTES, PIECE = 16 << 20, 1 << 20
 GRAMS, TOKENS = 0, 1
 #: The end of a text among the hashed tokens, and its byte (no word holds white space).
 END = U(0x0E0D0E0D0E0D0E0D)

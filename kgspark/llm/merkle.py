@@ -29,7 +29,7 @@ def tree(text: Column) -> Column:
 
     def paragraph(p: Column) -> Column:
         leaves = F.array_join(F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda leaf: F.substring(F.sha2(leaf, 256), 1, LEAF_DIGITS)), "")
-        return F.concat(F.sha2(leaves, 256), leaves)
+        return _let(leaves, lambda x: F.concat(F.sha2(x, 256), x))
 
     def section(s: Column) -> Column:
         return F.transform(F.split(s, "\n"), paragraph)
@@ -51,8 +51,9 @@ def paragraphs(section: Column) -> Column:
 
 
 def leaves(paragraph: Column) -> Column:
-    n = ((F.length(paragraph) - DIGITS) / LEAF_DIGITS).cast("int")
-    return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(paragraph, DIGITS + 1 + (i - 1) * LEAF_DIGITS, F.lit(LEAF_DIGITS)))
+    """Of a paragraph: its leaves' digests, or one empty text where it has none."""
+    found = F.regexp_extract_all(F.substr(paragraph, F.lit(DIGITS + 1)), F.lit("[0-9a-f]{%d}" % LEAF_DIGITS), F.lit(0))
+    return _let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(""))))
 
 
 def _size(branches: Column) -> Column:

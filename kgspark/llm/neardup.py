@@ -213,7 +213,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketch = materialize(docs.mapInArrow(_sketches(draw_key()), "doc_id long, n_shingles long, digest long, digest2 long, bands array<long>"))
     digest = ["n_shingles", "digest", "digest2"]
     filled = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy(*digest).agg(F.min("doc_id").alias("id"))
+    # Written, so that Spark can split the join at a class of very many copies.
+    classes = materialize(filled.groupBy(*digest).agg(F.min("doc_id").alias("id")))
     member = materialize(filled.select("doc_id", *digest).join(classes, digest).select("doc_id", "id", *digest))
     # A doc_id that comes with several sets has the bands and texts of all of them.
     reps = filled.select(F.col("doc_id").alias("id"), *digest, "bands").join(member.where("doc_id = id").select("id", *digest).distinct(), ["id", *digest], "left_semi").dropDuplicates(["id", *digest])
