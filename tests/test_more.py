@@ -1,19 +1,26 @@
 """Registry, workflows, discovery and extraction on literal cases."""
 
 import datetime
+import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from kgspark.functions import ids as Ids
+from kgspark.functions import json as J
 from kgspark.functions.text import item_matched
 from kgspark.operators import chunks as C
 from kgspark.operators import extraction as E
 from kgspark.operators import graph as G
+from kgspark.operators import grouping as Gr
 from kgspark.operators import metrics as M
-from kgspark.operators.phrases import match
 from kgspark.operators import registry as R
 from kgspark.operators import workflows as W
+from kgspark.operators.phrases import match
 from kgspark.sources import discovery as D
+from kgspark.sources import tables as S
+from kgspark.streaming import incremental as I
 
 
 def test_registry_versions(spark):
@@ -108,3 +115,55 @@ def test_matched_items_equals_comparing_every_pair(spark):
     assert len(want) > 20
     assert M.matched_items(docs.limit(0), items).count() == 0
     assert M.matched_items(docs, items.limit(0)).count() == 0
+
+
+def test_drain_stops_when_nothing_is_left(spark):
+    done: set = set()
+
+    def handle(batch):
+        done.update(r.id for r in batch.collect())
+
+    n = I.drain(spark.range(10), "id", handle, 4, lambda rows: rows.where(~F.col("id").isin(sorted(done) or [-1])))
+    assert n == 3 and done == set(range(10))
+
+
+def test_csv_keeps_quoted_breaks(spark):
+    text = 'a, b\n1,"x\ny"\n\n2.5\n"say ""hi""",z,extra\n'
+    df = spark.createDataFrame([(text,), (None,), ("",), ("1;2",)], "t string")
+    got = [r.x for r in df.select(S.csv_objects(F.col("t")).alias("x")).collect()]
+    assert got == [['{"a": 1, "b": "x\\ny"}', '{"a": 2.5}', '{"a": "say \\"hi\\"", "b": "z"}'], [], [], []]
+    assert df.where("t = '1;2'").select(S.csv_objects(F.col("t"), ";", header=False).alias("x")).first().x == ["[1, 2]"]
+
+
+def test_expressions_that_are_refused(spark):
+    for text in ("sort_by(a, &b)", "a | b", "a[*].b | [x]"):
+        with pytest.raises(ValueError):
+            J.search(F.lit("{}"), text)
+    row = spark.createDataFrame([('{"a": [{"n": 1, "t": "x"}, {"n": 3}, {"n": 5, "t": null}], "b": {"c": 2}}',)], "raw string")
+    get = lambda e: row.select(J.search(F.col("raw"), e).alias("v")).first().v
+    assert get("a[?n > `2`].n") == "[3,5]" and get("a[*].t") == '["x"]' and get("a[?t == `null`].n | [0]") == "3"
+    assert get("[b.c, a | length(@), missing]") == "[2,3,null]" and get("missing[*].x") is None and get("b") == '{"c":2}'
+
+
+def test_ranks_without_sorting_all(spark, monkeypatch):
+    monkeypatch.setattr(M, "_FEW", 50)
+    rows = spark.range(1, 2001).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id") * 0.5).alias("v")).union(spark.createDataFrame([(None,)], "v double"))
+    ordered = sorted(r.v for r in rows.collect() if r.v is not None)
+    for rank in (1, 2, 700, 1000, 1999, 2000):
+        assert M.value_at(rows, "v", rank) == ordered[rank - 1]
+    s = M.summary(rows, "v").first()
+    assert (s.median, s.p95, s.p99, s.n) == ((ordered[999] + ordered[1000]) / 2, ordered[1899], ordered[1979], 2000)
+
+
+def test_session_numbers_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(Gr, "_RANGE", 3)
+    s = spark.createDataFrame([(f"u{k}", n, float(k * 7 % 5)) for k in range(9) for n in range(2)], "user string, session int, session_start double")
+    got = {(r.user, r.session): r.number for r in Gr.number_sessions(s, "user").collect()}
+    order = sorted(got, key=lambda x: (int(x[0][1:]) * 7 % 5, *x))
+    assert [got[k] for k in order] == list(range(18))
+
+
+def test_checksum_of_texts_that_json_escapes(spark):
+    text = 'say "hi"\\ \n\ttab \u0001 \u00e9'
+    want = hashlib.sha256(json.dumps({"text": text.lower().strip()}, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    assert spark.createDataFrame([(text,)], "t string").select(Ids.embedding_checksum(text=F.col("t"))).first()[0] == want
