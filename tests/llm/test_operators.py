@@ -33,7 +33,7 @@ def fixture_rows():
         w = list(words)
         w[10 : 10 + k] = [f"changed{j}" for j in range(k)]
         texts.append(" ".join(w))
-    texts += ["a b c d e f g h", "a b c d e f g h i", make(3000), "x" * 5000, "ümläut 😀 " * 20]
+    texts += ["one<|endoftext|>two <|endoftext|>", "a b c d e f g h", "a b c d e f g h i", make(3000), "x" * 5000, "ümläut 😀 " * 20]
     rows = [(i * 3 + 1, t) for i, t in enumerate(texts)]
     rows.append(rows[2])  # a repeated row
     return [(i, t, "en", "s", len(t) if t is not None else None, "clash", "clash", 7, 0.5) for i, t in rows]
@@ -156,7 +156,6 @@ def test_pack(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {r[0]: [*t.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in fixture_rows()}
     got = packing.pack(docs).collect()
     per_doc, windows = defaultdict(list), defaultdict(list)
