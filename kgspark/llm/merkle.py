@@ -183,7 +183,7 @@ def _oracle() -> str:
         return f"SELECT rn, 2.0::DOUBLE * (same + len(list_intersect(a, b))) / (2 * same + len(a) + len(b)) AS near FROM {name}"
 
     def differ(a: str, b: str) -> str:
-        return f"list_min([i for i in range(1, greatest(len({a}), len({b})) + 1) if NOT coalesce({a}[i] = {b}[i], false)])"
+        return f"list_min([z for z in range(1, greatest(len({a}), len({b})) + 1) if NOT coalesce({a}[z] = {b}[z], false)])"
 
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
