@@ -184,7 +184,7 @@ def _between_components(members: DataFrame, texts: DataFrame) -> DataFrame:
     blocks = main.where("total > n_main").select("key", "main", F.ceil((F.col("total") - F.col("n_main")) / BLOCK).alias("others"), F.ceil(F.col("n_main") / BLOCK).alias("mains"))
     at = F.pmod(F.xxhash64("id"), F.when(F.col("comp") == F.col("main"), F.col("mains")).otherwise(F.col("others")))
     dealt = (
-        members.join(blocks, "key")
+        members.join(materialize(blocks), "key")
         .withColumn("index", F.when(F.col("comp") == F.col("main"), F.col("others") + at).otherwise(at))
         .withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("comp") == F.col("main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))))
         .select("key", "id", "comp", "index", F.least("index", "partner").alias("low"), F.greatest("index", "partner").alias("high"))
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # A doc_id that comes with several sets has the bands and texts of all of them.
     reps = filled.select(F.col("doc_id").alias("id"), *digest, "bands").join(member.where("doc_id = id").select("id", *digest).distinct(), ["id", *digest], "left_semi").dropDuplicates(["id", *digest])
     rows = reps.select("id", F.explode("bands").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    hubs = materialize(rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     bucket = materialize(rows.join(hubs, "key"))
 
     texts = docs.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "id").join(bucket.select("id").distinct(), "id")
