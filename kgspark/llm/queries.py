@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kgspark.llm import ctw, decontam, merkle, neardup, packing, pii, sharding, substring, toxicity, urls
+from kgspark.llm import ctw, decontam, fim, lexical, merkle, neardup, packing, pii, sharding, substring, toxicity, urls
 
 QUERIES = {
     "op4_sampled_splitters": sharding.op4_sampled_splitters,
@@ -15,6 +15,8 @@ QUERIES = {
     "op3_pack": packing.op3_pack,
     "op5_minmax_neardup": neardup.op5_minmax_neardup,
     "op7_decontaminate": decontam.op7_decontaminate,
+    "op11_bucket_search": lexical.op11_bucket_search,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
 }
 ORACLES = {
     "op10_url_ratio": urls.ORACLE,
@@ -22,4 +24,6 @@ ORACLES = {
     "op8_anchor_dedup": substring.ORACLE,
     "op5_minmax_neardup": neardup.ORACLE,
     "op7_decontaminate": decontam.ORACLE,
+    "op11_bucket_search": lexical.ORACLE,
+    "op12_fill_in_middle": fim.ORACLE,
 }
