@@ -2,49 +2,27 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm._shared import connected_components, materialize, small_batches
-from kgspark.llm._text import SPACES, U, Words, draw_key, mix, pieces, whole_hash
+from kgspark.llm._links import components, digests, equal_sets, labelled, own_links, shingle_sets, texts_of
+from kgspark.llm._shared import materialize, small_batches
+from kgspark.llm._text import U, draw_key, mix, pieces
 
-SHINGLE = 5
 #: Similarity of linked documents, in hundredths.
 PERCENT = 75
 #: Each permutation gives a minimum and a maximum; three permutations make a band of six values. At similarity
 #: 0.75 a band agrees with probability 0.18, so all 70 miss with about one in a million (sets of four: one in 10,000).
 PERMUTATIONS, PER_BAND = 210, 3
-#: Pairs of documents of a bucket up to this size are confirmed one by one; of a larger one, documents are compared in blocks of BLOCK.
-SMALL_BUCKET, BLOCK = 32, 256
-#: Bytes of text of the pairs that are confirmed together.
-CONFIRM_BYTES = 4 << 20
 
 _SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
-_LOWER_BYTES = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _XOR, _MUL = _SEEDS[:PERMUTATIONS], _SEEDS[PERMUTATIONS:] | U(1)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, key: int = 0) -> list[np.ndarray]:
-    """Sorted distinct hashes of the five-word shingles of each text; a shorter text is one shingle, an empty one has none."""
-    w = Words(data, offsets, SPACES, True, key)
-    (h,) = w.runs(SHINGLE)
-    count = np.diff(w.first)
-    out = []
-    for i in range(w.texts):
-        if count[i] >= SHINGLE:
-            s = np.sort(h[w.first[i] : w.first[i + 1] - SHINGLE + 1])
-            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
-        else:
-            out.append(np.array([whole_hash(w.hash, w.first[i], w.first[i + 1])] if count[i] else [], U))
-    return out
-
-
 def min_max(s: np.ndarray, block: int = 2048) -> np.ndarray:
     """Band keys of a set: both extremes of each permutation, three permutations a band."""
     low, high = np.full(PERMUTATIONS, np.iinfo(U).max, U), np.zeros(PERMUTATIONS, U)
@@ -66,15 +44,13 @@ def _sketches(key: int):
         for batch in batches:
             for first, last, data, offsets in pieces(batch.column(1)):
                 sets = shingle_sets(data, offsets, key)
-                digest = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]).reshape(-1, 2)
                 bands = [min_max(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
                 lengths = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(first, last - first),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(digest[:, 0]),
-                        pa.array(digest[:, 1]),
+                        *digests(sets),
                         pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([np.zeros(0, np.int64), *bands]))),
                     ],
                     ["doc_id", "n_shingles", "digest", "digest2", "bands"],
@@ -83,115 +59,6 @@ def _sketches(key: int):
     return run
 
 
-def _ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A number for each distinct pair."""
-    return np.unique(a * (b.max(initial=0) + 1) + b, return_inverse=True)[1]
-
-
-def exact_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """Sorted numbers of the distinct shingles of each text: equal numbers mean equal words, letter by letter."""
-    words = [t.translate(_LOWER_BYTES).split() for t in texts]
-    number: dict = {}
-    one = np.array([number.setdefault(w, len(number)) for ws in words for w in ws], np.int64)
-    n = max(0, len(one) - SHINGLE + 1)
-    two = _ranks(one[:-1], one[1:])
-    four = _ranks(two[:-2], two[2:])
-    five = _ranks(four[:n], one[SHINGLE - 1 :][:n])
-    out, at, short = [], 0, {}
-    for ws in words:
-        if len(ws) >= SHINGLE:
-            out.append(np.unique(five[at : at + len(ws) - SHINGLE + 1]))
-        else:
-            out.append(np.array([-1 - short.setdefault(tuple(ws), len(short))] if ws else [], np.int64))
-        at += len(ws)
-    return out
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the pairs (a, b, text_a, text_b) whose sets of shingles, compared word by word, are similar enough."""
-    for batch in batches:
-        keep, first = [], 0
-        size = np.cumsum(pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_numpy(zero_copy_only=False))
-        while first < batch.num_rows:
-            last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + CONFIRM_BYTES, "right")))
-            number: dict = {}
-            pairs = [[number.setdefault(t.as_py().encode("utf-8", "surrogatepass"), len(number)) for t in batch.column(k).slice(first, last - first)] for k in (2, 3)]
-            sets = exact_sets(list(number))
-            for x, y in zip(*pairs, strict=True):
-                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                keep.append(common > 0 and 100 * common >= PERCENT * (len(sets[x]) + len(sets[y]) - common))
-            first = last
-        yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked; ``texts``: id, text of every candidate."""
-    joined = (
-        pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
-    )
-    return joined.mapInArrow(_confirm, "a long, b long")
-
-
-def common_sizes(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
-    """Sizes of the intersections of all sets of ``left`` with all of ``right``."""
-    out = np.zeros((len(left), len(right)), np.float32)
-    both = np.intersect1d(np.concatenate([np.zeros(0, U), *left]), np.concatenate([np.zeros(0, U), *right]))
-    places = [[(i, np.searchsorted(both, s[np.isin(s, both, assume_unique=True)])) for i, s in enumerate(side)] for side in (left, right)]
-    for at in range(0, len(both), width):
-        m = [np.zeros((len(side), min(width, len(both) - at)), np.float32) for side in (left, right)]
-        for x, side in zip(m, places, strict=True):
-            for i, p in side:
-                x[i, p[(p >= at) & (p < at + width)] - at] = 1
-        out += m[0] @ m[1].T
-    return out
-
-
-def _compare_blocks(table):
-    """Links between the two blocks of a task: of those that connect the same components, the first found."""
-    ids, comp, index, low, high = (table.column(c).to_numpy() for c in ("id", "comp", "index", "low", "high"))
-    sets = [s for _, _, d, o in pieces(table.column("text")) for s in shingle_sets(d, o)]
-    links, parent = [], {}
-
-    def find(c: int) -> int:
-        while (up := parent.setdefault(c, c)) != c:
-            parent[c] = c = parent[up]
-        return c
-
-    one, two = np.flatnonzero(index == low), np.flatnonzero(index == high)
-    if len(one) and len(two):
-        common = common_sizes([sets[i] for i in one], [sets[i] for i in two])
-        size = np.array([len(s) for s in sets], np.int64)
-        union = size[one][:, None] + size[two][None] - common
-        for x, y in np.argwhere((common > 0) & (100 * common >= PERCENT * union) & (comp[one][:, None] != comp[two][None])).tolist():
-            a, b = find(int(comp[one[x]])), find(int(comp[two[y]]))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                links.append((int(ids[one[x]]), int(ids[two[y]])))
-    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-
-def _between_components(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Probable links (a, b) between different components within large buckets; ``members``: key, id, comp.
-
-    The largest component's documents are compared with all others, and those among themselves, in blocks: a task
-    has two blocks, and a document goes to as many tasks as its bucket has blocks to compare it with. No pair of
-    documents is a row.
-    """
-    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("total")).select("key", F.col("m.comp").alias("main"), F.col("m.n").alias("n_main"), F.col("total"))
-    blocks = main.where("total > n_main").select("key", "main", F.ceil((F.col("total") - F.col("n_main")) / BLOCK).alias("others"), F.ceil(F.col("n_main") / BLOCK).alias("mains"))
-    at = F.pmod(F.xxhash64("id"), F.when(F.col("comp") == F.col("main"), F.col("mains")).otherwise(F.col("others")))
-    dealt = (
-        members.join(materialize(blocks), "key")
-        .withColumn("index", F.when(F.col("comp") == F.col("main"), F.col("others") + at).otherwise(at))
-        .withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("comp") == F.col("main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))))
-        .select("key", "id", "comp", "index", F.least("index", "partner").alias("low"), F.greatest("index", "partner").alias("high"))
-    )
-    return dealt.join(texts, "id").groupBy("key", "low", "high").applyInArrow(_compare_blocks, "a long, b long")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Group documents whose sets of five-word shingles are linked at 0.75 or more, directly or over others.
 
@@ -211,45 +78,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialize(docs.mapInArrow(_sketches(draw_key()), "doc_id long, n_shingles long, digest long, digest2 long, bands array<long>"))
-    digest = ["n_shingles", "digest", "digest2"]
-    filled = sketch.where("n_shingles > 0 and doc_id is not null")
-    # Written, so that Spark can split the join at a class of very many copies.
-    classes = materialize(filled.groupBy(*digest).agg(F.min("doc_id").alias("id")))
-    member = materialize(filled.select("doc_id", *digest).join(classes, digest).select("doc_id", "id", *digest))
-    # A doc_id that comes with several sets has the bands and texts of all of them.
-    reps = filled.select(F.col("doc_id").alias("id"), *digest, "bands").join(member.where("doc_id = id").select("id", *digest).distinct(), ["id", *digest], "left_semi").dropDuplicates(["id", *digest])
+    member, reps = equal_sets(sketch)
     rows = reps.select("id", F.explode("bands").alias("key"))
     hubs = materialize(rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     bucket = materialize(rows.join(hubs, "key"))
 
-    texts = docs.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "id").join(bucket.select("id").distinct(), "id")
-    texts = materialize(texts.withColumn("sha", F.sha2("text", 256)).dropDuplicates(["id", "sha"]).drop("sha"))
-
-    first = bucket.where("hub <> id").groupBy("id").agg(F.min("hub").alias("hub"))
-    links = _verified(first.select(F.col("hub").alias("a"), F.col("id").alias("b")), texts)
-    # Rows of one doc_id with different sets belong together.
-    own = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b")
-    links = materialize(links.union(own))
-    comp = materialize(connected_components(links).withColumnsRenamed({"component": "comp"}))
-
-    at = materialize(bucket.join(comp, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp")))
-    # Of buckets with the same documents the one with the smallest key stays.
-    same = F.struct(F.col("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit("x"))).alias("x"))
-    mixed = at.groupBy("key", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), same.alias("same")).where("lo <> hi").groupBy("same").agg(F.min("key").alias("key"))
-    rest = materialize(at.join(mixed.select("key"), "key", "left_semi"))
-    few = rest.where(F.col("n") <= SMALL_BUCKET)
-    pairs = few.select("key", F.col("id").alias("a"), F.col("comp").alias("comp_a")).join(few.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b")), "key")
-    pairs = pairs.where("a < b and comp_a <> comp_b").select("a", "b").union(_between_components(rest.where(F.col("n") > SMALL_BUCKET).drop("n"), texts)).distinct()
-    links = materialize(links.union(_verified(pairs, texts)))
-    comp = connected_components(links).select("id", "component")
-
-    member = member.join(comp, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component_id"))
-    return (
-        sketch.select("doc_id", "n_shingles")
-        .join(member, "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    texts = texts_of(docs, bucket.select("id"))
+    first = bucket.where("hub <> id").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    comp = components(first, bucket.select("key", "id", "n"), own_links(member), texts, PERCENT)
+    return labelled(sketch, member, comp).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op5_minmax_neardup(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kgspark.llm import ctw, decontam, fim, lexical, merkle, neardup, packing, pii, sharding, substring, toxicity, urls
+from kgspark.llm import ctw, decontam, fim, lexical, merkle, neardup, packing, pii, setjoin, sharding, substring, toxicity, urls
 
 QUERIES = {
     "op4_sampled_splitters": sharding.op4_sampled_splitters,
@@ -17,6 +17,7 @@ QUERIES = {
     "op7_decontaminate": decontam.op7_decontaminate,
     "op11_bucket_search": lexical.op11_bucket_search,
     "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_jaccard_join": setjoin.op13_jaccard_join,
 }
 ORACLES = {
     "op10_url_ratio": urls.ORACLE,
@@ -26,4 +27,5 @@ ORACLES = {
     "op7_decontaminate": decontam.ORACLE,
     "op11_bucket_search": lexical.ORACLE,
     "op12_fill_in_middle": fim.ORACLE,
+    "op13_jaccard_join": setjoin.ORACLE,
 }

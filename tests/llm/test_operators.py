@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kgspark.llm import ctw, decontam, merkle, neardup, packing, pii, sharding, substring, toxicity, urls
+from kgspark.llm import _links, ctw, decontam, merkle, neardup, packing, pii, sharding, substring, toxicity, urls
 from kgspark.llm._shared import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, kept string, block int, score double"
@@ -79,7 +79,7 @@ def test_near_duplicates(docs, empty):
 
 def test_near_duplicate_families_are_compared_in_blocks(spark, monkeypatch):
     """A chain of variants in which only neighbours are linked, so that one hub cannot connect them."""
-    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(_links, "BLOCK", 4)
     words = [f"t{i}" for i in range(120)]
     rows = [(k, " ".join(words[:12 * k] and [f"t{i}" if i >= 5 * k else f"v{k // 9}x{i}" for i in range(120)] or words)) for k in range(24)]
     sets = {i: shingles(t) for i, t in rows}
@@ -95,7 +95,7 @@ def test_near_duplicate_families_are_compared_in_blocks(spark, monkeypatch):
 def test_common_sizes():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 5, 30, 50)]
-    got = neardup.common_sizes(sets, sets, width=7)
+    got = _links.common_sizes(sets, sets, width=7)
     assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
 
 

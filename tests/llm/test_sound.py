@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kgspark.llm import _blocks, _text, ctw, decontam, neardup, pii, substring, toxicity
+from kgspark.llm import _blocks, _links, _text, ctw, decontam, neardup, pii, substring, toxicity
 from test_operators import SCHEMA, WORDS, fixture_rows, lower, shingles
 
 
@@ -164,8 +164,8 @@ def test_disclosure_by_its_formula(spark):
 
 
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL_BUCKET", 2)
-    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(_links, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(_links, "BLOCK", 4)
     words = [f"t{i}" for i in range(120)]
     rows = [(k, " ".join([f"t{i}" if i >= 5 * k else f"v{k // 9}x{i}" for i in range(120)] if k else words)) for k in range(24)]
     rows += [(50, rows[3][1]), (50, "quite another text of some seven words"), (51, "quite another text of some seven words")]  # one doc_id, two texts
