@@ -148,9 +148,11 @@ def link_mentions(links: DataFrame, entities: DataFrame, documents: DataFrame) -
 
 
 def add_mentions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Mentions by (rel_id, record_id); the latest extraction wins."""
-    w = Window.partitionBy("rel_id", "record_id").orderBy(F.desc("extracted_at"))
-    return old.unionByName(new).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Mentions by (rel_id, record_id); the latest extraction wins (A24), of equal times the one largest in all other columns."""
+    key = ["rel_id", "record_id"]
+    both = old.unionByName(new)
+    rest = [c for c in both.columns if c not in (*key, "extracted_at")]
+    return both.groupBy(*key).agg(F.max(F.struct("extracted_at", *rest)).alias("m")).select(*key, "m.*").select(*both.columns)
 
 
 def page(nodes: DataFrame, edges: DataFrame, skip: int, limit: int) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import truthy
+from kgspark.operators import ranges
 
 
 def thread_groups(records: DataFrame, thread: Column, parent: Column | None = None, own: Column | None = None) -> DataFrame:
@@ -20,12 +21,15 @@ def thread_groups(records: DataFrame, thread: Column, parent: Column | None = No
     return records.withColumn("group_id", key).where(F.col("group_id").isNotNull())
 
 
-def user_sessions(records: DataFrame, user: str, seconds: Column, context: str | None = None, timeout: int = 1800, order: str = "ord") -> DataFrame:
+def user_sessions(records: DataFrame, user: str, seconds: Column, context: str | None = None, timeout: int = 1800, order: str = "ord", most: int = ranges.RANGE_ROWS) -> DataFrame:
     """Add session_start and session (per user, from 0): a gap over ``timeout`` or a new context starts one.
 
-    Rows without a user are dropped. A gap that equals the timeout does not split.
+    Rows without a user are dropped. A gap that equals the timeout does not split. Where a user has more than ``most``
+    rows, users are spread over ranges of so many; else a window a user is enough. ``order`` tells equal times apart.
     """
     rows = records.where(F.col(user).isNotNull()).withColumn("_s", seconds)
+    if ranges.hot(rows, user, most):
+        return ranges.sessions(rows, user, context, timeout, order, most)
     w = Window.partitionBy(user).orderBy("_s", order)
     new = F.lag("_s").over(w).isNull() | (F.col("_s") - F.lag("_s").over(w) > timeout)
     if context:
@@ -56,14 +60,17 @@ def number_sessions(sessions: DataFrame, user: str) -> DataFrame:
     return placed.join(F.broadcast(before.select("_r", "_before")), "_r").withColumn("number", (F.col("_before") + F.row_number().over(order) - 1).cast("int")).drop("first", "_r", "_before")
 
 
-def time_windows(records: DataFrame, seconds: Column, window: int, page: str, same: list[str] | None = None, order: str = "ord") -> DataFrame:
+def time_windows(records: DataFrame, seconds: Column, window: int, page: str, same: list[str] | None = None, order: str = "ord", most: int = ranges.RANGE_ROWS) -> DataFrame:
     """Add group_start: windows anchored at their first record, closed by time or by a change of ``same`` columns.
 
-    Records are in one time order for each page. A change closes the group even if the old value comes back. Runs
-    without a change are found by windows in the plan; only within a run are rows walked, as a sorted stream.
+    Records are in one time order for each page. A change closes the group even if the old value comes back. Where a
+    page has more than ``most`` rows, pages are spread over ranges of so many. Else runs without a change are found by
+    windows in the plan, and only within a run are rows walked, as a sorted stream.
     """
     w = Window.partitionBy(page).orderBy("_s", order)
     rows = records.withColumn("_s", seconds.cast("double"))
+    if ranges.hot(rows, page, most):
+        return ranges.windows(rows, window, page, same or [], order, most)
     change = F.lag("_s").over(w).isNull()
     for c in same or []:
         change = change | ~F.col(c).eqNullSafe(F.lag(c).over(w))
@@ -74,7 +81,8 @@ def time_windows(records: DataFrame, seconds: Column, window: int, page: str, sa
         key, anchor = None, 0.0
         for batch in batches:
             s, start = batch["_s"].to_numpy(), np.empty(len(batch))
-            keys = list(zip(batch[page], batch["_run"], strict=True))
+            pages = batch[page].astype(object).where(batch[page].notna(), None)  # NaN would not equal itself
+            keys = list(zip(pages, batch["_run"], strict=True))
             i = 0
             while i < len(s):
                 if keys[i] != key or s[i] > anchor + window:

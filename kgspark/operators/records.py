@@ -57,10 +57,12 @@ def changes(new: DataFrame, old: DataFrame, with_deleted: bool = False) -> DataF
 def upsert(old: DataFrame, new: DataFrame, lifecycle: list[str] | None = None) -> DataFrame:
     """Records of both by _id (A16, A17): new fields win, the checksum is recomputed, the version rises by one.
 
-    Columns in ``lifecycle`` keep the old value. The latest of repeated new rows, by synced_at, counts.
+    Columns in ``lifecycle`` keep the old value. Of repeated new rows of an _id the latest by synced_at counts, nulls
+    first; equal times are ordered by all other columns, so which row wins never depends on the order of rows.
     """
     keep = set(lifecycle or []) | {"version"}
-    newest = new.groupBy("_id").agg(F.max_by(F.struct(*[c for c in new.columns if c != "_id"]), F.col("synced_at")).alias("n"))
+    rest = [c for c in new.columns if c not in ("_id", "synced_at")]
+    newest = new.groupBy("_id").agg(F.max(F.struct("synced_at", *rest)).alias("n"))
     both = old.select("_id", F.struct(*old.columns).alias("o")).join(newest, "_id", "full_outer")
     cols = []
     for c in old.columns:

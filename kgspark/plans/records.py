@@ -60,11 +60,26 @@ def change_detect(spark, sf_dir):
     return R.changes(r.where("doc_id % 11 <> 0"), old, with_deleted=True)
 
 
-@query(_W + "SELECT _id, CASE WHEN doc_id % 2 = 0 THEN 'New' ELSE title END AS title, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN doc_id % 2 = 0 THEN sha256('New' || chr(10) || 'x') ELSE checksum END AS checksum FROM records")
+@query(
+    _W
+    + """, new AS (SELECT _id, doc_id, CASE WHEN doc_id % 6 = 0 THEN 'Newest' WHEN doc_id % 6 = 2 THEN 'New' ELSE 'Tied ' || doc_id END AS t FROM records WHERE doc_id % 2 = 0
+UNION ALL SELECT 'x' || _id, doc_id, 'Unseen' FROM records WHERE doc_id % 10 = 1)
+SELECT coalesce(r._id, n._id) AS _id, coalesce(t, title) AS title, CASE WHEN r._id IS NULL THEN 1 WHEN t IS NOT NULL THEN 2 ELSE 1 END AS version, CASE WHEN t IS NOT NULL THEN sha256(t || chr(10) || 'x') ELSE checksum END AS checksum
+FROM records r FULL JOIN new n ON n._id = r._id"""
+)
 def record_upsert(spark, sf_dir):
-    r = records(spark, sf_dir).drop("doc_id")
-    new = r.where(F.col("source_id").cast("int") % 2 == 0).withColumns({"title": F.lit("New"), "content": F.lit("x")})
-    return R.upsert(r, new, ["last_graph_index_at", "last_graph_index_checksum", "last_embedded_at"]).select("_id", "title", "version", "checksum")
+    """New rows with later, equal and null times, and records that were not there before."""
+    all_rows = records(spark, sf_dir)
+    r, d = all_rows.drop("doc_id"), F.col("doc_id")
+    even = all_rows.where(d % 2 == 0).withColumn("content", F.lit("x"))
+    later = F.timestamp_seconds(F.unix_seconds("synced_at") + 5)
+    none = F.lit(None).cast("timestamp")
+    # d % 6 is 0: a later row beside a null time; 2: null times only; 4: equal times, of which the larger title wins.
+    new = even.withColumns({"title": F.when(d % 6 == 0, "Old").when(d % 6 == 2, "New").otherwise("A tie"), "synced_at": F.when(d % 6 != 4, none).otherwise(F.col("synced_at"))})
+    more = even.withColumns({"title": F.when(d % 6 == 0, "Newest").when(d % 6 == 2, "Lost").otherwise(F.concat(F.lit("Tied "), d.cast("string"))), "synced_at": F.when(d % 6 == 0, later).when(d % 6 == 4, F.col("synced_at")).otherwise(none)})
+    unseen = all_rows.where(d % 10 == 1).withColumns({"_id": F.concat(F.lit("x"), F.col("_id")), "title": F.lit("Unseen"), "content": F.lit("x"), "synced_at": none})
+    out = R.upsert(r, new.unionByName(more).unionByName(unseen).drop("doc_id"), ["last_graph_index_at", "last_graph_index_checksum", "last_embedded_at"])
+    return out.select("_id", "title", "version", "checksum")
 
 
 @query(_W + "SELECT _id, title FROM records WHERE deleted_at IS NULL AND source = 'src3' AND record_type = 'en' ORDER BY _id LIMIT 10 OFFSET 5")

@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from kgspark.plans.registry import query
 from kgspark.plans.tables import read
+from kgspark.session import shared_folder
 from kgspark.streaming import incremental as I
 
 
 def _folder(spark) -> str:
     """A fresh folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return os.path.join(base, f"stream-{uuid.uuid4().hex}")
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT user_id, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start_s, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_hourly_counts(spark, sf_dir):
     """Hourly counts of a stream, upserted by key as batches arrive."""
     schema = read(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(f"{sf_dir}/events.parquet" if os.path.isdir(f"{sf_dir}/events.parquet") else sf_dir)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     counts = I.stream_counts(rows.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id")
     out = _folder(spark)
 

@@ -97,9 +97,19 @@ def record_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INDEX: dict[tuple, Tables] = {}
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of each file of a table, wherever it lies."""
+    java = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = java.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(java)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def search_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The engine's index of a folder: its tables are derived and written on first use, then read by every search."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The engine's index of a folder: its tables are derived and written on first use, then read by every search.
+
+    An index is known by the names, sizes and times of the files it is derived from; when these change, it is made anew.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, *(_files(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "embeddings")))
     if key not in _INDEX:
         v = vectors(spark, sf_dir)
         v = v.select(*[F.col(c).cast("string").alias(c) if c in ("entity_id", "source_entity_id", "target_entity_id") else F.col(c) for c in v.columns])

@@ -88,8 +88,19 @@ class PagedSource(DataSource):
 
 
 def parquet_pages(seed: dict, cursor: int | None, page_size: int) -> tuple[list[str], int | None]:
-    """A client of the paged source over a Parquet file: seed ``{"path": ...}``, the cursor being a row's number."""
+    """A client of the paged source over a Parquet file: seed ``{"path": ...}``, the cursor being a row's number.
+
+    Only the row groups that hold the page are read.
+    """
     import pyarrow.parquet as pq
 
-    rows = pq.read_table(seed["path"]).slice(cursor or 0, page_size + 1).to_pylist()
-    return [json.dumps(r, default=str) for r in rows[:page_size]], (cursor or 0) + page_size if len(rows) > page_size else None
+    file, skip = pq.ParquetFile(seed["path"]), cursor or 0
+    sizes = [file.metadata.row_group(i).num_rows for i in range(file.metadata.num_row_groups)]
+    wanted, first, base = [], None, 0
+    for i, n in enumerate(sizes):
+        if base + n > skip and base < skip + page_size:
+            first = base if first is None else first
+            wanted.append(i)
+        base += n
+    rows = file.read_row_groups(wanted).slice(skip - first, page_size).to_pylist() if wanted else []
+    return [json.dumps(r, default=str) for r in rows], skip + page_size if base > skip + page_size else None

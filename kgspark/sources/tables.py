@@ -95,12 +95,12 @@ def search_pulls(pulls: DataFrame, query: str, sort: str = "created", descending
 
 
 def search_objects(frames: list[DataFrame], text: str, limit: int) -> DataFrame:
-    """Objects of several tables whose JSON holds a text."""
+    """Objects of several tables whose JSON holds a text (A31): the first ``limit`` in the order of their JSON."""
     out = None
     for f in frames:
-        hit = f.where(F.contains(F.lower(F.to_json(F.struct(*f.columns))), F.lit(text.lower())))
+        hit = f.withColumn("_json", F.to_json(F.struct(*f.columns))).where(F.contains(F.lower("_json"), F.lit(text.lower())))
         out = hit if out is None else out.unionByName(hit, allowMissingColumns=True)
-    return out.limit(limit)
+    return out.orderBy("_json").limit(limit).drop("_json")
 
 
 def between(rows: DataFrame, date: str, after=None, before=None) -> DataFrame:

@@ -67,16 +67,29 @@ def flushes(rows: DataFrame, write: Callable[[list[dict]], None], size: int = 10
 def drain(rows: DataFrame, key: str, handle: Callable[[DataFrame], None], size: int, done: Callable[[DataFrame], DataFrame]) -> int:
     """Handle what is to do, ``size`` rows at a time in key order, until nothing is left (K6); how many batches that took.
 
-    ``done(rows)`` gives the rows that are still to do, as their store now has them. Only the keys' bounds are looked up;
-    the table is not rewritten.
+    ``done(rows)`` gives the rows that are still to do, as their store now has them. A batch starts after the last key
+    of the one before, so a pass reads each row once; it is kept while it is handled. Rows that were left in place are
+    looked at again in a next pass; a pass that takes none away is an error, not an endless loop. Keys are not null.
     """
     batches = 0
+    left = None
     while True:
-        batch = done(rows).orderBy(key).limit(size)
-        if batch.isEmpty():
+        todo = done(rows).where(F.col(key).isNotNull()).count()
+        if not todo:
             return batches
-        handle(batch)
-        batches += 1
+        if left is not None and todo >= left:
+            raise RuntimeError(f"{todo} rows stay to do after a whole pass")
+        left, after = todo, None
+        while True:
+            page = done(rows)
+            batch = (page if after is None else page.where(F.col(key) > F.lit(after))).orderBy(key).limit(size).cache()
+            n, top = batch.agg(F.count(key), F.max(key)).first()
+            if not n:
+                batch.unpersist()
+                break
+            handle(batch)
+            batch.unpersist()
+            batches, after = batches + 1, top
 
 
 def upsert_into(spark: SparkSession, folder: str, schema, buckets: int = 64) -> Callable[[DataFrame, int], None]:
