@@ -21,7 +21,7 @@ SHINGLE = 5
 DIGEST = ["n_shingles", "digest", "digest2"]
 #: Pairs of documents of a bucket up to this size are confirmed one by one; of a larger one, documents are compared in
 #: blocks of about so many documents and bytes of text.
-SMALL_BUCKET, BLOCK, BLOCK_BYTES = 32, 256, 4 << 20
+SMALL_BUCKET, BLOCK, BLOCK_BYTES = 32, 512, 4 << 20
 #: Bytes of text of the pairs that are confirmed together.
 CONFIRM_BYTES = 4 << 20
 _LOWER_BYTES = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -145,7 +145,7 @@ def common_sizes(left: list[np.ndarray], right: list[np.ndarray], width: int = 8
 
 
 def _compare_blocks(percent: int, key: int, sets_of=shingle_sets):
-    """Links between the two blocks of a task: of those that connect the same components, the first that holds.
+    """Links between the two blocks of a task, or within its only one: of those that connect the same components, the first that holds.
 
     Hashes only say which pairs to look at: a pair stands for its components once its words are compared.
     """
@@ -166,7 +166,8 @@ def _compare_blocks(percent: int, key: int, sets_of=shingle_sets):
             common = common_sizes([sets[i] for i in one], [sets[i] for i in two])
             size = np.array([len(s) for s in sets], np.int64)
             union = size[one][:, None] + size[two][None] - common
-            for x, y in np.argwhere((common > 0) & (100 * common >= percent * union) & (comp[one][:, None] != comp[two][None])).tolist():
+            near = (common > 0) & (100 * common >= percent * union) & (comp[one][:, None] != comp[two][None])
+            for x, y in np.argwhere(np.triu(near) if low[0] == high[0] else near).tolist():
                 a, b = find(int(comp[one[x]])), find(int(comp[two[y]]))
                 if a != b and linked(*exact_sets([texts[int(i)].as_py().encode("utf-8", "surrogatepass") for i in (one[x], two[y])]), percent):
                     parent[max(a, b)] = min(a, b)
@@ -179,27 +180,33 @@ def _compare_blocks(percent: int, key: int, sets_of=shingle_sets):
 def _between_components(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components within large buckets; ``members``: key, id, comp.
 
-    The largest component's documents are compared with all others, and those among themselves, in blocks: a task
-    has two blocks, and a document goes to as many tasks as its bucket has blocks to compare it with. No pair of
-    documents is a row.
+    The documents of a bucket that fits one block are compared in a task. Of a larger one the largest component's
+    documents are compared with all others, and those among themselves, in blocks: a task has two blocks, and a
+    document goes to as many tasks as its bucket has blocks to compare it with. No pair of documents is a row.
     """
     members = members.join(texts.select("id", "bytes"), "id")
     sizes = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp", "bytes")).alias("m"), F.sum("n").alias("total"), F.sum("bytes").alias("bytes"))
     many = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES))
-    blocks = main.where("total > m.n").select(
-        "key", F.col("m.comp").alias("main"), many(F.col("total") - F.col("m.n"), F.col("bytes") - F.col("m.bytes")).alias("others"), many(F.col("m.n"), F.col("m.bytes")).alias("mains")
-    )
-    at = F.pmod(F.xxhash64("id"), F.when(F.col("comp") == F.col("main"), F.col("mains")).otherwise(F.col("others")))
+    one = many(F.col("total"), F.col("bytes")) <= 1
+    others, mains = many(F.col("total") - F.col("m.n"), F.col("bytes") - F.col("m.bytes")), many(F.col("m.n"), F.col("m.bytes"))
+    blocks = main.where("total > m.n").select("key", F.when(~one, F.col("m.comp")).alias("main"), F.when(one, 1).otherwise(others).alias("others"), F.when(one, 0).otherwise(mains).alias("mains"))
+    is_main = F.col("comp").eqNullSafe(F.col("main"))
+    at = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("others")))
     dealt = (
         members.join(materialize(blocks), "key")
-        .withColumn("index", F.when(F.col("comp") == F.col("main"), F.col("others") + at).otherwise(at))
-        .withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("comp") == F.col("main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))))
+        .withColumn("index", F.when(is_main, F.col("others") + at).otherwise(at))
+        .withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))))
         .select("key", "id", "comp", "index", F.least("index", "partner").alias("low"), F.greatest("index", "partner").alias("high"))
     )
     return dealt.join(texts.select("id", "text"), "id").groupBy("key", "low", "high").applyInArrow(_compare_blocks(percent, draw_key()), "a long, b long")
 
 
+def sizes_allow(one, two, percent: int):
+    """Whether sets of two sizes can be similar enough."""
+    return 100 * F.least(one, two) >= percent * F.greatest(one, two)
+
+
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, text, bytes of the documents named in ``ids`` (id), equal ones once; written."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text").join(ids.distinct(), "id")
@@ -209,24 +216,26 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def components(first: DataFrame, bucket: DataFrame, own: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Columns (id, component) of all documents that are linked with another one.
 
-    ``bucket``: key, id and n (rows of the key), written; ``first``: pairs (a, b) to confirm before all others, one
-    for each document at most; ``own``: pairs that belong together without a test; ``texts``: from :func:`texts_of`.
+    ``bucket``: key, id, n (rows of the key) and size (of the set), written; ``first``: pairs (a, b) to confirm before
+    all others, one for each document at most; ``own``: pairs that belong together without a test; ``texts``: from :func:`texts_of`.
 
     After the first pairs, only the buckets that still span several components are looked at, and their documents
     compared across components: pair by pair in a small bucket, in blocks in a large one, of buckets with the same
     documents only once. Thus no two documents that share a bucket go unexamined unless they are already connected,
     and the pairs within a group are never expanded to rows.
     """
+    first = materialize(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = materialize(verified(first, texts, percent).union(own))
     comp = materialize(connected_components(links).withColumnsRenamed({"component": "comp"}))
-    at = materialize(bucket.join(comp, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp")))
+    at = materialize(bucket.join(comp, "id", "left").select("key", "id", "n", "size", F.coalesce("comp", "id").alias("comp")))
     # Of buckets with the same documents the one with the smallest key stays.
     same = F.struct(F.col("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit("x"))).alias("x"))
     mixed = at.groupBy("key", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), same.alias("same")).where("lo <> hi").groupBy("same").agg(F.min("key").alias("key"))
     rest = materialize(at.join(mixed.select("key"), "key", "left_semi"))
     few = rest.where(F.col("n") <= SMALL_BUCKET)
-    pairs = few.select("key", F.col("id").alias("a"), F.col("comp").alias("comp_a")).join(few.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b")), "key")
-    pairs = pairs.where("a < b and comp_a <> comp_b").select("a", "b").distinct()
-    large = _between_components(rest.where(F.col("n") > SMALL_BUCKET).drop("n"), texts, percent)
+    side = lambda x: few.select("key", F.col("id").alias(x), F.col("comp").alias(f"comp_{x}"), F.col("size").alias(f"size_{x}"))
+    pairs = side("a").join(side("b"), "key").where(F.expr("a < b and comp_a <> comp_b") & sizes_allow(F.col("size_a"), F.col("size_b"), percent))
+    pairs = pairs.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    large = _between_components(rest.where(F.col("n") > SMALL_BUCKET).drop("n", "size"), texts, percent)
     links = materialize(links.union(verified(pairs, texts, percent)).union(large))
     return connected_components(links).select("id", "component")

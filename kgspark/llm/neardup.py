@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm._links import components, digests, equal_sets, labelled, own_links, shingle_sets, texts_of
+from kgspark.llm._links import components, digests, equal_sets, labelled, own_links, shingle_sets, sizes_allow, texts_of
 from kgspark.llm._shared import materialize, small_batches
 from kgspark.llm._text import U, draw_key, mix, pieces
 
@@ -79,13 +79,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialize(docs.mapInArrow(_sketches(draw_key()), "doc_id long, n_shingles long, digest long, digest2 long, bands array<long>"))
     member, reps = equal_sets(sketch)
-    rows = reps.select("id", F.explode("bands").alias("key"))
-    hubs = materialize(rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"))
+    rows = reps.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
+    hubs = materialize(rows.groupBy("key").agg(F.min(F.struct("id", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1"))
     bucket = materialize(rows.join(hubs, "key"))
 
     texts = texts_of(docs, bucket.select("id"))
-    first = bucket.where("hub <> id").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    comp = components(first, bucket.select("key", "id", "n"), own_links(member), texts, PERCENT)
+    first = bucket.where((F.col("hub.id") != F.col("id")) & sizes_allow(F.col("hub.size"), F.col("size"), PERCENT)).groupBy(F.col("id").alias("b")).agg(F.min("hub.id").alias("a"))
+    comp = components(first, bucket.drop("hub"), own_links(member), texts, PERCENT)
     return labelled(sketch, member, comp).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kgspark.llm import _blocks
 from kgspark.llm._blocks import FAN_BITS, down, in_blocks, pack_bits, prefix, split, unpack_bits, up
-from kgspark.llm._links import DIGEST, components, digests, equal_sets, labelled, own_links, shingle_sets, texts_of
+from kgspark.llm._links import DIGEST, components, digests, equal_sets, labelled, own_links, shingle_sets, sizes_allow, texts_of
 from kgspark.llm._shared import materialize, small_batches
 from kgspark.llm._text import U, draw_key, mix, pieces
 
@@ -35,6 +35,8 @@ _ANSWER = "kind int, bucket long, block long, shared binary, counts binary, docs
 _ANSWER_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), *((n, pa.binary()) for n in ("shared", "counts", "docs", "blocks"))])
 #: In a count: some set looks for the key; sets that have it, up to MANY.
 SOUGHT, MANY = 128, 127
+_ROWS = "key long, id long, size long, sought boolean, at long, place long, own long, own_place long"
+_ROWS_ARROW = pa.schema([(n, pa.bool_() if n == "sought" else pa.int64()) for n in ("key", "id", "size", "sought", "at", "place", "own", "own_place")])
 _EQUAL, _LESS = U(0x2545F4914F6CDD1D), U(0x9FB21C651E98DF25)
 
 
@@ -163,7 +165,7 @@ class _Block:
         table = table.take(pa.array(order))
         self.ids = ids[order]
         sets = [s for _, _, d, o in pieces(table.column("text")) for s in shingle_sets(d, o, key)]
-        sizes = np.array([len(s) for s in sets], np.int64)
+        self.sizes = sizes = np.array([len(s) for s in sets], np.int64)
         own, nearby = schemes.of(np.maximum(sizes, 1))
         parts = []  # keys, places in ids, sought, run of the own scheme with v = 1 (or -1)
 
@@ -227,7 +229,8 @@ class _Block:
         rank = np.arange(len(mine)) - np.searchsorted(owner, owner)
         sought[mine[rank < self.free[owner]]] = False
         keep = np.flatnonzero(cost[at] > 0)
-        return pa.table({"key": self.keys[order][keep].view(np.int64), "id": self.ids[self.docs[order][keep]], "sought": sought[keep], "block": blocks[at[keep]], "place": docs[at[keep]]})
+        own = self.docs[order][keep]
+        return pa.table({"key": self.keys[order][keep].view(np.int64), "id": self.ids[own], "size": self.sizes[own], "sought": sought[keep], "at": blocks[at[keep]], "place": docs[at[keep]]})
 
 
 def _messages(key: np.ndarray, docs: np.ndarray, blocks: np.ndarray, n: np.ndarray, level: int, levels: int, block: int) -> list[dict]:
@@ -370,22 +373,22 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, block_bytes: int = BLO
 
     def rows(of, table, answers):
         if not table.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in (("key", pa.int64()), ("id", pa.int64()), ("sought", pa.bool_()), ("at", pa.int64()), ("place", pa.int64()), ("own", pa.int64()), ("own_place", pa.int64()))})
+            return pa.Table.from_pylist([], schema=_ROWS_ARROW)
         block = _Block(table, percent, key, schemes, reach)
         out = block.shared(levels, _answers(answers))
-        ids = out.column("id").to_numpy()
-        place = np.searchsorted(block.ids, ids)
-        return pa.table({"key": out.column("key"), "id": ids, "sought": out.column("sought"), "at": out.column("block"), "place": out.column("place"), "own": np.full(len(ids), of[0].as_py()), "own_place": place})
+        place = np.searchsorted(block.ids, out.column("id").to_numpy())
+        return out.append_column("own", pa.array(np.full(len(place), of[0].as_py()))).append_column("own_place", pa.array(place))
 
     frames = up(blocks.applyInArrow(ask, _ASK), levels, _merge(levels), _ASK)
     replies = down(frames, frames[-1].groupBy("kind", "bucket").applyInArrow(answer, _ANSWER), _unmerge(levels), _ANSWER)
-    found = materialize(blocks.cogroup(replies.groupBy("block")).applyInArrow(rows, "key long, id long, sought boolean, at long, place long, own long, own_place long"))
+    found = materialize(blocks.cogroup(replies.groupBy("block")).applyInArrow(rows, _ROWS))
     sizes = materialize(found.groupBy("key").agg(F.count("*").alias("n"), F.max("sought").alias("sought")).where("n > 1 and sought").select("key", "n"))
-    bucket = materialize(found.select("key", "id").join(sizes, "key"))
-    names = found.groupBy(F.col("own").alias("at"), F.col("own_place").alias("place")).agg(F.min("id").alias("a"))
-    first = found.where("at <> own or place <> own_place").groupBy("id").agg(F.min(F.struct("at", "place")).alias("to")).select(F.col("id").alias("b"), "to.at", "to.place")
-    first = first.join(names, ["at", "place"]).where("a <> b").select("a", "b")
-    comp = components(first, bucket, own_links(member), texts, percent)
+    bucket = materialize(found.drop("sought").join(sizes, "key"))
+    near = materialize(texts.join(bucket.select("id").distinct(), "id", "left_semi"))
+    names = bucket.groupBy(F.col("own").alias("at"), F.col("own_place").alias("place")).agg(F.min(F.struct("id", "size")).alias("hub"))
+    first = bucket.where("at <> own or place <> own_place").select("id", "size", "at", "place").distinct().join(names, ["at", "place"])
+    first = first.where((F.col("hub.id") != F.col("id")) & sizes_allow(F.col("hub.size"), F.col("size"), percent)).groupBy(F.col("id").alias("b")).agg(F.min("hub.id").alias("a"))
+    comp = components(first, bucket.select("key", "id", "n", "size"), own_links(member), near, percent)
     return labelled(sketch, member, comp)
 
 
