@@ -153,18 +153,3 @@ def stream_upserts(spark, sf_dir):
     types = spark.createDataFrame([], schema).schema
     I.micro_batches(spark.readStream.schema(types).parquet(f"{folder}/in"), I.upsert_into(spark, f"{folder}/out", types, 8), f"{folder}/checkpoint").awaitTermination()
     return I.table_of(spark, f"{folder}/out", types).select("_id", "title", "version")
-
-
-@query(
-    """WITH s AS (SELECT user_id, epoch(ts) AS s FROM events WHERE user_id IS NOT NULL), g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s) <= 1800 THEN 0 ELSE 1 END AS new FROM s),
-n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, CAST(floor(min(s)) AS BIGINT) AS start_s, count(*) AS n FROM n GROUP BY user_id, k"""
-)
-def stream_sessions(spark, sf_dir):
-    """Sessions of a stream over the events (K9)."""
-    folder = _folder(spark)
-    e = read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    e.write.parquet(f"{folder}/in")
-    s = I.stream_sessions(spark.readStream.schema(e.schema).parquet(f"{folder}/in"), "user_id", "ts", late="10000 days")
-    handle = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out")
-    s.writeStream.outputMode("complete").foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("user_id", F.unix_seconds("start").alias("start_s"), "n")

@@ -128,12 +128,6 @@ def table_of(spark: SparkSession, folder: str, schema, buckets: list[int] | None
     return rows.where(wanted).select(*columns)
 
 
-def stream_sessions(events: DataFrame, user: str, ts: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Sessions of a stream by the same inclusive gap as in batch (K9); late rows beyond the watermark are dropped."""
-    rows = events.where(F.col(user).isNotNull()).withWatermark(ts, late)
-    return rows.groupBy(F.session_window(ts, gap).alias("s"), F.col(user)).agg(F.count("*").alias("n")).select(user, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
-
-
 def stream_counts(events: DataFrame, ts: str, by: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts in fixed windows of a stream with a watermark."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), F.col(by)).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")

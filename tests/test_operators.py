@@ -247,17 +247,6 @@ def test_source_ids(spark):
     assert Y.unwrap(spark.createDataFrame([(1, '{"data": [1, 2]}'), (2, "[3]"), (3, '{"a": 4}')], "ord int, raw string")).count() == 4
 
 
-def test_stream_sessions_equal_batch(spark, tmp_path):
-    base = datetime.datetime(2024, 1, 1)
-    rows_ = [(u, base + datetime.timedelta(minutes=m)) for u, ms in (("a", (0, 30, 61, 300)), ("b", (5,))) for m in ms]
-    spark.createDataFrame(rows_, "user string, ts timestamp").write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("user string, ts timestamp").parquet(f"{tmp_path}/in")
-    got = []
-    q = I.stream_sessions(stream, "user", "ts").writeStream.outputMode("complete").foreachBatch(lambda b, n: got.append(b.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted((r.user, r.n) for r in got[-1]) == [("a", 1), ("a", 1), ("a", 2), ("b", 1)]
-
-
 def test_micro_batches_upsert_once(spark, tmp_path):
     schema = "_id string, title string, content string, checksum string, version int, synced_at timestamp"
     now = datetime.datetime(2024, 1, 1)
