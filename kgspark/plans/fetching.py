@@ -16,7 +16,7 @@ from kgspark.session import shared_folder
 from kgspark.sources import discovery as D
 from kgspark.sources import tables as S
 from kgspark.sources import transform as X
-from kgspark.sources.paged import PagedSource
+from kgspark.sources.paged import PagedSource, call_each
 from kgspark.streaming import incremental as I
 
 
@@ -34,6 +34,34 @@ def paged_read(spark, sf_dir):
     return rows.select(F.when(F.contains("seed", F.lit("nation.parquet")), "nation").otherwise("region").alias("seed"), key.alias("key"), "page")
 
 
+@query("SELECT 'customer' AS seed, c_custkey AS key, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 40 AS INT) AS page FROM customer UNION ALL SELECT 'supplier', s_suppkey, CAST((row_number() OVER (ORDER BY s_suppkey) - 1) // 40 AS INT) FROM supplier")
+def stream_pages(spark, sf_dir):
+    """Pages of two starting values as a stream that stops halfway and goes on from its checkpoint (K1, K3)."""
+    spark.dataSource.register(PagedSource)
+    folder = _folder(spark)
+    seeds = json.dumps([{"path": f"{sf_dir}/{t}.parquet", "table": t} for t in ("customer", "supplier")])
+    source = spark.readStream.format("paged").option("client", "kgspark.sources.paged:parquet_pages").option("seeds", seeds).option("page_size", "40")
+    half = read(spark, sf_dir, "customer").count() // 80 * 40
+    for stream in (source.option("until", str(half)).load(), source.option("until", str(1 << 60)).load()):
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    key = F.coalesce(J.value(F.col("raw"), "c_custkey"), J.value(F.col("raw"), "s_suppkey")).cast("long")
+    return spark.read.parquet(f"{folder}/out").select(J.value(F.col("seed"), "table").alias("seed"), key.alias("key"), "page")
+
+
+@query(
+    """SELECT n_nationkey, CASE WHEN n_nationkey % 7 <> 3 THEN c_custkey END AS c_custkey, CASE WHEN n_nationkey % 7 <> 3 THEN CAST((row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) - 1) // 5 AS INT) ELSE 0 END AS page, n_nationkey % 7 = 3 AS failed
+FROM nation JOIN customer ON n_nationkey % 7 <> 3 AND c_nationkey = n_nationkey UNION ALL SELECT n_nationkey, NULL, 0, true FROM nation WHERE n_nationkey % 7 = 3"""
+)
+def item_calls(spark, sf_dir):
+    """A call for each row of an earlier result, page by page, under a limit of calls; some fail and the others go on."""
+    n, path = F.col("n_nationkey"), f"{sf_dir}/customer.parquet"
+    # A call for a file that is not there fails.
+    file = F.when(n % 7 == 3, F.lit(f"{sf_dir}/no_such.parquet")).otherwise(F.lit(path))
+    items = read(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct(file.alias("path"), F.lit("c_nationkey").alias("column"), n.alias("value"), F.array(F.lit("c_custkey")).alias("columns"))).alias("params"))
+    rows = call_each(items, "params", "kgspark.sources.paged:parquet_matches", page_size=5, concurrency=4, limit=4000, window=1.0, retries=0)
+    return rows.select("n_nationkey", J.value(F.col("raw"), "c_custkey").cast("long").alias("c_custkey"), "page", F.col("error").isNotNull().alias("failed"))
+
+
 @query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def seeded_rows(spark, sf_dir):
     """Rows of a source for each seed that earlier rows gave."""

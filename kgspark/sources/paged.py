@@ -1,7 +1,9 @@
-"""A paged source as a Python data source: one partition for each starting value, pages read by cursor.
+"""A paged source as a Python data source, in batch and as a stream, and calls for each item of an earlier result.
 
 Register with ``spark.dataSource.register(PagedSource)`` and read with ``spark.read.format("paged")``. Options:
-``client`` (module:function that returns a client), ``seeds`` (JSON list), ``page_size``, ``since`` and ``retries``.
+``client`` (module:function that returns a page), ``seeds`` (JSON list), ``page_size``, ``since``, ``retries``,
+``concurrency`` (tasks that call at a time), ``limit`` and ``window`` (calls in so many seconds, over all tasks) and
+``on_error`` (``fail``, or ``row`` for a row with the error's text in place of a seed's pages).
 A client is called as ``client(seed, cursor, page_size)`` and returns (rows, next cursor or None); a row is JSON text
 and may hold a date under ``date``. Reading a seed stops after a page whose rows are all before ``since`` (A8).
 """
@@ -12,28 +14,67 @@ import importlib
 import json
 import random
 import time
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: First and longest pause between tries, in seconds.
 PAUSE, LONGEST = 0.1, 5.0
+SCHEMA = "seed string, page int, ord long, raw string, error string"
 
 
 class SourceError(Exception):
     """A fault that trying again does not mend."""
 
 
-class Seed(InputPartition):
-    def __init__(self, value):
-        super().__init__(value)
+class Seeds(InputPartition):
+    """Starting values that one task reads, one after another."""
 
+    def __init__(self, values: list):
+        super().__init__(values)
 
-def call(client, *args, retries: int = 5, sleep=time.sleep):
-    """A call tried again with growing pauses (A9); a SourceError is passed on at once."""
+
+def named(client: str) -> Callable:
+    module, name = client.split(":")
+    return getattr(importlib.import_module(module), name)
+
+
+class Throttle:
+    """One task's lease of a source's rate (A9): of ``limit`` calls in any ``window`` seconds it has its share.
+
+    At most ``limit`` tasks may call (see :func:`sharers`), so that the whole calls of all shares never exceed it.
+    """
+
+    def __init__(self, limit: int, window: float, tasks: int, clock=time.monotonic, sleep=time.sleep):
+        self.share, self.window, self.clock, self.sleep = max(1, limit // max(1, tasks)), window, clock, sleep
+        self.calls: deque = deque()
+
+    def wait(self) -> None:
+        """Return once a call is allowed, and count it."""
+        while len(self.calls) >= self.share:
+            left = self.calls[0] + self.window - self.clock()
+            if left <= 0:
+                self.calls.popleft()
+            else:
+                self.sleep(left)
+        self.calls.append(self.clock())
+
+
+def sharers(concurrency: int, limit: int | None) -> int:
+    """How many tasks may call at a time."""
+    return max(1, min(concurrency, limit) if limit else concurrency)
+
+
+def call(client, *args, retries: int = 5, sleep=time.sleep, throttle: Throttle | None = None):
+    """A call tried again with growing pauses (A9); a SourceError is passed on at once. Each try counts for the throttle."""
     pause = PAUSE
     for attempt in range(retries + 1):
         try:
+            if throttle:
+                throttle.wait()
             return client(*args)
         except SourceError:
             raise
@@ -44,6 +85,29 @@ def call(client, *args, retries: int = 5, sleep=time.sleep):
             pause *= 2
 
 
+def pages(client, seed, page_size: int, since: str | None, retries: int, throttle: Throttle | None, on_error: str) -> Iterator[tuple]:
+    """(page, ord, raw, error) of all pages of a starting value (A8); where a call fails for good, one row with its error ends them."""
+    cursor, page, at = None, 0, 0
+    while True:
+        try:
+            rows, cursor = call(client, seed, cursor, page_size, retries=retries, throttle=throttle)
+        except Exception as e:
+            if on_error == "fail":
+                raise
+            yield page, None, None, f"{type(e).__name__}: {e}"
+            return
+        kept = 0
+        for raw in rows:
+            date = json.loads(raw).get("date") if since else None
+            if date is None or date >= since:
+                kept += 1
+                yield page, at, raw, None
+            at += 1
+        page += 1
+        if not cursor or (since and rows and not kept):
+            return
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.client = options["client"]
@@ -51,41 +115,102 @@ class PagedReader(DataSourceReader):
         self.page_size = int(options.get("page_size", "100"))
         self.since = options.get("since")
         self.retries = int(options.get("retries", "5"))
+        self.on_error = options.get("on_error", "fail")
+        self.limit = int(options["limit"]) if "limit" in options else None
+        self.window = float(options.get("window", "1"))
+        self.tasks = sharers(int(options.get("concurrency", str(len(self.seeds)))), self.limit)
 
     def partitions(self):
-        return [Seed(s) for s in self.seeds]
+        return [Seeds(self.seeds[k :: self.tasks]) for k in range(min(self.tasks, len(self.seeds)))]
+
+    def read(self, partition) -> Iterator[tuple]:
+        client, throttle = named(self.client), Throttle(self.limit, self.window, self.tasks) if self.limit else None
+        for seed in partition.value:
+            for row in pages(client, seed, self.page_size, self.since, self.retries, throttle, self.on_error):
+                yield json.dumps(seed), *row
+
+
+class Range(InputPartition):
+    """A page of a stream: a seed's rows from a position on."""
+
+    def __init__(self, seed, start: int, size: int):
+        super().__init__((seed, start, size))
+
+
+class PagedStream(DataSourceStreamReader):
+    """New rows of seeds whose cursors are positions (K1, K3).
+
+    An offset is each seed's position; it lies in the query's checkpoint, so a restarted stream goes on where it stopped.
+    ``<client>_end(seed)`` tells how many rows a seed has; ``until`` leaves later ones for another time. A micro-batch
+    is planned as pages, each read by a task. The source keeps all rows, so there is nothing to do on commit.
+    """
+
+    def __init__(self, options: dict):
+        self.client, self.seeds = options["client"], json.loads(options.get("seeds", "[null]"))
+        self.page_size, self.retries = int(options.get("page_size", "100")), int(options.get("retries", "5"))
+        self.until = int(options["until"]) if "until" in options else None
+
+    def initialOffset(self) -> dict:
+        return {json.dumps(s): 0 for s in self.seeds}
+
+    def latestOffset(self) -> dict:
+        end = named(f"{self.client}_end")
+        ends = {json.dumps(s): call(end, s, retries=self.retries) for s in self.seeds}
+        return {k: n if self.until is None else min(n, self.until) for k, n in ends.items()}
+
+    def partitions(self, start: dict, end: dict):
+        return [Range(json.loads(k), at, min(self.page_size, n - at)) for k, n in end.items() for at in range(start.get(k, 0), n, self.page_size)]
 
     def read(self, partition) -> Iterator[tuple]:
-        module, name = self.client.split(":")
-        client = getattr(importlib.import_module(module), name)
-        cursor, page, at = None, 0, 0
-        while True:
-            rows, cursor = call(client, partition.value, cursor, self.page_size, retries=self.retries)
-            kept = 0
-            for raw in rows:
-                date = json.loads(raw).get("date") if self.since else None
-                if date is None or date >= self.since:
-                    kept += 1
-                    yield json.dumps(partition.value), page, at, raw
-                at += 1
-            page += 1
-            if not cursor or (self.since and rows and not kept):
-                return
+        seed, start, size = partition.value
+        rows, _ = call(named(self.client), seed, start, size, retries=self.retries)
+        for k, raw in enumerate(rows):
+            yield json.dumps(seed), start // self.page_size, start + k, raw, None
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class PagedSource(DataSource):
-    """Rows (seed, page, ord, raw) of a paged client."""
+    """Rows (seed, page, ord, raw, error) of a paged client."""
 
     @classmethod
     def name(cls) -> str:
         return "paged"
 
     def schema(self) -> str:
-        return "seed string, page int, ord long, raw string"
+        return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         return PagedReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return PagedStream(self.options)
+
+
+def call_each(
+    items: DataFrame, params: str, client: str, page_size: int = 100, concurrency: int = 20, limit: int | None = None, window: float = 1.0, since: str | None = None, retries: int = 5, on_error: str = "row"
+) -> DataFrame:
+    """All pages of a call for each row of ``items`` (A5, A6): its columns with page, ord, raw and error.
+
+    ``params``: a column of JSON text, the client's starting value; a null makes no call. Rows of ``items`` are dealt to ``concurrency`` tasks, each
+    of which calls for one after another under its share of the rate. An item whose call fails for good has one row
+    with the error, and the others go on (``on_error="fail"`` ends the job instead); an item without rows has none.
+    """
+    tasks = sharers(concurrency, limit)
+
+    @F.udtf(returnType="page int, ord long, raw string, error string")
+    class Calls:
+        def __init__(self):
+            self.client, self.throttle = named(client), Throttle(limit, window, tasks) if limit else None
+
+        def eval(self, given: str):
+            if given is not None:
+                yield from pages(self.client, json.loads(given), page_size, since, retries, self.throttle, on_error)
+
+    dealt = items.repartition(tasks)
+    return dealt.lateralJoin(Calls(F.col(params).outer()))
+
 
 def parquet_pages(seed: dict, cursor: int | None, page_size: int) -> tuple[list[str], int | None]:
     """A client of the paged source over a Parquet file: seed ``{"path": ...}``, the cursor being a row's number.
@@ -104,3 +229,18 @@ def parquet_pages(seed: dict, cursor: int | None, page_size: int) -> tuple[list[
         base += n
     rows = file.read_row_groups(wanted).slice(skip - first, page_size).to_pylist() if wanted else []
     return [json.dumps(r, default=str) for r in rows], skip + page_size if base > skip + page_size else None
+
+
+def parquet_pages_end(seed: dict) -> int:
+    """How many rows a Parquet file has."""
+    import pyarrow.parquet as pq
+
+    return pq.ParquetFile(seed["path"]).metadata.num_rows
+
+
+def parquet_matches(seed: dict, cursor: int | None, page_size: int) -> tuple[list[str], int | None]:
+    """A client over a Parquet file's rows with a value: seed ``{"path", "column", "value"}``; other row groups are not read."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(seed["path"], filters=[(seed["column"], "=", seed["value"])], columns=seed.get("columns")).slice(cursor or 0, page_size + 1).to_pylist()
+    return [json.dumps(r, default=str) for r in rows[:page_size]], (cursor or 0) + page_size if len(rows) > page_size else None
