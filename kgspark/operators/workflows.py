@@ -77,11 +77,6 @@ def combine(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def sample(rows: DataFrame, share: float, seed: int) -> DataFrame:
-    """A random share of the rows, the same for a seed."""
-    return rows.sample(fraction=share, seed=seed)
-
-
 def weighted_pick(rows: DataFrame, weight: str, n: int, key: str, seed: int = 0) -> DataFrame:
     """``n`` rows drawn without replacement by weight (F15): the largest of u ** (1 / weight), u from the key's hash."""
     u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)

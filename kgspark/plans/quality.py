@@ -35,6 +35,16 @@ def summary_stats(spark, sf_dir):
     return s.select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std_dev")], "p95", "p99", "min", "max", F.round("sum", 4).alias("sum"), "n")
 
 
+@query(
+    "SELECT user_id % 3 AS g, round(median(value), 6) AS median, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, count(value) AS n FROM events GROUP BY 1 UNION ALL "
+    "SELECT -1, round(median(value), 6), quantile_disc(value, 0.95), quantile_disc(value, 0.99), count(value) FROM events"
+)
+def summary_of_hot_groups(spark, sf_dir):
+    """Exact ranks of a group that holds all rows and of smaller ones, by narrowed ranges."""
+    e = read(spark, sf_dir, "events").select("value", F.explode(F.array(F.lit(-1).cast("long"), F.col("user_id") % 3)).alias("g"))
+    return M.summary(e, "value", ["g"], most=200).select("g", F.round("median", 6).alias("median"), "p95", "p99", "n")
+
+
 @query("SELECT quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events")
 def percentile_nearest(spark, sf_dir):
     return M.summary(read(spark, sf_dir, "events"), "value").select("p95", "p99")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kgspark.operators import extraction as E
+from kgspark.operators import order as O
 from kgspark.operators import registry as R
 from kgspark.operators import workflows as W
 from kgspark.plans.graph import _UUID
@@ -89,3 +90,36 @@ SELECT DISTINCT s.id AS src, d.id AS dst, 'NEXT_TO' AS type, 0.7::DOUBLE AS conf
 def graph_from_text(spark, sf_dir):
     """Edges that the stand-in extractor finds in all records."""
     return E.index_graph(records(spark, sf_dir), E.dictionary_extractor(_NAMES))["edges"].select("src", "dst", "type", "confidence")
+
+
+@query("SELECT count(*) AS n, count(*) AS places, CAST(0 AS BIGINT) AS low, count(*) - 1 AS high, CAST(sum(o_orderkey) AS BIGINT) AS keys, true AS moved FROM orders")
+def shuffled_rows(spark, sf_dir):
+    """Rows put in a random order by a keyed permutation of their numbers (F15): every place is taken once."""
+    s = O.shuffled(read(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 7)
+    # In order of keys, about half of the places are smaller than the one before; a sorted or turned list has none or all.
+    odd = s.where("place % 2 = 0").agg(F.corr("place", "o_orderkey").alias("c"))
+    return s.agg(F.count("*").alias("n"), F.countDistinct("place").alias("places"), F.min("place").alias("low"), F.max("place").alias("high"), F.sum("o_orderkey").alias("keys")).join(odd.select((F.abs("c") < 0.2).alias("moved")))
+
+
+@query("SELECT l_linestatus, count(*) // 1 AS n, true AS sampled FROM (SELECT DISTINCT l_linestatus FROM lineitem) GROUP BY 1")
+def sampled_rows(spark, sf_dir):
+    """A tenth of the rows of each status, drawn without replacement (F15): within a tenth of its share."""
+    i = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus")
+    s = O.sample(i, ["l_orderkey", "l_linenumber"], 0.1, 3)
+    shares = i.groupBy("l_linestatus").agg(F.count("*").alias("all")).join(s.groupBy("l_linestatus").agg(F.count("*").alias("drawn")), "l_linestatus")
+    return shares.select("l_linestatus", F.lit(1).cast("long").alias("n"), (F.abs(F.col("drawn") / F.col("all") - 0.1) < 0.02).alias("sampled"))
+
+
+@query("SELECT CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS keys, true AS heavy")
+def weighted_rows(spark, sf_dir):
+    """A hundred rows picked by weight (F15): none twice, and heavier than the table's rows are on average."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    drawn = W.weighted_pick(o, "o_totalprice", 100, "o_orderkey", 5)
+    return drawn.agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("keys"), F.avg("o_totalprice").alias("m")).join(o.agg(F.avg("o_totalprice").alias("a"))).select("n", "keys", (F.col("m") > F.col("a")).alias("heavy"))
+
+
+@query("SELECT o_orderkey, o_totalprice, n FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS n FROM orders) WHERE n >= 700 AND n < 760")
+def deep_page(spark, sf_dir):
+    """A page far down an order of two keys, read from the ranges that hold it."""
+    index = O.order_index(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 256)
+    return index.page(700, 60).withColumnRenamed("_n", "n")
