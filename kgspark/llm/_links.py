@@ -178,13 +178,12 @@ def _compare_blocks(percent: int, key: int, sets_of=shingle_sets):
 
 
 def _between_components(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components within large buckets; ``members``: key, id, comp.
+    """Links (a, b) between different components within large buckets; ``members``: key, id, comp, bytes.
 
     The documents of a bucket that fits one block are compared in a task. Of a larger one the largest component's
     documents are compared with all others, and those among themselves, in blocks: a task has two blocks, and a
     document goes to as many tasks as its bucket has blocks to compare it with. No pair of documents is a row.
     """
-    members = members.join(texts.select("id", "bytes"), "id")
     sizes = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp", "bytes")).alias("m"), F.sum("n").alias("total"), F.sum("bytes").alias("bytes"))
     many = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES))
@@ -208,15 +207,15 @@ def sizes_allow(one, two, percent: int):
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text, bytes of the documents named in ``ids`` (id), equal ones once; written."""
+    """id, text of the documents named in ``ids`` (id), equal ones once; written."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text").join(ids.distinct(), "id")
-    return materialize(texts.withColumn("sha", F.sha2("text", 256)).dropDuplicates(["id", "sha"]).drop("sha").withColumn("bytes", F.octet_length("text").cast("long")))
+    return materialize(texts.withColumn("sha", F.sha2("text", 256)).dropDuplicates(["id", "sha"]).drop("sha"))
 
 
 def components(first: DataFrame, bucket: DataFrame, own: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Columns (id, component) of all documents that are linked with another one.
 
-    ``bucket``: key, id, n (rows of the key) and size (of the set), written; ``first``: pairs (a, b) to confirm before
+    ``bucket``: key, id, n (rows of the key), size (of the set) and bytes (of the text), written; ``first``: pairs (a, b) to confirm before
     all others, one for each document at most; ``own``: pairs that belong together without a test; ``texts``: from :func:`texts_of`.
 
     After the first pairs, only the buckets that still span several components are looked at, and their documents
@@ -227,7 +226,7 @@ def components(first: DataFrame, bucket: DataFrame, own: DataFrame, texts: DataF
     first = materialize(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = materialize(verified(first, texts, percent).union(own))
     comp = materialize(connected_components(links).withColumnsRenamed({"component": "comp"}))
-    at = materialize(bucket.join(comp, "id", "left").select("key", "id", "n", "size", F.coalesce("comp", "id").alias("comp")))
+    at = materialize(bucket.join(comp, "id", "left").select("key", "id", "n", "size", "bytes", F.coalesce("comp", "id").alias("comp")))
     # Of buckets with the same documents the one with the smallest key stays.
     same = F.struct(F.col("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit("x"))).alias("x"))
     mixed = at.groupBy("key", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), same.alias("same")).where("lo <> hi").groupBy("same").agg(F.min("key").alias("key"))

@@ -51,9 +51,10 @@ def _sketches(key: int):
                         batch.column(0).slice(first, last - first),
                         pa.array([len(s) for s in sets], pa.int64()),
                         *digests(sets),
+                        pa.array(np.diff(offsets)),
                         pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([np.zeros(0, np.int64), *bands]))),
                     ],
-                    ["doc_id", "n_shingles", "digest", "digest2", "bands"],
+                    ["doc_id", "n_shingles", "digest", "digest2", "bytes", "bands"],
                 )
 
     return run
@@ -77,9 +78,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = materialize(docs.mapInArrow(_sketches(draw_key()), "doc_id long, n_shingles long, digest long, digest2 long, bands array<long>"))
+    sketch = materialize(docs.mapInArrow(_sketches(draw_key()), "doc_id long, n_shingles long, digest long, digest2 long, bytes long, bands array<long>"))
     member, reps = equal_sets(sketch)
-    rows = reps.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
+    rows = reps.select("id", F.col("n_shingles").alias("size"), "bytes", F.explode("bands").alias("key"))
     hubs = materialize(rows.groupBy("key").agg(F.min(F.struct("id", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1"))
     bucket = materialize(rows.join(hubs, "key"))
 

@@ -35,8 +35,8 @@ _ANSWER = "kind int, bucket long, block long, shared binary, counts binary, docs
 _ANSWER_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), *((n, pa.binary()) for n in ("shared", "counts", "docs", "blocks"))])
 #: In a count: some set looks for the key; sets that have it, up to MANY.
 SOUGHT, MANY = 128, 127
-_ROWS = "key long, id long, size long, sought boolean, at long, place long, own long, own_place long"
-_ROWS_ARROW = pa.schema([(n, pa.bool_() if n == "sought" else pa.int64()) for n in ("key", "id", "size", "sought", "at", "place", "own", "own_place")])
+_ROWS = "key long, id long, size long, bytes long, sought boolean, at long, place long, own long, own_place long"
+_ROWS_ARROW = pa.schema([(n, pa.bool_() if n == "sought" else pa.int64()) for n in ("key", "id", "size", "bytes", "sought", "at", "place", "own", "own_place")])
 _EQUAL, _LESS = U(0x2545F4914F6CDD1D), U(0x9FB21C651E98DF25)
 
 
@@ -164,7 +164,11 @@ class _Block:
         order = np.argsort(ids, kind="stable")
         table = table.take(pa.array(order))
         self.ids = ids[order]
-        sets = [s for _, _, d, o in pieces(table.column("text")) for s in shingle_sets(d, o, key)]
+        sets, lengths = [], [np.zeros(0, np.int64)]
+        for _, _, data, offsets in pieces(table.column("text")):
+            sets += shingle_sets(data, offsets, key)
+            lengths.append(np.diff(offsets) if offsets is not None else np.zeros(0, np.int64))
+        self.bytes = np.concatenate(lengths)
         self.sizes = sizes = np.array([len(s) for s in sets], np.int64)
         own, nearby = schemes.of(np.maximum(sizes, 1))
         parts = []  # keys, places in ids, sought, run of the own scheme with v = 1 (or -1)
@@ -230,7 +234,7 @@ class _Block:
         sought[mine[rank < self.free[owner]]] = False
         keep = np.flatnonzero(cost[at] > 0)
         own = self.docs[order][keep]
-        return pa.table({"key": self.keys[order][keep].view(np.int64), "id": self.ids[own], "size": self.sizes[own], "sought": sought[keep], "at": blocks[at[keep]], "place": docs[at[keep]]})
+        return pa.table({"key": self.keys[order][keep].view(np.int64), "id": self.ids[own], "size": self.sizes[own], "bytes": self.bytes[own], "sought": sought[keep], "at": blocks[at[keep]], "place": docs[at[keep]]})
 
 
 def _messages(key: np.ndarray, docs: np.ndarray, blocks: np.ndarray, n: np.ndarray, level: int, levels: int, block: int) -> list[dict]:
@@ -388,7 +392,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, block_bytes: int = BLO
     names = bucket.groupBy(F.col("own").alias("at"), F.col("own_place").alias("place")).agg(F.min(F.struct("id", "size")).alias("hub"))
     first = bucket.where("at <> own or place <> own_place").select("id", "size", "at", "place").distinct().join(names, ["at", "place"])
     first = first.where((F.col("hub.id") != F.col("id")) & sizes_allow(F.col("hub.size"), F.col("size"), percent)).groupBy(F.col("id").alias("b")).agg(F.min("hub.id").alias("a"))
-    comp = components(first, bucket.select("key", "id", "n", "size"), own_links(member), near, percent)
+    comp = components(first, bucket.select("key", "id", "n", "size", "bytes"), own_links(member), near, percent)
     return labelled(sketch, member, comp)
 
 
