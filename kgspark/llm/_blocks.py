@@ -24,11 +24,15 @@ FAN_BITS = 8
 BUCKET_KEYS = 2 << 20
 
 
-def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, int]:
-    """``docs`` (doc_id, text) with a block number, and how many levels of buckets hold its keys."""
+def measured(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS) -> tuple[int, int]:
+    """How many blocks the texts of ``docs`` make, and how many levels of buckets hold their keys."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    levels = max(1, -(-(size // 6 // bucket_keys).bit_length() // FAN_BITS))
+    return max(1, -(-size // block_bytes)), max(1, -(-(size // 6 // bucket_keys).bit_length() // FAN_BITS))
+
+
+def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS, made: tuple[int, int] | None = None) -> tuple[DataFrame, int]:
+    """``docs`` (doc_id, text) with a block number, and how many levels of buckets hold its keys; ``made``: from :func:`measured`."""
+    blocks, levels = made or measured(docs, block_bytes, bucket_keys)
     return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))), levels
 
 

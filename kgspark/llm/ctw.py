@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm import _blocks
-from kgspark.llm._blocks import down, groups, in_blocks, prefix, split, up
+from kgspark.llm._blocks import down, groups, in_blocks, measured, prefix, split, up
 from kgspark.llm._shared import materialize, small_batches
 from kgspark.llm._text import SPACES, U, Words, draw_key, mix, text_buffers
 
@@ -275,15 +275,22 @@ def upper_levels(node: np.ndarray, n0: np.ndarray, n1: np.ndarray, inner: np.nda
     return out
 
 
-def _count(token_key: int, block_bytes: int):
+def sender_number(partition: int, flush: int, senders: int) -> int:
+    """A number below ``senders`` for a task's block. Messages of training need no answer, so blocks may share a number;
+    numbers without gaps let those of all tasks meet in groups of FAN on the next level."""
+    return int(mix(np.array([partition << 32 | flush], U))[0] % U(senders))
+
+
+def _count(token_key: int, block_bytes: int, senders: int):
     """Messages with the distinct keys of texts (text, train), about a block's bytes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        sender = (context.partitionId() if context else 0) << 20
+        partition, flushes = context.partitionId() if context else 0, 0
 
         def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            nonlocal sender
+            nonlocal flushes
+            sender = sender_number(partition, flushes, senders)
             found: list[tuple[list, list]] = [([], []), ([], [])]
             for batch in held:
                 train = batch.column(1).fill_null(False)
@@ -292,7 +299,7 @@ def _count(token_key: int, block_bytes: int):
                         found[kind][0].append(key)
                         found[kind][1].append(n if known else 0 * n)
             rows = [m for kind in (GRAMS, TOKENS) for m in messages(kind, sender, *_merge(*found[kind]), 1)]
-            sender += 1
+            flushes += 1
             yield from pa.Table.from_pylist(rows, schema=_ASK_ARROW).to_batches()
 
         held, size = [], 0
@@ -348,13 +355,13 @@ def _packed_nodes(key, table):
     return pa.table({"kind": pa.array([GRAMS], pa.int32()), "bucket": [key[0].as_py()], "keys": pa.array([None], pa.binary()), "counts": pa.array([None], pa.binary()), "nodes": [node[order].astype(U).tobytes()], "values": [np.stack([n0[order], n1[order], weight[order]]).tobytes()]})
 
 
-def fit(rows: DataFrame, levels: int, token_key: int, block_bytes: int) -> tuple[DataFrame, dict, int, int]:
+def fit(rows: DataFrame, levels: int, token_key: int, block_bytes: int, senders: int) -> tuple[DataFrame, dict, int, int]:
     """Models of the texts of ``rows`` (text, train) that are to be learned from.
 
     Returns what answers need by bucket (counts of all grams and tokens, those of the other texts with count 0, and
     the nodes of depth 2 above them), the nodes of depths 0 and 1, and the number and kinds of tokens.
     """
-    asks = up(rows.select("text", "train").mapInArrow(_count(token_key, block_bytes), _ASK), levels, _merge_level(True), _ASK)[-1]
+    asks = up(rows.select("text", "train").mapInArrow(_count(token_key, block_bytes, senders), _ASK), levels, _merge_level(True), _ASK)[-1]
     model = materialize(asks.groupBy("kind", "bucket").applyInArrow(_merged, _MODEL))
     grams = model.where(F.col("kind") == GRAMS)
     nodes = grams.select("keys", "counts").mapInArrow(_parents, _NODES).groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("inner").alias("inner"))
@@ -411,9 +418,11 @@ def score(docs: DataFrame, trained_on: DataFrame | Column | None = None, block_b
     rows = docs.select("text", train.alias("train"))
     if isinstance(trained_on, DataFrame):
         rows = rows.union(trained_on.select("text", F.lit(True)))
-    docs, levels = in_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), block_bytes, bucket_keys)
+    made = measured(docs, block_bytes, bucket_keys)
+    senders = made[0] + (measured(trained_on, block_bytes)[0] if isinstance(trained_on, DataFrame) else 0)
+    docs, levels = in_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), made=made)
     token_key = draw_key()
-    known, upper, n_tokens, n_kinds = fit(rows, levels, token_key, block_bytes)
+    known, upper, n_tokens, n_kinds = fit(rows, levels, token_key, block_bytes, senders)
 
     def ask(key, table):
         asked: list[dict] = []

@@ -73,6 +73,34 @@ def test_messages_grow_in_proportion():
         assert len(substring._Block(table, 50, levels, (1, 2)).ask_anchors(0)) == 1 << _blocks.FAN_BITS
 
 
+@pytest.mark.parametrize("parts, flushes", [(1, 3000), (30, 100), (3000, 1)])
+def test_last_level_messages_are_in_proportion(parts, flushes):
+    """However blocks are spread over tasks, each level has about a FANth of the senders of the one above."""
+    senders, fan = parts * flushes, 1 << _blocks.FAN_BITS
+    numbers = {ctw.sender_number(p, k, senders) for p in range(parts) for k in range(flushes)}
+    assert max(numbers) < senders and len(numbers) > 0.6 * senders
+    first = {n // fan for n in numbers}
+    assert len(first) <= -(-senders // fan) and len({n // fan for n in first}) <= -(-senders // fan**2)
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 8])
+def test_last_level_messages_of_training(spark, partitions):
+    """Three levels: messages of the last level for a kind and bucket, whatever the number of partitions."""
+    docs = spark.createDataFrame(fixture_rows(), SCHEMA).repartition(partitions).select("text", F.lit(True).alias("train"))
+    made = _blocks.measured(docs, 200)
+    asks = _blocks.up(docs.mapInArrow(ctw._count(1, 200, made[0]), ctw._ASK), 3, ctw._merge_level(True), ctw._ASK)
+    last = asks[-1].groupBy("kind", "bucket").count().agg(F.max("count")).first()[0]
+    assert made[0] > 150 and last == 1
+
+
+def test_three_levels(spark):
+    docs = spark.createDataFrame(fixture_rows()[:14], SCHEMA).repartition(2)
+    got = {r.doc_id: r for r in ctw.score(docs, F.col("doc_id") % 2 == 1, block_bytes=2000, bucket_keys=1).collect()}
+    want = {r.doc_id: r for r in ctw.score(docs, F.col("doc_id") % 2 == 1).collect()}
+    assert {i: r.n_known for i, r in got.items()} == {i: r.n_known for i, r in want.items()}
+    assert all(r.score == pytest.approx(want[i].score, rel=1e-5) for i, r in got.items())
+
+
 def test_scores_of_whole_texts(spark):
     train, d = ["abracadabra abra", "Cadabra  cab\n", ""], ctw.DEPTH
     texts = [*train, "abra zebra", "ü", None]
