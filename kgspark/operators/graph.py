@@ -164,29 +164,40 @@ def page(nodes: DataFrame, edges: DataFrame, skip: int, limit: int) -> tuple[Dat
 def paths(edges: DataFrame, source: str, target: str, max_depth: int = 5, limit: int = 10) -> DataFrame:
     """Undirected walks between two nodes of 1 to ``max_depth`` edges that repeat no edge (C23): nodes and depth.
 
-    The shortest ones first, then by their nodes, ``limit`` at most. Nodes that can reach the target in the edges left
-    are found from the target, as sets; walks from the source only step on those, so a hub's other edges are never
-    walked.
+    The shortest ones first, then by their nodes, ``limit`` at most. Partial walks are taken in the order of their
+    nodes' names: all that goes on from an earlier one comes before all that goes on from a later one, so only the
+    first few of each length have to be kept, however many edges a hub has. They step on nodes that can reach the
+    target in exactly the edges left, which are found from the target as sets. Where too few of those that were kept
+    get there without repeating an edge, more are kept. Names hold no ">".
     """
     key = F.concat_ws("|", "src", "type", "dst")
     step = written(edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), key.alias("edge")).union(edges.where("src <> dst").select("dst", "src", key)).distinct())
     spark = edges.sparkSession
-    near = written(spark.range(1).select(F.lit(target).alias("to"), F.lit(0).alias("left")))
-    for k in range(1, max_depth):
-        new = step.join(near.where(F.col("left") == k - 1), "to", "left_semi").select(F.col("at").alias("to")).distinct().join(near, "to", "left_anti")
-        near = near.union(written(new.select("to", F.lit(k).alias("left"))))
-    level = spark.range(1).select(F.array(F.lit(source)).alias("nodes"), F.array().cast("array<string>").alias("edges"), F.lit(source).alias("last"))
-    found = level.where(F.lit(False)).select("nodes", F.lit(0).alias("depth"))
+    reach = [spark.createDataFrame([(target,)], "to string")]
+    for _ in range(1, max_depth):
+        reach.append(written(step.join(reach[-1], "to", "left_semi").select(F.col("at").alias("to")).distinct()))
+    schema = "line string, nodes array<string>, edges array<string>, last string"
+    found: list[tuple] = []
     for depth in range(1, max_depth + 1):
-        level = written(
-            level.join(step.join(near.where(F.col("left") <= max_depth - depth), "to", "left_semi"), F.col("last") == F.col("at"))
-            .where(~F.array_contains("edges", F.col("edge")))
-            .select(F.concat("nodes", F.array("to")).alias("nodes"), F.concat("edges", F.array("edge")).alias("edges"), F.col("to").alias("last"))
-        )
-        found = found.union(level.where(F.col("last") == target).select("nodes", F.lit(depth).alias("depth")))
-        if found.limit(limit).count() == limit:
-            break  # longer ones come later
-    return found.orderBy("depth", F.array_join("nodes", ">")).limit(limit)
+        keep = max(64, 4 * limit)
+        while True:
+            level, cut = [(source, [source], [], source)], False
+            for left in range(depth - 1, -1, -1):
+                walks = F.broadcast(spark.createDataFrame(level, schema))  # at most ``keep``, and ties of parallel edges
+                on = step.join(walks, F.col("last") == F.col("at")).where(~F.array_contains("edges", F.col("edge"))).join(reach[left], "to", "left_semi")
+                on = on.select(F.concat("line", F.lit(">"), "to").alias("line"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("edges", F.array("edge")).alias("edges"), F.col("to").alias("last"))
+                best = on.withColumn("r", F.rank().over(Window.orderBy(F.concat("line", F.lit(">"))))).where(F.col("r") <= keep + 1).collect()
+                cut = cut or any(r["r"] > keep for r in best)
+                level = [(r["line"], r["nodes"], r["edges"], r["last"]) for r in best if r["r"] <= keep]
+                if not level:
+                    break
+            if not cut or len(level) >= limit - len(found):
+                break
+            keep *= 4
+        found += [(x[1], depth) for x in sorted(level)][: limit - len(found)]
+        if len(found) == limit:
+            break
+    return spark.createDataFrame(found, "nodes array<string>, depth int")
 
 
 def score_map(edges: DataFrame, initial: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Permutations, samples, deep pages and ranks in groups against plain Python."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -41,7 +43,7 @@ def test_pages_read_only_their_ranges(spark):
         page = index.page(offset, limit)
         assert [(r.v, r.i, r._n) for r in page.orderBy("_n").collect()] == [(*r, offset + k) for k, r in enumerate(want[offset : offset + limit])]
         if offset < 1000:
-            assert "PartitionFilters: [_part" in page._jdf.queryExecution().executedPlan().toString()
+            assert re.search(r"PartitionFilters: \[[^\]]*_part", page._jdf.queryExecution().executedPlan().toString())
             held = [n for _, b, n in index.before if b < offset + limit and b + n > offset]
             assert sum(held) < limit + 2 * max(n for *_, n in index.before)
     assert [(r.v, r.i) for r in index.numbered().orderBy("_n").collect()] == want
