@@ -9,8 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kgspark.functions.expressions import search, transform
 from kgspark.functions.text import truthy
 
+__all__ = ["condition", "parameters", "paths", "search", "steps", "template", "transform", "value", "values"]
+
 _STEP = re.compile(r"\.([A-Za-z_][\w-]*)|\[(\d+)\]|\['([^']+)'\]|\[(\*)\]")
 
 
@@ -62,79 +65,12 @@ def template(raw: Column, text: str) -> Column:
     return F.concat(*cols) if cols else F.lit("")
 
 
-_PROJECTION = re.compile(r"\[\?\s*([\w.]+)\s*(==|!=|<=|>=|<|>)\s*(`[^`]*`|'[^']*')\s*\]|\[\*?\]")
-
-
-def search(raw: Column, expression: str) -> Column:
-    """JSON text of what an expression finds in JSON text (H27); null if nothing.
-
-    Forms: paths (``a.b[0]``), one projection of a list (``a[*].b``, ``a[].b``) that may filter it (``a[?b.c == 'x']``,
-    literals in backquotes are JSON), then ``| [n]`` for one of its items or ``| length(@)``; ``{name: form, ...}`` and
-    ``[form, ...]`` of these. Anything else is refused.
-    """
-    text = expression.strip()
-    if text.startswith("{") and text.endswith("}"):
-        pairs = [p.split(":", 1) for p in _apart(text[1:-1])]
-        return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k.strip()}":'), F.coalesce(search(raw, v), F.lit("null"))) for k, v in pairs]), F.lit("}"))
-    if text.startswith("[") and text.endswith("]") and not re.match(r"\[(\d|\*|\?|\])", text):
-        return F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(search(raw, v), F.lit("null")) for v in _apart(text[1:-1])]), F.lit("]"))
-    stages = [p.strip() for p in text.split("|")]
-    m = _PROJECTION.search(stages[0])
-    if not m:
-        found = _node(F.try_parse_json(raw), stages[0])
-        listed = F.try_variant_get(found, "$", "array<variant>")
-    else:
-        head, tail = stages[0][: m.start()], stages[0][m.end() :].lstrip(".")
-        items = F.try_variant_get(_node(F.try_parse_json(raw), head), "$", "array<variant>")
-        if m[1]:
-            items = F.filter(items, lambda x: _compared(x, m[1], m[2], m[3]))
-        listed = F.filter(F.transform(items, lambda x: _node(x, tail)), lambda x: x.isNotNull() & (F.coalesce(F.to_json(x), F.lit("null")) != "null"))
-        found = None
-    for stage in stages[1:]:
-        if stage == "length(@)":
-            return F.nullif(F.size(listed), F.lit(-1)).cast("string")
-        if not re.fullmatch(r"\[-?\d+\]", stage):
-            raise ValueError(f"unsupported expression {expression!r}")
-        at = int(stage[1:-1])
-        found = F.try_element_at(listed, F.lit(at if at < 0 else at + 1))
-    return F.to_json(found) if found is not None else F.to_json(listed)
-
-
-def _apart(text: str) -> list[str]:
-    """Parts between commas that no bracket encloses."""
-    parts, depth = [""], 0
-    for c in text:
-        depth += (c in "[{(") - (c in "]})")
-        if c == "," and not depth:
-            parts.append("")
-        else:
-            parts[-1] += c
-    return parts
-
-
 def _node(value: Column, path: str) -> Column:
     """What a plain path leads to in a variant."""
     inner = "".join(f"[{x}]" if isinstance(x, int) else f"['{x}']" for x in steps(path) if path)
     return F.try_variant_get(value, "$" + inner, "variant") if path not in ("", "@") else value
 
 
-def _compared(item: Column, path: str, operator: str, literal: str) -> Column:
-    """Whether a field of a list's item compares with a literal."""
-    given = json.loads(literal[1:-1]) if literal[0] == "`" else literal[1:-1]
-    kind = "boolean" if isinstance(given, bool) else "double" if isinstance(given, (int, float)) else "string"
-    field = F.try_variant_get(item, "$" + "".join(f"[{x}]" if isinstance(x, int) else f"['{x}']" for x in steps(path)), kind)
-    if given is None:
-        return field.isNull() if operator == "==" else field.isNotNull()
-    other = F.lit(float(given) if kind == "double" else given)
-    tests = {"==": field == other, "!=": ~field.eqNullSafe(other), "<": field < other, "<=": field <= other, ">": field > other, ">=": field >= other}
-    return F.coalesce(tests[operator], F.lit(False))
-
-
-def transform(raw: Column, fields: dict[str, str]) -> Column:
-    """A JSON object of several expressions' results."""
-    return search(raw, "{" + ", ".join(f"{k}: {v}" for k, v in fields.items()) + "}")
-
-
 def parameters(parent: Column, fixed: dict, from_parent: dict[str, str]) -> Column:
     """A JSON object of a nested call's parameters (H28): fixed ones, then ``$parent.a.b`` of the parent's JSON, other ``$``-free texts as they are."""
     parts = {k: F.lit(json.dumps(v)) for k, v in fixed.items()}
@@ -149,7 +85,7 @@ def parameters(parent: Column, fixed: dict, from_parent: dict[str, str]) -> Colu
 
 
 def condition(raw: Column, text: str) -> Column:
-    """A predicate of member access, comparisons, ``&&``, ``||``, ``!``, ``.length``, ``startsWith`` and ``includes`` (L3).
+    """A predicate of member access, comparisons, ``&&``, ``||``, ``!``, brackets, ``.length``, ``startsWith`` and ``includes`` (L3).
 
     It is translated, never executed; anything else is refused.
     """
@@ -161,8 +97,10 @@ def condition(raw: Column, text: str) -> Column:
             for p in parts[1:]:
                 out = join(out, condition(raw, p))
             return out
-    if text.startswith("(") and text.endswith(")"):
-        return condition(raw, text[1:-1])
+    if m := re.match(r"(!*)\s*\(", text):
+        if _closes(text, m.end() - 1) == len(text) - 1:
+            inner = condition(raw, text[m.end() : -1])
+            return ~inner if len(m[1]) % 2 else inner
     if m := re.fullmatch(r"(!*)\s*(?:record\.)?([\w.\[\]]+)\.(startsWith|includes)\((['\"])(.*)\4\)", text):
         c, arg = value(raw, m[2]), F.lit(m[5])
         out = F.coalesce(F.startswith(c, arg) if m[3] == "startsWith" else F.contains(c, arg), F.lit(False))
@@ -193,6 +131,24 @@ def condition(raw: Column, text: str) -> Column:
     raise ValueError(f"unsupported condition {text!r}")
 
 
+def _closes(text: str, at: int) -> int:
+    """Where the bracket at a place is closed; quoted brackets do not count."""
+    depth, quote = 0, ""
+    for i in range(at, len(text)):
+        ch = text[i]
+        if quote:
+            quote = "" if ch == quote else quote
+        elif ch in "'\"":
+            quote = ch
+        elif ch in "([":
+            depth += 1
+        elif ch in ")]":
+            depth -= 1
+            if not depth:
+                return i
+    return -1
+
+
 def _split(text: str, sign: str) -> list[str]:
     """Parts between a sign that stands outside quotes and brackets."""
     out, depth, quote, start, i = [], 0, "", 0, 0
