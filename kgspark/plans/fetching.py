@@ -12,7 +12,8 @@ from kgspark.functions import markup as M
 from kgspark.plans.ingest import raw
 from kgspark.plans.registry import query
 from kgspark.plans.tables import read
-from kgspark.session import shared_folder
+from kgspark.session import shared_folder, written
+from kgspark.sources import config as C
 from kgspark.sources import discovery as D
 from kgspark.sources import tables as S
 from kgspark.sources import transform as X
@@ -185,3 +186,83 @@ def stream_upserts(spark, sf_dir):
     types = spark.createDataFrame([], schema).schema
     I.micro_batches(spark.readStream.schema(types).parquet(f"{folder}/in"), I.upsert_into(spark, f"{folder}/out", types, 8), f"{folder}/checkpoint").awaitTermination()
     return I.table_of(spark, f"{folder}/out", types).select("_id", "title", "version")
+
+
+@query(
+    """SELECT 'MCP_TOOL_ERROR' AS code, 'broken' AS fetcher, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'EMPTY_RESULTS', 'suppliers', 1 UNION ALL SELECT 'DETECTION_CONDITION_FAILED', 'suppliers', 3
+UNION ALL SELECT 'DETECTION_CONDITION_FAILED', 'customers', n FROM (SELECT count(*) AS n FROM (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 3) WHERE c_custkey % 2 <> 0) WHERE n > 0
+UNION ALL SELECT 'NO_MATCHING_RECORD_TYPE', 'untyped', 1 UNION ALL SELECT 'ORPHAN_RECORD_TYPE', 'gone', 1 UNION ALL SELECT 'MISSING_FETCHER', 'gone', 1
+UNION ALL SELECT 'total', 'customers', least(count(*), 50) FROM customer UNION ALL SELECT 'matched', 'customers', count(*) FROM (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 50) WHERE c_custkey % 2 = 0
+UNION ALL SELECT 'total', 'suppliers', least(count(*), 50) FROM supplier UNION ALL SELECT 'matched', 'suppliers', 0"""
+)
+def config_first_pages(spark, sf_dir):
+    """The first page of each fetcher, what of it has a type, and all kinds of faults."""
+    folder = _folder(spark)
+    even = read(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "vip").alias("kind"))
+    even.repartitionByRange(1, "c_custkey").sortWithinPartitions("c_custkey").write.parquet(f"{folder}/customers")
+    part = [p for p in spark.read.parquet(f"{folder}/customers").inputFiles() if p.endswith(".parquet")][0].removeprefix("file://")
+    config = C.from_dict(
+        {
+            "source": "s",
+            "fetchers": [{"name": n} for n in ("customers", "suppliers", "broken", "untyped")] + [{"name": "drop", "tool_class": "write"}],
+            "record_types": [
+                {"name": "vip", "fetcher": "customers", "condition": "record.kind === 'vip'", "id_field": "c_custkey"},
+                {"name": "never", "fetcher": "suppliers", "condition": "record.no_such", "id_field": "s_suppkey"},
+                {"name": "failing", "fetcher": "broken", "condition": "always"},
+                {"name": "lost", "fetcher": "gone", "condition": "always"},
+            ],
+        }
+    )
+    paths = {"customers": part, "suppliers": f"{sf_dir}/supplier.parquet", "broken": f"{sf_dir}/no_such.parquet", "untyped": f"{sf_dir}/nation.parquet"}
+    pages = D.first_pages(config, spark, {k: {"path": p} for k, p in paths.items()}, "kgspark.sources.paged:parquet_pages", page_size=50, concurrency=4, retries=0)
+    stats, faults = D.dry_run_report(written(pages), config)
+    counts = stats.select(F.explode(F.array(F.struct(F.lit("total").alias("code"), F.col("total").alias("n")), F.struct(F.lit("matched").alias("code"), F.col("matched").alias("n")))).alias("x"), "fetcher").select("x.code", "fetcher", "x.n")
+    return faults.groupBy("code", "fetcher").agg(F.count("*").alias("n")).unionByName(counts)
+
+
+@query("SELECT c_custkey AS ord, 's_customer_' || c_custkey AS id, '2024-01-0' || (1 + c_custkey % 9) || ' 00:00:00' AS day, c_name || ' (' || c_mktsegment || ')' AS rich, CAST(length(c_name) AS VARCHAR) AS n, '[' || chr(34) || c_name || chr(34) || ']' AS picked FROM customer")
+def mapping_helpers(spark, sf_dir):
+    """Fields by helpers and expressions, as configurations name them."""
+    c = read(spark, sf_dir, "customer")
+    rich = F.array(F.struct(F.col("c_name").alias("plain_text")), F.struct(F.concat(F.lit(" ("), F.col("c_mktsegment"), F.lit(")")).alias("plain_text")))
+    rows = c.select(F.col("c_custkey").alias("ord"), F.to_json(F.struct(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), rich.alias("rich"), F.concat(F.lit("2024-01-0"), 1 + F.col("c_custkey") % 9).alias("day"))).alias("raw"))
+    r = F.col("raw")
+    return rows.select(
+        "ord", X.field(r, {"type": "helper", "helper": "generateId", "source": "s", "record_type": "customer", "path": "key"}).alias("id"), X.field(r, {"type": "helper", "helper": "formatDate", "path": "day"}).alias("day"),
+        X.field(r, {"type": "helper", "helper": "extractRichText", "path": "rich"}).alias("rich"), X.field(r, {"type": "expression", "expression": "length(name)"}).alias("n"), X.field(r, {"type": "expression", "expression": "[name]"}).alias("picked"),
+    )
+
+
+@query(
+    """SELECT n_nationkey AS ord, '7' AS s, '7' AS d, n_name AS field, CASE WHEN n_nationkey % 2 = 0 THEN n_name || chr(10) || 'x' ELSE '{"z":' || n_nationkey || '}' END AS lines FROM nation"""
+)
+def extracted_texts(spark, sf_dir):
+    """Texts of JSON strings, objects, lists and anything else."""
+    n, k = F.col("n_name"), F.col("n_nationkey").cast("string")
+    lines = F.when(F.col("n_nationkey") % 2 == 0, F.to_json(F.array(F.struct(n.alias("text")), F.struct(F.lit("x").alias("text"))))).otherwise(F.concat(F.lit('{"z":'), k, F.lit("}")))
+    t = read(spark, sf_dir, "nation")
+    return t.select(F.col("n_nationkey").alias("ord"), M.extract_text(F.lit('"7"')).alias("s"), M.extract_text(F.lit("7")).alias("d"), M.extract_text(F.to_json(F.struct(n.alias("text")))).alias("field"), M.extract_text(lines).alias("lines"))
+
+
+@query(
+    """SELECT name, CAST(position AS INT) AS position, CAST(level AS INT) AS level, n FROM (VALUES ('c', 0, 2), ('a', 1, 0), ('b', 2, 1), ('s', 3, 0), ('u', 4, 999)) AS t(name, position, level)
+JOIN (SELECT count(*) AS n FROM nation) ON true"""
+)
+def fetcher_order(spark, sf_dir):
+    """A configuration written as files and loaded, its fetchers in order, without write tools and unneeded searches, and how deep their inputs go."""
+    folder = _folder(spark)
+    parts = [{"name": "a"}, {"name": "b", "depends_on": ["a", "s"]}, {"name": "c", "depends_on": ["b"]}, {"name": "w", "tool_class": "write"}, {"name": "s", "tool_class": "search"}, {"name": "t", "tool_class": "search"}, {"name": "u", "depends_on": ["nowhere"]}]
+    rows = read(spark, sf_dir, "nation").agg(F.count("*").alias("n")).select(F.to_json(F.struct(F.lit("src").alias("source"), F.col("n"), F.lit(json.dumps(parts)).alias("fetchers"), F.lit(json.dumps(["c", "a"])).alias("sync_order"))).alias("value"))
+    rows.coalesce(1).write.text(f"{folder}/config")
+    loaded = json.loads(spark.read.text(f"{folder}/config", wholetext=True).first()[0])
+    config = C.from_dict({**loaded, "fetchers": json.loads(loaded["fetchers"]), "sync_order": json.loads(loaded["sync_order"])})
+    depth = C.levels(config.fetchers)
+    return spark.createDataFrame([(f.name, i, depth[f.name], loaded["n"]) for i, f in enumerate(C.ordered_fetchers(config))], "name string, position int, level int, n long")
+
+
+@query("SELECT c_custkey AS ord, 'info.tags' AS paths, CAST(2 AS INT) AS ids, CASE WHEN c_custkey % 5 <> 0 THEN 'id' ELSE 'cust_id' END AS first FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, 'info.tags', 1, 'cust_id' FROM customer WHERE c_custkey % 5 = 0")
+def answer_shapes(spark, sf_dir):
+    """Lists of objects and id-like fields in answers."""
+    r = raw(spark, sf_dir)
+    found = r.withColumn("f", D.discover_ids("raw"))
+    return found.select("ord", F.array_join(D.array_paths_of("raw"), ",").alias("paths"), F.size("f").alias("ids"), F.col("f")[0]["path"].alias("first"))

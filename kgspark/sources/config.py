@@ -24,6 +24,7 @@ class RecordType:
     """How records of one kind are told and mapped."""
 
     name: str
+    fetcher: str | None = None
     condition: str | None = None
     id_field: str | None = None
     fields: dict[str, Any] = field(default_factory=dict)
@@ -76,6 +77,11 @@ def levels(fetchers: list[Fetcher], rounds: int = 10) -> dict[str, int]:
     return {f.name: out.get(f.name, 999) for f in fetchers}
 
 
+def types_of(config: SyncConfig, fetcher: Fetcher) -> list[RecordType]:
+    """The record types that a fetcher's rows may have."""
+    return [r for r in config.record_types if r.fetcher == fetcher.name or (r.fetcher is None and r.name == fetcher.record_type)]
+
+
 def problems(config: SyncConfig) -> list[tuple[str, str]]:
     """Code and subject of each fault (J1, J2): orphan record types, unknown inputs, missing ids, placeholders."""
     names = {f.name for f in config.fetchers}

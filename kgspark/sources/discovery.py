@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from kgspark.functions import json as J
-from kgspark.sources.config import SyncConfig
+from kgspark.sources.config import SyncConfig, ordered_fetchers, types_of
+from kgspark.sources.paged import call_each
 from kgspark.sources.transform import route, source_id
 
 _FOUND = ArrayType(StructType([StructField("path", StringType()), StructField("field", StringType()), StructField("value", StringType())]))
@@ -61,6 +62,11 @@ def array_paths(raw: str, depth: int = 3) -> list[str]:
     return out
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def array_paths_of(raw: pd.Series) -> pd.Series:
+    return raw.map(array_paths)
+
+
 def seeds(given: list[str] | None, found: DataFrame | None = None, path: str = "id", condition: str | None = None, required: bool = True) -> DataFrame | list[str]:
     """Starting values: those given, or those a discovery answer holds under a path."""
     if given:
@@ -101,6 +107,42 @@ def dry_run(raw: DataFrame, config: SyncConfig) -> DataFrame:
     return typed.withColumn("own", own).groupBy("record_type").agg(F.count("*").alias("n"), F.count("own").alias("with_id"))
 
 
+#: Unmatched rows of a page that are reported one by one.
+REPORTED = 3
+
+
+def first_pages(config: SyncConfig, spark, params: dict[str, dict], client: str, **options) -> DataFrame:
+    """The first page of each fetcher that is no write or search tool (J1): fetcher, ord, raw, error; a failing call is a row."""
+    named = [f for f in ordered_fetchers(config) if f.tool_class == "read"]
+    items = spark.createDataFrame([(f.name, json.dumps(params.get(f.name, {}))) for f in named], "fetcher string, params string")
+    return call_each(items, "params", client, first_only=True, **options).select("fetcher", "ord", "raw", "error")
+
+
+def dry_run_report(pages: DataFrame, config: SyncConfig) -> tuple[DataFrame, DataFrame]:
+    """What a first page of each fetcher shows (J1): (fetcher, total, matched), and faults (code, fetcher, subject, sample).
+
+    ``pages``: fetcher, ord, raw, error. Codes: NO_MATCHING_RECORD_TYPE, DETECTION_CONDITION_FAILED (of the first rows
+    of a page), EMPTY_RESULTS, MCP_TOOL_ERROR, MISSING_FETCHER and ORPHAN_RECORD_TYPE.
+    """
+    spark = pages.sparkSession
+    names = {f.name for f in config.fetchers}
+    matched = F.lit(None).cast("string")
+    for f in config.fetchers:
+        if own := types_of(config, f):
+            matched = F.when(F.col("fetcher") == f.name, route(F.col("raw"), own)).otherwise(matched)
+    typed = [f.name for f in config.fetchers if types_of(config, f)]
+    rows = pages.where(F.col("fetcher").isin(typed) & F.col("error").isNull()).withColumn("record_type", matched)
+    stats = rows.groupBy("fetcher").agg(F.count("*").alias("total"), F.count("record_type").alias("matched"))
+    fault = lambda df, code, subject, sample: df.select(F.lit(code).alias("code"), "fetcher", subject.cast("string").alias("subject"), sample.cast("string").alias("sample"))
+    none = F.lit(None).cast("string")
+    found = fault(pages.where(F.col("error").isNotNull()), "MCP_TOOL_ERROR", F.col("error"), none)
+    found = found.union(fault(rows.where(F.col("record_type").isNull() & (F.col("ord") < REPORTED)), "DETECTION_CONDITION_FAILED", F.col("ord"), F.substring("raw", 1, 200)))
+    found = found.union(fault(stats.where("total > 0 and matched = 0"), "EMPTY_RESULTS", F.col("total"), none))
+    plain = [("NO_MATCHING_RECORD_TYPE", f.name, f.tool, None) for f in config.fetchers if f.tool_class == "read" and not types_of(config, f)]
+    plain += [(code, r.fetcher, r.name, None) for r in config.record_types if r.fetcher is not None and r.fetcher not in names for code in ("ORPHAN_RECORD_TYPE", "MISSING_FETCHER")]
+    return stats, found.union(spark.createDataFrame(plain, found.schema))
+
+
 def deep_merge(target, source):
     """Objects merged key by key, lists joined, else the source."""
     if not (isinstance(target, dict) and isinstance(source, dict)):

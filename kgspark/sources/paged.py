@@ -85,8 +85,8 @@ def call(client, *args, retries: int = 5, sleep=time.sleep, throttle: Throttle |
             pause *= 2
 
 
-def pages(client, seed, page_size: int, since: str | None, retries: int, throttle: Throttle | None, on_error: str) -> Iterator[tuple]:
-    """(page, ord, raw, error) of all pages of a starting value (A8); where a call fails for good, one row with its error ends them."""
+def pages(client, seed, page_size: int, since: str | None, retries: int, throttle: Throttle | None, on_error: str, first_only: bool = False) -> Iterator[tuple]:
+    """(page, ord, raw, error) of all pages of a starting value (A8), or of the first one; where a call fails for good, one row with its error ends them."""
     cursor, page, at = None, 0, 0
     while True:
         try:
@@ -104,7 +104,7 @@ def pages(client, seed, page_size: int, since: str | None, retries: int, throttl
                 yield page, at, raw, None
             at += 1
         page += 1
-        if not cursor or (since and rows and not kept):
+        if first_only or not cursor or (since and rows and not kept):
             return
 
 
@@ -189,7 +189,7 @@ class PagedSource(DataSource):
 
 
 def call_each(
-    items: DataFrame, params: str, client: str, page_size: int = 100, concurrency: int = 20, limit: int | None = None, window: float = 1.0, since: str | None = None, retries: int = 5, on_error: str = "row"
+    items: DataFrame, params: str, client: str, page_size: int = 100, concurrency: int = 20, limit: int | None = None, window: float = 1.0, since: str | None = None, retries: int = 5, on_error: str = "row", first_only: bool = False
 ) -> DataFrame:
     """All pages of a call for each row of ``items`` (A5, A6): its columns with page, ord, raw and error.
 
@@ -206,7 +206,7 @@ def call_each(
 
         def eval(self, given: str):
             if given is not None:
-                yield from pages(self.client, json.loads(given), page_size, since, retries, self.throttle, on_error)
+                yield from pages(self.client, json.loads(given), page_size, since, retries, self.throttle, on_error, first_only)
 
     dealt = items.repartition(tasks)
     return dealt.lateralJoin(Calls(F.col(params).outer()))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions import json as J
-from kgspark.functions.dates import coerce
+from kgspark.functions.dates import coerce, parse_date
 from kgspark.functions.ids import config_entity_id, content_checksum, record_id
-from kgspark.functions.markup import PROCESSORS
+from kgspark.functions.markup import PROCESSORS, RICH
 from kgspark.functions.text import truthy
 from kgspark.sources.config import RecordType, SyncConfig
 
@@ -54,7 +54,7 @@ def source_id(raw: Column, id_field: str | None = None) -> Column:
 
 
 def field(raw: Column, mapping) -> Column:
-    """A column of one mapping: path, paths, template, processor, or a bare path (B4-B9); no mapping can hold code."""
+    """A column of one mapping: path, paths, template, processor, expression, helper, or a bare path (B4-B9, H27, L2); no mapping can hold code."""
     if isinstance(mapping, str):
         return J.value(raw, mapping)
     kind = mapping.get("type", "path")
@@ -66,9 +66,28 @@ def field(raw: Column, mapping) -> Column:
         return J.template(raw, mapping["template"])
     if kind == "processor":
         return PROCESSORS[mapping["processor"]](J.value(raw, mapping["path"]))
+    if kind == "expression":
+        return J.search(raw, mapping["expression"])
+    if kind == "helper":
+        return HELPERS[mapping["helper"]](raw, mapping)
     raise ValueError(f"unknown mapping {kind!r}")
 
 
+def _plain_text(rich: Column) -> Column:
+    """The texts of rich-text blocks (JSON), one after another, without marks."""
+    blocks = F.from_json(rich, RICH)
+    return F.coalesce(F.array_join(F.transform(blocks, lambda b: F.coalesce(F.nullif(b["text"]["content"], F.lit("")), b["plain_text"], F.lit(""))), ""), F.lit(""))
+
+
+#: What mappings may call by name (L2): of the record's JSON and the mapping.
+HELPERS = {
+    "jsonPath": lambda raw, m: J.value(raw, m["path"]),
+    "extractRichText": lambda raw, m: _plain_text(J.value(raw, m["path"])),
+    "formatDate": lambda raw, m: parse_date(J.value(raw, m["path"])).cast("string"),
+    "generateId": lambda raw, m: record_id(F.lit(m["source"]), F.lit(m["record_type"]), J.value(raw, m["path"])),
+}
+
+
 def as_list(raw: Column, mapping) -> Column:
     """A mapping's value as an array; a scalar is wrapped (B1)."""
     path = mapping if isinstance(mapping, str) else mapping.get("path", "")
