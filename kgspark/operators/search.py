@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from kgspark.functions.dates import half_up
 from kgspark.functions.text import let, snippet
-from kgspark.operators.graph import degree
 
 
 @dataclass
@@ -59,43 +58,58 @@ class Search:
 
 
 _HIT = ["id", "record_id", "entity_id", "source_entity_id", "target_entity_id", "rel_type", "confidence"]
-#: Searches that are scored together within a batch of rows.
-_ROWS = 4096
+#: Rows that are scored together, and how far a score of the product may be from the row's own.
+_ROWS, _MARGIN = 4096, 1e-9
 
 
 def nearest(vectors: DataFrame, searches: list[Search]) -> DataFrame:
     """Hits of each search by cosine, ties by id (F1): slot, query, score and the vectors' columns but the embedding.
 
-    A task keeps no more than ``k`` rows of each search. Vectors that are null, zero or of another length are no hits.
+    A task keeps no more than ``k`` rows of each search. One product of a slice of rows and all searches' vectors finds
+    the rows that may be among them, by a margin over its rounding; only those are scored row by row, so a score never
+    depends on what else was searched. Vectors that are null, zero or of another length are no hits.
     """
     columns = [c for c in _HIT if c in vectors.columns]
     wanted = [(s, np.asarray(s.vector, float)) for s in searches]
+    by_size: dict[int, list[int]] = {}
+    for i, (_, v) in enumerate(wanted):
+        if v.any():
+            by_size.setdefault(len(v), []).append(i)
 
     def best(table: pa.Table, k: int) -> pa.Table:
         return table.take(pc.sort_indices(table, [("score", "descending"), ("id", "ascending")])[:k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, pa.Table] = {}
+        least = np.array([s.threshold for s, _ in wanted])
         for batch in batches:
             for first in range(0, batch.num_rows, _ROWS):
                 part = pa.Table.from_batches([batch.slice(first, _ROWS)])
                 embedding = part.column("embedding").combine_chunks()
                 length = pc.fill_null(pc.list_value_length(embedding), -1).to_numpy(zero_copy_only=False)
-                for size in {len(v) for _, v in wanted}:
+                for size, own in by_size.items():
                     at = np.flatnonzero(length == size)
                     e = embedding.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), size)
                     norm = np.sqrt((e * e).sum(1))
                     rows, kinds = part.select(columns).take(pa.array(at)), part.column("type").take(pa.array(at))
-                    of_kind = {k: pc.fill_null(pc.equal(kinds, k), False).to_numpy(zero_copy_only=False) for k in {s.kind for s, _ in wanted}}
-                    for i, (s, v) in enumerate(wanted):
-                        if len(v) != size or not v.any():
-                            continue
-                        with np.errstate(invalid="ignore", divide="ignore"):
-                            score = (e * v).sum(1) / (norm * np.sqrt((v * v).sum()))
-                        ok = np.flatnonzero(of_kind[s.kind] & (score >= s.threshold))
+                    of_kind = {k: pc.fill_null(pc.equal(kinds, k), False).to_numpy(zero_copy_only=False) for k in {wanted[i][0].kind for i in own}}
+                    v = np.stack([wanted[i][1] for i in own])
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        about = (e @ v.T) / (norm[:, None] * np.sqrt((v * v).sum(1)))
+                    near = about >= least[own] - _MARGIN
+                    for j in np.flatnonzero(near.any(0)).tolist():
+                        i = own[j]
+                        s, vector = wanted[i]
+                        ok = np.flatnonzero(near[:, j] & of_kind[s.kind])
+                        if len(ok) > s.k > 0:
+                            ok = ok[about[ok, j] >= np.partition(about[ok, j], len(ok) - s.k)[len(ok) - s.k] - _MARGIN]
+                        score = (e[ok] * vector).sum(1) / (norm[ok] * np.sqrt((vector * vector).sum()))
+                        ok, score = ok[score >= s.threshold], score[score >= s.threshold]
                         if len(ok):
-                            found = rows.take(pa.array(ok)).append_column("score", pa.array(score[ok]))
+                            found = rows.take(pa.array(ok)).append_column("score", pa.array(score))
                             kept[i] = best(pa.concat_tables([kept[i], found]) if i in kept else found, s.k)
+                            if len(kept[i]) == s.k > 0:
+                                least[i] = max(least[i], kept[i].column("score")[s.k - 1].as_py())
         for i, found in kept.items():
             s = wanted[i][0]
             n = len(found)
@@ -266,11 +280,6 @@ def edge_weight(confidence: Column) -> Column:
     return half_up(confidence * 10)
 
 
-def candidates_with_degree(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """Candidates and their outgoing edges."""
-    return degree(ids, edges)
-
-
 #: Words that are no keywords; fixed values.
 STOP_WORDS = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for"]
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from kgspark.functions import ids as I
 from kgspark.functions import markup as M
 from kgspark.functions import text as T
-from kgspark.operators import search
+from kgspark.operators import mining, search
 from kgspark.operators.phrases import match
 from kgspark.plans.registry import query
 from kgspark.plans.tables import read
+from kgspark.session import written
 
 
 @query("SELECT p_partkey, regexp_replace(trim(lower('  ' || replace(p_name, ' ', '   ') || ' ')), '\\s+', ' ', 'g') AS name, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS label, p_type || ' - ' || p_name || chr(10) || p_brand AS embedded FROM part")
@@ -106,3 +107,39 @@ SELECT doc_id, low[1:7] AS low_level, list_filter(rest, lambda x: NOT list_conta
 def keywords(spark, sf_dir):
     d = read(spark, sf_dir, "documents").where("text is not null")
     return d.select("doc_id", search.keywords(F.col("text")).alias("k")).select("doc_id", "k.low_level", "k.high_level")
+
+
+_MINED = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM documents WHERE text IS NOT NULL),
+one AS (SELECT x, count(*) AS c FROM (SELECT unnest(ws) AS x FROM w) GROUP BY x), tot AS (SELECT CAST(sum(c) AS DOUBLE) AS t FROM one),
+two AS (SELECT doc_id, i AS pos, ws[i] || ' ' || ws[i + 1] AS phrase, ws[i] AS a, ws[i + 1] AS b, CASE WHEN i > 1 THEN ws[i - 1] ELSE '' END AS bef, coalesce(ws[i + 2], '') AS aft FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w)),
+c2 AS (SELECT phrase, a, b, count(*) AS n FROM two GROUP BY ALL HAVING count(*) >= 10),
+t2 AS (SELECT phrase, n, log2(n * t / (CAST(x.c AS DOUBLE) * y.c)) AS cohesion FROM c2 JOIN one x ON x.x = a JOIN one y ON y.x = b, tot),
+three AS (SELECT doc_id, i AS pos, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS phrase, ws[i] AS a, ws[i + 1] || ' ' || ws[i + 2] AS bc, ws[i] || ' ' || ws[i + 1] AS ab, ws[i + 2] AS c, CASE WHEN i > 1 THEN ws[i - 1] ELSE '' END AS bef, coalesce(ws[i + 3], '') AS aft FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+c3 AS (SELECT phrase, a, bc, ab, c, count(*) AS n FROM three GROUP BY ALL HAVING count(*) >= 10),
+t3 AS (SELECT c3.phrase, c3.n, least(log2(c3.n * t / (CAST(x.c AS DOUBLE) * y.n)), log2(c3.n * t / (CAST(z.n AS DOUBLE) * v.c))) AS cohesion FROM c3 JOIN one x ON x.x = a JOIN c2 y ON y.phrase = bc JOIN c2 z ON z.phrase = ab JOIN one v ON v.x = c3.c, tot),
+tight AS (SELECT * FROM (SELECT * FROM t2 UNION ALL SELECT * FROM t3) WHERE cohesion >= 4),
+placed AS (SELECT doc_id, pos, 2 AS k, phrase, bef, aft FROM two UNION ALL SELECT doc_id, pos, 3, phrase, bef, aft FROM three),
+near AS (SELECT p.* FROM placed p WHERE phrase IN (SELECT phrase FROM tight)),
+hb AS (SELECT phrase, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS h FROM (SELECT phrase, bef, count(*) AS c FROM near GROUP BY ALL) GROUP BY phrase),
+ha AS (SELECT phrase, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS h FROM (SELECT phrase, aft, count(*) AS c FROM near GROUP BY ALL) GROUP BY phrase),
+mined AS (SELECT phrase, n, cohesion, least(hb.h, ha.h) AS freedom FROM tight JOIN hb USING (phrase) JOIN ha USING (phrase) WHERE least(hb.h, ha.h) >= 1)
+"""
+
+
+@query(_MINED + "SELECT phrase, n, round(cohesion, 6) AS cohesion, round(freedom, 6) AS freedom FROM mined")
+def mined_phrases(spark, sf_dir):
+    """Phrases that the texts themselves show, in lower case too."""
+    m = mining.mined(read(spark, sf_dir, "documents").where("text is not null"))
+    return m.select("phrase", "n", F.round("cohesion", 6).alias("cohesion"), F.round("freedom", 6).alias("freedom"))
+
+
+@query(
+    _MINED
+    + ", here AS (SELECT doc_id, phrase, min(pos) AS pos, -k AS k FROM near WHERE phrase IN (SELECT phrase FROM mined) GROUP BY doc_id, phrase, k), found AS (SELECT doc_id, list(phrase ORDER BY pos, k, phrase) AS p FROM here GROUP BY doc_id) SELECT doc_id, p[1:7] AS low_level FROM found"
+)
+def keywords_mined(spark, sf_dir):
+    """Specific keywords of texts by mined phrases, where no tagger is given."""
+    d = written(read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"))
+    found = mining.phrases_in(d, "doc_id", written(mining.mined(d)))
+    return d.join(found, "doc_id").select("doc_id", search.keywords(F.col("text"), lambda _: F.col("phrases")).alias("k")).select("doc_id", "k.low_level")
