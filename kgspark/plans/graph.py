@@ -228,9 +228,9 @@ def sanitize_names(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", T.sanitize_name(s).alias("name"))
 
 
-@query(f"WITH {GRAPH} SELECT dst AS item_id, list(src ORDER BY src) AS record_ids FROM (SELECT DISTINCT src, dst FROM edges WHERE type = 'LOCATED_IN') GROUP BY dst")
+@query(f"WITH {GRAPH} SELECT dst AS item_id, list(src ORDER BY src) AS record_ids FROM (SELECT DISTINCT src, dst FROM edges) GROUP BY dst")
 def provenance(spark, sf_dir):
-    return G.provenance(edges(spark, sf_dir).where("type = 'LOCATED_IN'").select(F.col("dst").alias("item_id"), F.col("src").alias("record_id")))
+    return G.provenance(edges(spark, sf_dir).select(F.col("dst").alias("item_id"), F.col("src").alias("record_id")))
 
 
 @query(f"WITH {GRAPH} SELECT id, list(DISTINCT src ORDER BY src) AS source_record_ids, CASE WHEN bool_or(src LIKE 's%') THEN 'new' ELSE 'old' END AS checksum FROM (SELECT dst AS id, src FROM edges WHERE type = 'LOCATED_IN') GROUP BY id")

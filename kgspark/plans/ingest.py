@@ -75,13 +75,13 @@ def quarantine(spark, sf_dir):
 
 @query("SELECT 'crm_vip_' || c_custkey AS _id, 'crm_tag_' || t AS id, t AS title FROM (SELECT c_custkey, unnest(['a', lower(c_mktsegment)]) AS t FROM customer WHERE c_custkey % 3 = 0)")
 def explode_entities(spark, sf_dir):
-    r = X.transform(raw(spark, sf_dir), CONFIG).where("record_type = 'vip'")
+    r = X.transform(raw(spark, sf_dir), CONFIG)
     return X.extract_entities(r, "crm", "Tag", "info.tags[*].tag", condition="kind == 'vip'").select("_id", "id", "title")
 
 
-@query("SELECT 'crm_vip_' || c_custkey AS src, 'TAGGED' AS type, 'crm_tag_' || t AS dst, 1.0::DOUBLE AS confidence FROM (SELECT c_custkey, unnest(['a', lower(c_mktsegment)]) AS t FROM customer WHERE c_custkey % 3 = 0)")
+@query("SELECT 'crm_' || CASE c_custkey % 3 WHEN 0 THEN 'vip' ELSE 'plain' END || '_' || c_custkey AS src, 'TAGGED' AS type, 'crm_tag_' || t AS dst, 1.0::DOUBLE AS confidence FROM (SELECT c_custkey, unnest(['a', lower(c_mktsegment)]) AS t FROM customer WHERE c_custkey % 3 <> 2)")
 def explode_relationships(spark, sf_dir):
-    r = X.transform(raw(spark, sf_dir), CONFIG).where("record_type = 'vip'")
+    r = X.transform(raw(spark, sf_dir), CONFIG)
     return X.extract_relationships(r, "crm", "TAGGED", "Tag", "info.tags[*].tag")
 
 

@@ -117,10 +117,10 @@ def document_neighbours(spark, sf_dir):
     return G.neighbours_of_document(edges(spark, sf_dir), "n3", "LOCATED_IN")
 
 
-@query(f"WITH {GRAPH}, m AS (SELECT dst AS id, list(src ORDER BY src) AS s FROM edges WHERE type = 'PART_OF' GROUP BY 1) SELECT id, list_filter(s, lambda x: x <> 'n1') AS source_record_ids FROM m WHERE len(list_filter(s, lambda x: x <> 'n1')) > 0")
+@query(f"WITH {GRAPH}, m AS (SELECT dst AS id, list(src ORDER BY src) AS s FROM (SELECT DISTINCT src, dst FROM edges) GROUP BY 1) SELECT id, list_filter(s, lambda x: x <> 'n1') AS source_record_ids FROM m WHERE len(list_filter(s, lambda x: x <> 'n1')) > 0")
 def provenance_removed(spark, sf_dir):
     """Metadata without one record."""
-    m = edges(spark, sf_dir).where("type = 'PART_OF'").groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_list("src")).alias("source_record_ids"))
+    m = edges(spark, sf_dir).groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_set("src")).alias("source_record_ids"))
     return G.remove_provenance(m, "n1")
 
 
@@ -132,10 +132,10 @@ def config_entities_indexed(spark, sf_dir):
     return G.index_config_entities(nodes(spark, sf_dir), e, n.union(n.withColumn("title", F.lit("~"))), e.limit(0))[0].groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {GRAPH} SELECT src, type, dst, s.title || ' -[' || type || ']-> ' || d.title AS text FROM edges JOIN nodes s ON s.id = src JOIN nodes d ON d.id = dst WHERE type <> 'PLACED_BY'")
+@query(f"WITH {GRAPH} SELECT src, type, dst, coalesce(s.title, src) || ' -[' || type || ']-> ' || coalesce(d.title, dst) AS text FROM edges LEFT JOIN nodes s ON s.id = src LEFT JOIN nodes d ON d.id = dst")
 def relationship_texts(spark, sf_dir):
     """What is embedded for each edge, by its ends' titles."""
-    e = edges(spark, sf_dir).where("type <> 'PLACED_BY'").withColumn("description", F.lit(""))
+    e = edges(spark, sf_dir).withColumn("description", F.lit(""))
     return G.relationship_texts(e, nodes(spark, sf_dir)).select("src", "type", "dst", "text")
 
 
