@@ -61,18 +61,39 @@ def _size(branches: Column) -> Column:
     return F.aggregate(branches, F.lit(0).cast("long"), lambda n, p: n + F.greatest(F.floor((F.length(p) - DIGITS) / LEAF_DIGITS), F.lit(1).cast("long")))
 
 
+#: How much of likeness comes from the branches in common; the rest comes from their places.
+COMMON = 0.9
+
+
+def _in_place(a: Column, b: Column) -> Column:
+    """Share of two lists of digests that stands equal at their beginnings and ends; 1 only for equal lists."""
+    least, most = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    begin, end = (F.coalesce(first_difference(x, y), least) for x, y in ((a, b), (F.reverse(a), F.reverse(b))))
+    return F.least(begin + end, least) / most
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Share of leaves that two trees have in common (0 to 1).
+    """Likeness of two trees (0 to 1; 1 only for equal trees).
 
+    Nine tenths are the share of leaves that they have in common, times the smaller number of leaves over the larger.
     Equal sections count with all their leaves; in the others, equal paragraphs do; and only the leaves of the rest are
-    compared one by one. A branch that is repeated counts once. Equal trees have likeness 1.
+    compared one by one; a repeated branch counts once in the share, but always in the numbers. One tenth is the share
+    of sections and of paragraphs that stand in the same places, from the beginning or the end.
     """
     below = lambda sections: F.flatten(F.transform(sections, paragraphs))
     same = _size(below(F.array_intersect(a, b)))
     state = F.struct(same.alias("same"), below(F.array_except(a, b)).alias("p"), below(F.array_except(b, a)).alias("q"))
     state = _let(state, lambda s: F.struct((s["same"] + _size(F.array_intersect(s["p"], s["q"]))).alias("same"), F.array_except(s["p"], s["q"]).alias("p"), F.array_except(s["q"], s["p"]).alias("q")))
     state = _let(state, lambda s: F.struct(s["same"].alias("same"), F.array_distinct(F.flatten(F.transform(s["p"], leaves))).alias("p"), F.array_distinct(F.flatten(F.transform(s["q"], leaves))).alias("q")))
-    return _let(state, lambda s: 2.0 * (s["same"] + F.size(F.array_intersect(s["p"], s["q"]))) / (2 * s["same"] + F.size(s["p"]) + F.size(s["q"])))
+    share = _let(state, lambda s: 2.0 * (s["same"] + F.size(F.array_intersect(s["p"], s["q"]))) / (2 * s["same"] + F.size(s["p"]) + F.size(s["q"])))
+
+    def whole(s: Column) -> Column:
+        n, m = _size(s["p"]), _size(s["q"])
+        places = (_in_place(s["a"], s["b"]) + _in_place(digests(s["p"]), digests(s["q"]))) / 2
+        return COMMON * s["share"] * F.least(n, m) / F.greatest(n, m) + (1 - COMMON) * places
+
+    parts = F.struct(digests(a).alias("a"), digests(b).alias("b"), below(a).alias("p"), below(b).alias("q"), share.alias("share"))
+    return F.when(digests(a) == digests(b), 1.0).otherwise(_let(parts, whole))
 
 
 def _let(value: Column, then) -> Column:
@@ -180,26 +201,37 @@ def _oracle() -> str:
   list_distinct(flatten([CASE WHEN len(x) = 0 THEN [''] ELSE x END for x in q if NOT list_contains(p, x)])) AS b FROM {name}"""
 
     def share(name: str) -> str:
-        return f"SELECT rn, 2.0::DOUBLE * (same + len(list_intersect(a, b))) / (2 * same + len(a) + len(b)) AS near FROM {name}"
+        return f"SELECT rn, 2.0::DOUBLE * (same + len(list_intersect(a, b))) / (2 * same + len(a) + len(b)) AS share FROM {name}"
 
     def differ(a: str, b: str) -> str:
         return f"list_min([z for z in range(1, greatest(len({a}), len({b})) + 1) if NOT coalesce({a}[z] = {b}[z], false)])"
 
+    def in_place(a: str, b: str) -> str:
+        least = f"least(len({a}), len({b}))"
+        begin, end = (f"coalesce({differ(x, y)} - 1, {least})" for x, y in ((a, b), (f"list_reverse({a})", f"list_reverse({b})")))
+        return f"CAST(least({begin} + {end}, {least}) AS DOUBLE) / greatest(len({a}), len({b}))"
+
+    def near_by(tree: str, roots: str, name: str) -> str:
+        n, m = (f"list_sum([list_sum([{count} for p in s]) for s in {x}])" for x in ("own", tree))
+        flat = lambda x: f"[sha256(array_to_string(p, '')) for p in flatten({x})]"
+        return f"""SELECT rn, CASE WHEN a = {roots} THEN 1.0::DOUBLE ELSE {COMMON}::DOUBLE * share * least({n}, {m}) / greatest({n}, {m})
+  + (1 - {COMMON}::DOUBLE) * ({in_place("a", roots)} + {in_place("f", "g")}) / 2 END AS near FROM (SELECT *, {flat("own")} AS f, {flat(tree)} AS g FROM d) JOIN {name} USING (rn)"""
+
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT rn, doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC, text DESC), first_value(text) OVER (ORDER BY doc_id DESC, text DESC)) AS next_text FROM docs),
 e AS (SELECT *, CAST(length(text) AS BIGINT) AS n_chars, substring(text, 1, length(text) - CAST(floor(length(text) / 3) AS INT)) || substring(next_text, 1, CAST(floor(length(text) / 3) AS INT)) AS edited FROM n),
 t AS (SELECT rn, doc_id, n_chars, sha256(edited) AS edited_sha256, {tree_sql % "text"} AS own, {tree_sql % "edited"} AS new, {tree_sql % "next_text"} AS nxt FROM e),
-d AS (SELECT *, [{section} for s in own] AS a, [{section} for s in new] AS b FROM t),
+d AS (SELECT *, [{section} for s in own] AS a, [{section} for s in new] AS b, [{section} for s in nxt] AS c FROM t),
 i AS (SELECT *, {differ("a", "b")} AS i FROM d),
 j AS (SELECT *, {differ("coalesce(own[i], [['?']])", "coalesce(new[i], [['?']])")} AS j FROM i),
 k AS (SELECT *, CASE WHEN i IS NOT NULL THEN {differ("(CASE WHEN len(coalesce(own[i][j], [])) = 0 THEN [''] ELSE own[i][j] END)", "(CASE WHEN len(coalesce(new[i][j], [])) = 0 THEN [''] ELSE new[i][j] END)")} END AS k FROM j),
-e1 AS ({near("own", "new")}), e2 AS ({rest("e1")}), e3 AS ({share("e2")}),
-x1 AS ({near("own", "nxt")}), x2 AS ({rest("x1")}), x3 AS ({share("x2")})
+e1 AS ({near("own", "new")}), e2 AS ({rest("e1")}), e3 AS ({share("e2")}), e4 AS ({near_by("new", "b", "e3")}),
+x1 AS ({near("own", "nxt")}), x2 AS ({rest("x1")}), x3 AS ({share("x2")}), x4 AS ({near_by("nxt", "c", "x3")})
 SELECT doc_id, n_chars, edited_sha256, sha256(array_to_string(a, '')) AS fingerprint, sha256(array_to_string(b, '')) AS edited_fingerprint,
-  e3.near AS near_edited, x3.near AS near_next, CAST(len(own) AS BIGINT) AS n_sections,
+  e4.near AS near_edited, x4.near AS near_next, CAST(len(own) AS BIGINT) AS n_sections,
   CAST(i - 1 AS BIGINT) AS edit_section, CAST(CASE WHEN i IS NOT NULL THEN j - 1 END AS BIGINT) AS edit_paragraph, CAST(k - 1 AS BIGINT) AS edit_leaf
-FROM k JOIN e3 USING (rn) JOIN x3 USING (rn)
+FROM k JOIN e4 USING (rn) JOIN x4 USING (rn)
 """
 
 

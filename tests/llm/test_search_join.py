@@ -263,3 +263,15 @@ def test_refuted_candidate_hides_no_link():
     everything_meets = lambda d, o, key: [np.arange(40, dtype=np.uint64) for _ in range(len(o) - 1)]
     got = _links._compare_blocks(75, 0, everything_meets)(table)
     assert got.to_pylist() == [{"a": 2, "b": 4}]
+
+
+def test_only_equal_trees_are_wholly_alike(spark):
+    from kgspark.llm import merkle
+
+    pairs = [("x one. x one. x one. y two.", "x one. y two."), ("a\n\nb", "b\n\na"), ("s t. " * 50, "s t. "), ("x\n\ny", "x\ny"), ("a. b. c.", "a. b. d."), ("", "a"), ("same. text", "same. text"), ("", "")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    a, b = merkle.tree(F.col("a")), merkle.tree(F.col("b"))
+    got = [(r.x, r.y) for r in df.orderBy("i").select(merkle.likeness(a, b).alias("x"), merkle.likeness(b, a).alias("y")).collect()]
+    assert all(x == pytest.approx(y) for x, y in got)
+    assert all(0 <= x < 1 for x, _ in got[:6]) and got[6:] == [(1.0, 1.0)] * 2
+    assert got[2][0] < 0.1 < got[0][0] < got[4][0] < got[1][0]
