@@ -10,19 +10,27 @@ and may hold a date under ``date``. Reading a seed stops after a page whose rows
 
 from __future__ import annotations
 
+import functools
 import importlib
 import json
+import os
 import random
 import time
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
 #: First and longest pause between tries, in seconds.
 PAUSE, LONGEST = 0.1, 5.0
+#: Rows of a file that are read, and rows of calls that are handed on, at a time.
+BATCH = 8192
+#: Pages of a stream that one task reads, one after another.
+TASK_PAGES = 1000
 SCHEMA = "seed string, page int, ord long, raw string, error string"
 
 
@@ -131,7 +139,7 @@ class PagedReader(DataSourceReader):
 
 
 class Range(InputPartition):
-    """A page of a stream: a seed's rows from a position on."""
+    """Pages of a stream one after another: a seed's rows from a position on."""
 
     def __init__(self, seed, start: int, size: int):
         super().__init__((seed, start, size))
@@ -142,7 +150,7 @@ class PagedStream(DataSourceStreamReader):
 
     An offset is each seed's position; it lies in the query's checkpoint, so a restarted stream goes on where it stopped.
     ``<client>_end(seed)`` tells how many rows a seed has; ``until`` leaves later ones for another time. A micro-batch
-    is planned as pages, each read by a task. The source keeps all rows, so there is nothing to do on commit.
+    is planned as runs of up to TASK_PAGES pages, each run read by a task, a call a page. The source keeps all rows, so there is nothing to do on commit.
     """
 
     def __init__(self, options: dict):
@@ -159,13 +167,16 @@ class PagedStream(DataSourceStreamReader):
         return {k: n if self.until is None else min(n, self.until) for k, n in ends.items()}
 
     def partitions(self, start: dict, end: dict):
-        return [Range(json.loads(k), at, min(self.page_size, n - at)) for k, n in end.items() for at in range(start.get(k, 0), n, self.page_size)]
+        run = TASK_PAGES * self.page_size
+        return [Range(json.loads(k), at, min(run, n - at)) for k, n in end.items() for at in range(start.get(k, 0), n, run)]
 
     def read(self, partition) -> Iterator[tuple]:
         seed, start, size = partition.value
-        rows, _ = call(named(self.client), seed, start, size, retries=self.retries)
-        for k, raw in enumerate(rows):
-            yield json.dumps(seed), start // self.page_size, start + k, raw, None
+        client, name = named(self.client), json.dumps(seed)
+        for at in range(start, start + size, self.page_size):
+            rows, _ = call(client, seed, at, min(self.page_size, start + size - at), retries=self.retries)
+            for k, raw in enumerate(rows):
+                yield name, at // self.page_size, at + k, raw, None
 
     def commit(self, end: dict) -> None:
         pass
@@ -198,49 +209,94 @@ def call_each(
     with the error, and the others go on (``on_error="fail"`` ends the job instead); an item without rows has none.
     """
     tasks = sharers(concurrency, limit)
+    place = items.columns.index(params)
+    out = StructType([*items.schema.fields]).add("page", IntegerType()).add("ord", LongType()).add("raw", StringType()).add("error", StringType())
 
-    @F.udtf(returnType="page int, ord long, raw string, error string")
-    class Calls:
-        def __init__(self):
-            self.client, self.throttle = named(client), Throttle(limit, window, tasks) if limit else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, throttle = named(client), Throttle(limit, window, tasks) if limit else None
+        for batch in batches:
+            for i, given in enumerate(batch.column(place).to_pylist()):
+                if given is None:
+                    continue
+                rows = pages(f, json.loads(given), page_size, since, retries, throttle, on_error, first_only)
+                while part := list(islice(rows, BATCH)):
+                    own = batch.take(pa.array([i] * len(part), pa.int64())).columns
+                    new = [pa.array(v, t) for v, t in zip(zip(*part, strict=True), (pa.int32(), pa.int64(), pa.string(), pa.string()), strict=True)]
+                    yield pa.record_batch([*own, *new], [f.name for f in out.fields])
 
-        def eval(self, given: str):
-            if given is not None:
-                yield from pages(self.client, json.loads(given), page_size, since, retries, self.throttle, on_error, first_only)
+    return items.repartition(tasks).mapInArrow(run, out)
 
-    dealt = items.repartition(tasks)
-    return dealt.lateralJoin(Calls(F.col(params).outer()))
+
+class _Rows:
+    """Rows of a Parquet file or folder, or those of them that a filter keeps, read forward in batches.
+
+    A page after the last one costs only its own rows; another one is looked for from the first row group that may hold it.
+    """
+
+    def __init__(self, path: str, columns: list[str] | None, test):
+        import pyarrow.dataset as ds
+
+        self.columns, self.test, self.groups = columns, test, []
+        for file in ds.dataset(path, format="parquet").get_fragments():
+            self.groups += [(file, g.id, g.num_rows) for g in (file.row_groups if test is None else file.subset(test).row_groups)]
+        self.total = sum(n for *_, n in self.groups)
+        self._seek(0)
+
+    def _seek(self, start: int) -> None:
+        first, self.at = 0, 0
+        while self.test is None and first < len(self.groups) and self.at + self.groups[first][2] <= start:
+            self.at += self.groups[first][2]
+            first += 1
+        self.held: list[dict] = []
+        self.batches = (b for f, g, _ in self.groups[first:] for b in f.subset(row_group_ids=[g]).to_batches(columns=self.columns, filter=self.test, batch_size=BATCH, use_threads=False))
+
+    def page(self, start: int, size: int) -> tuple[list[dict], bool]:
+        """Rows ``start`` to ``start + size``, and whether there are more."""
+        if start < self.at:
+            self._seek(start)
+        while self.at + len(self.held) <= start + size and (batch := next(self.batches, None)) is not None:
+            gone = min(start - self.at, len(self.held))
+            self.held, self.at = self.held[gone:], self.at + gone
+            if not self.held and self.at + batch.num_rows <= start:
+                self.at += batch.num_rows
+            else:
+                self.held += batch.to_pylist()
+        k = start - self.at
+        return self.held[k : k + size], len(self.held) > k + size
+
+
+@functools.lru_cache(maxsize=1)
+def _opened(path: str, stamp: int | None, columns: tuple | None, test: str | None) -> _Rows:
+    """The rows that this process read last; ``stamp`` tells a file that was written anew, ``test`` is a column and its value."""
+    import pyarrow.dataset as ds
+
+    column, value = json.loads(test) if test else (None, None)
+    return _Rows(path, list(columns) if columns else None, None if column is None else ds.field(column) == value)
+
+
+def _rows(seed: dict) -> _Rows:
+    path, columns = seed["path"], seed.get("columns")
+    test = json.dumps([seed["column"], seed["value"]]) if "column" in seed else None
+    return _opened(path, os.stat(path).st_mtime_ns if os.path.exists(path) else None, tuple(columns) if columns else None, test)
 
 
 def parquet_pages(seed: dict, cursor: int | None, page_size: int) -> tuple[list[str], int | None]:
     """A client of the paged source over a Parquet file: seed ``{"path": ...}``, the cursor being a row's number.
 
-    Only the row groups that hold the page are read.
+    Row groups before the page are not read, and pages one after another read each row group once.
     """
-    import pyarrow.parquet as pq
-
-    file, skip = pq.ParquetFile(seed["path"]), cursor or 0
-    sizes = [file.metadata.row_group(i).num_rows for i in range(file.metadata.num_row_groups)]
-    wanted, first, base = [], None, 0
-    for i, n in enumerate(sizes):
-        if base + n > skip and base < skip + page_size:
-            first = base if first is None else first
-            wanted.append(i)
-        base += n
-    rows = file.read_row_groups(wanted).slice(skip - first, page_size).to_pylist() if wanted else []
-    return [json.dumps(r, default=str) for r in rows], skip + page_size if base > skip + page_size else None
+    skip = cursor or 0
+    rows, more = _rows({"path": seed["path"]}).page(skip, page_size)
+    return [json.dumps(r, default=str) for r in rows], skip + page_size if more else None
 
 
 def parquet_pages_end(seed: dict) -> int:
     """How many rows a Parquet file has."""
-    import pyarrow.parquet as pq
-
-    return pq.ParquetFile(seed["path"]).metadata.num_rows
+    return _rows({"path": seed["path"]}).total
 
 
 def parquet_matches(seed: dict, cursor: int | None, page_size: int) -> tuple[list[str], int | None]:
-    """A client over a Parquet file's rows with a value: seed ``{"path", "column", "value"}``; other row groups are not read."""
-    import pyarrow.parquet as pq
-
-    rows = pq.read_table(seed["path"], filters=[(seed["column"], "=", seed["value"])], columns=seed.get("columns")).slice(cursor or 0, page_size + 1).to_pylist()
-    return [json.dumps(r, default=str) for r in rows[:page_size]], (cursor or 0) + page_size if len(rows) > page_size else None
+    """A client over a Parquet file's rows with a value: seed ``{"path", "column", "value"}``; row groups that cannot hold it are not read."""
+    skip = cursor or 0
+    rows, more = _rows(seed).page(skip, page_size)
+    return [json.dumps(r, default=str) for r in rows], skip + page_size if more else None

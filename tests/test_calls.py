@@ -103,3 +103,35 @@ def growing(seed, cursor, page_size):
 
 def growing_end(seed):
     return int((Path(seed["folder"]).parent / f"size{seed['id']}").read_text())
+
+
+def test_pages_of_a_file_read_it_once(tmp_path):
+    """Pages one after another are slices of one forward read, in any number of row groups; other orders give the same rows."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from kgspark.sources import paged as P
+
+    path = str(tmp_path / "t.parquet")
+    pq.write_table(pa.table({"k": range(1000), "v": [k % 7 for k in range(1000)]}), path, row_group_size=64)
+    for client, seed, want in ((P.parquet_pages, {"path": path}, list(range(1000))), (P.parquet_matches, {"path": path, "column": "v", "value": 3, "columns": ["k"]}, list(range(3, 1000, 7)))):
+        P._opened.cache_clear()
+        got, cursor = [], None
+        while True:
+            rows, cursor = client(seed, cursor, 5)
+            got += [json.loads(r)["k"] for r in rows]
+            if cursor is None:
+                break
+        assert got == want and P._opened.cache_info().misses == 1
+        for at in (130, 65, 0, 995, 141):
+            assert [json.loads(r)["k"] for r in client(seed, at, 5)[0]] == want[at : at + 5]
+    assert P.parquet_pages_end({"path": path}) == 1000
+
+
+def test_stream_deals_runs_of_pages_to_tasks(spark):
+    """A micro-batch has a task for many pages, not for each."""
+    from kgspark.sources.paged import TASK_PAGES, PagedStream
+
+    stream = PagedStream({"client": CLIENT, "seeds": "[1]", "page_size": "3"})
+    runs = [p.value for p in stream.partitions({"1": 6}, {"1": 3 * 2500 + 1})]
+    assert len(runs) == -(-2499 // TASK_PAGES) and sum(n for *_, n in runs) == 3 * 2498 + 1 and all(at % 3 == 0 for _, at, _ in runs)
