@@ -19,7 +19,7 @@ def summary(rows: DataFrame, value: str, by: list[str] | None = None, most: int
     """Mean, median, population deviation, nearest-rank p95 and p99, extremes, sum and count.
 
     Groups of up to ``most`` values keep them together, as exact percentiles need. In larger ones, and without groups,
-    the ranks are found by narrowing ranges instead, so no task holds all values of a group.
+    the ranks are found by ranges and their counts instead, so no task holds all values of a group.
     """
     v = F.col(value)
     plain = [F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_dev"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"), F.count(v).alias("n")]
@@ -71,51 +71,34 @@ def value_at(rows: DataFrame, value: str, rank: int):
         part, below = part.where((F.col("v") >= low) & (F.col("v") <= high)), below + under
 
 
+#: Ranges in which ranks are looked up, at most; their size then grows with the table.
+_RANGES = 1024
+
+
 def values_at(rows: DataFrame, value: str, by: list[str], ranks: dict, few: int = _FEW) -> DataFrame:
     """For each group the values of several ranks in ascending order, exactly: ``by`` and a column for each name of ``ranks``.
 
-    ``ranks``: functions from a column of group sizes to a rank (from 1). All ranks of all groups are narrowed at once:
-    sketches, which are merged before they are shuffled, bound a range round each rank, counts make the rank within it
-    exact, and only values inside go on, until no range holds more than ``few`` rows or it is a single value. Groups
-    without values have no row.
+    ``ranks``: functions from a column of group sizes to a rank (from 1). Equal values of a group are counted first, then
+    dealt to ranges of (group, value) of about ``few`` different values, or more where that makes over _RANGES ranges.
+    The ranges' counts tell in which one a rank lies, and only within it values are counted up. Whatever ties there are,
+    the values are shuffled twice. Groups without values have no row.
     """
     v = F.col(value)
-    have = rows.where(v.isNotNull()).select(F.struct(*by).alias("g"), v.alias("v"))
-    n = F.col("n")
-    wanted = have.groupBy("g").agg(F.count("*").alias("n")).select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), f(n).cast("long").alias("rank")) for k, f in ranks.items()])).alias("x")).select("g", "x.*")
-    # (g, name, v) of the values inside each rank's range, and the rank within it.
-    state = written(wanted)
-    inside = have.join(F.broadcast(state) if state.count() <= 100_000 else state, "g").select("g", "name", "rank", "v")
-    done = None
-    while True:
-        c = inside.groupBy("g", "name", "rank").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.approx_percentile("v", F.array(*[F.lit(k / 64) for k in range(65)]), F.lit(1000)).alias("cuts"))
-        # The sketch's cuts next to the rank, a cut further out on either side.
-        at = F.floor(F.col("rank") * 64 / F.col("n")).cast("int")
-        c = written(c.withColumns({"low": F.when(at < 2, F.col("least")).otherwise(F.get("cuts", at - 2)), "high": F.when(at > 61, F.col("most")).otherwise(F.get("cuts", at + 3)), "ends": (F.col("n") <= few) | (F.col("least") == F.col("most"))}).drop("cuts"))
-        small = c.where("ends").select("g", "name", "rank")
-        if small.take(1):
-            w = Window.partitionBy("g", "name").orderBy("v")
-            counted = inside.join(F.broadcast(small) if small.count() <= 100_000 else small, ["g", "name", "rank"]).groupBy("g", "name", "rank", "v").agg(F.count("*").alias("c"))
-            found = written(counted.withColumn("upto", F.sum("c").over(w)).where("upto >= rank").groupBy("g", "name").agg(F.min("v").alias("v")))
-            done = found if done is None else done.union(found)
-        left = c.where("not ends").select("g", "name", "rank", "low", "high", "least", "most")
-        k = left.count()
-        if not k:
-            break
-        part = inside.join(F.broadcast(left) if k <= 100_000 else left, ["g", "name", "rank"])
-        near = part.where("v >= low and v <= high")
-        under = part.where("v < low").groupBy("g", "name").agg(F.count("*").alias("under"))
-        held = near.groupBy("g", "name").agg(F.count("*").alias("held"))
-        new = written(left.join(under, ["g", "name"], "left").join(held, ["g", "name"], "left").withColumns({"under": F.coalesce("under", F.lit(0)), "held": F.coalesce("held", F.lit(0))}))
-        # Counts decide: where a sketch was so wrong that its range misses the rank, the values on the rank's side are taken.
-        side = F.when(F.col("rank") <= F.col("under"), "below").when(F.col("rank") > F.col("under") + F.col("held"), "above").otherwise("inside")
-        new = new.select("g", "name", "under", "held", side.alias("side"))
-        part = part.join(F.broadcast(new) if k <= 100_000 else new, ["g", "name"])
-        place = F.when(F.col("v") < F.col("low"), "below").when(F.col("v") > F.col("high"), "above").otherwise("inside")
-        gone = F.when(F.col("side") == "inside", F.col("under")).when(F.col("side") == "above", F.col("under") + F.col("held")).otherwise(0)
-        inside = written(part.where(place == F.col("side")).select("g", "name", (F.col("rank") - gone).alias("rank"), "v"))
-    out = (done if done is not None else inside.select("g", "name", "v")).groupBy("g").pivot("name", list(ranks)).agg(F.first("v"))
-    return out.select("g.*", *ranks)
+    counted = written(rows.where(v.isNotNull()).select(F.struct(*by).alias("g"), v.alias("v")).groupBy("g", "v").agg(F.count("*").alias("c")))
+    different = counted.count()
+    parts = max(1, -(-different // max(few, different // _RANGES)))
+    counted = written(counted.repartitionByRange(parts, "g", "v").withColumn("_part", F.spark_partition_id()))
+    # A row for each range and group in it.
+    held = counted.groupBy("g", "_part").agg(F.sum("c").alias("held"))
+    held = written(held.withColumns({"upto": F.sum("held").over(Window.partitionBy("g").orderBy("_part")), "n": F.sum("held").over(Window.partitionBy("g"))}))
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), f(F.col("n")).cast("long").alias("rank")) for k, f in ranks.items()])).alias("x")
+    wanted = held.select("g", "_part", "held", "upto", wanted).where("x.rank <= upto and x.rank > upto - held")
+    wanted = written(wanted.select("g", "_part", "x.name", (F.col("x.rank") - F.col("upto") + F.col("held")).alias("rank")))
+    some = wanted.select("g", "_part").distinct()
+    same = lambda a, b: [F.col(f"{a}._part") == F.col(f"{b}._part"), F.col(f"{a}.g").eqNullSafe(F.col(f"{b}.g"))]
+    near = counted.alias("c").join(some.alias("s"), same("c", "s"), "left_semi").withColumn("_at", F.sum("c").over(Window.partitionBy("_part", "g").orderBy("v")))
+    found = near.alias("f").join(wanted.alias("w"), same("f", "w")).where((F.col("f._at") >= F.col("w.rank")) & (F.col("f._at") - F.col("f.c") < F.col("w.rank")))
+    return found.select("f.g", "w.name", "f.v").groupBy("g").pivot("name", list(ranks)).agg(F.first("v")).select("g.*", *ranks)
 
 
 def judged(retrieved: DataFrame, relevant: DataFrame) -> DataFrame:

@@ -72,3 +72,11 @@ def test_ranks_where_sketches_are_wrong(spark, monkeypatch):
     monkeypatch.setattr(M.F, "approx_percentile", lambda c, ps, acc: F.array(*[F.min(c) + (F.max(c) - F.min(c)) * 0.1] * 65))
     got = M.values_at(df, "v", ["g"], {"x": lambda n: F.floor(n / 2), "y": lambda n: F.floor(n / 20)}, few=50).collect()
     assert [tuple(r) for r in got] == [(0, 999.0, 99.0)]
+
+
+def test_ranks_between_two_values(spark):
+    """Ranks at the border of two frequent values are found; narrowing by sketches never ended there."""
+    rows = [(g, float(v)) for g in (1, None) for v in [1] * 125 + [2] * 125 + [3] * 4]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = M.values_at(df, "v", ["g"], {"a": lambda n: F.lit(125), "b": lambda n: F.lit(126), "c": lambda n: n}, few=2).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, 1.0, 2.0, 3.0), (None, 1.0, 2.0, 3.0)], key=repr)
