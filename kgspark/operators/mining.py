@@ -7,6 +7,9 @@ is always followed by the same word.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +41,17 @@ def runs(docs: DataFrame, text: str, n: int, *keep: str) -> DataFrame:
     return docs.select(*keep, F.explode(let(words(F.col(text)), every)).alias("r")).select(*keep, "r.*")
 
 
+@F.pandas_udf("double")
+def _log2(x: pd.Series) -> pd.Series:
+    """Logarithms as the C library rounds them: Spark's quotient of two logarithms is off in the last digit, which decides at a threshold."""
+    return pd.Series([math.log2(v) for v in x], dtype=float)
+
+
 def _entropy(rows: DataFrame, side: str) -> DataFrame:
     """Entropy of the words on one side of each phrase, in bits; counts of pairs first, so that no phrase is one task's."""
-    c = rows.groupBy("phrase", side).agg(F.count("*").alias("c"))
-    return c.groupBy("phrase").agg((F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias(f"h_{side}"))
+    c = rows.groupBy("phrase", side).agg(F.count("*").alias("c")).withColumn("l", _log2(F.col("c").cast("double")))
+    s = c.groupBy("phrase").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("l")).alias("s"))
+    return s.select("phrase", (_log2(F.col("n").cast("double")) - F.col("s") / F.col("n")).alias(f"h_{side}"))
 
 
 def mined(docs: DataFrame, text: str = "text", longest: int = 3, least: int = 10, cohesion: float = 4.0, freedom: float = 1.0) -> DataFrame:
@@ -58,7 +68,7 @@ def mined(docs: DataFrame, text: str = "text", longest: int = 3, least: int = 10
         c = written(r.groupBy("phrase", "head", "tail", "first", "last").agg(F.count("*").alias("n")).where(F.col("n") >= least))
         names = lambda df, to, k: df.select(F.col(df.columns[0]).alias(to), F.col(df.columns[1]).alias(k))
         split = c.join(names(one, "first", "n_first"), "first").join(names(shorter, "tail", "n_tail"), "tail").join(names(shorter, "head", "n_head"), "head").join(names(one, "last", "n_last"), "last")
-        bits = lambda a, b: F.log2(F.col("n") * F.lit(float(total)) / (F.col(a).cast("double") * F.col(b)))
+        bits = lambda a, b: _log2(F.col("n") * F.lit(float(total)) / (F.col(a).cast("double") * F.col(b)))
         tight = split.select("phrase", "n", F.least(bits("n_first", "n_tail"), bits("n_head", "n_last")).alias("cohesion")).where(F.col("cohesion") >= cohesion)
         placed = r.join(tight.select("phrase"), "phrase", "left_semi")
         found = tight.join(_entropy(placed, "before"), "phrase").join(_entropy(placed, "after"), "phrase")

@@ -217,3 +217,12 @@ def test_upserts_with_null_and_equal_times(spark):
     for order in (new, new[::-1]):
         got = {r._id: (r.title, r.version) for r in Rec.upsert(old, spark.createDataFrame(order, schema)).collect()}
         assert got == {"a": ("u", 5), "z": ("kept", 2), "b": ("x", 1), "c": ("q", 1)}
+
+
+def test_phrases_at_the_threshold(spark):
+    """Two neighbours of seven places each are one bit, which reaches a threshold of one bit as it does in SQL."""
+    from kgspark.operators import mining
+
+    rows = [(f"{a} enerd enverpfte {a}",) for a in ("x", "y") for _ in range(7)] + [(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}",) for k in range(400)]
+    got = mining.mined(spark.createDataFrame(rows, "text string"), longest=2).collect()
+    assert [(r.phrase, r.n, r.freedom) for r in got] == [("enerd enverpfte", 14, 1.0)]
