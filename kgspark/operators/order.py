@@ -13,6 +13,8 @@ from kgspark.session import shared_folder, written
 
 #: Rounds of the permutation, and walks after which a number outside is an error (it cannot be for up to WALKS numbers in excess).
 ROUNDS, WALKS = 6, 64
+#: Ranges of an index, at most, as long as they hold no more than RANGE_ROWS rows each: each costs a task and a folder.
+RANGES = 512
 
 
 @dataclass
@@ -44,12 +46,13 @@ class OrderIndex:
 
 
 def order_index(rows: DataFrame, order: list, size: int = RANGE_ROWS) -> OrderIndex:
-    """Write ``rows`` in ranges of about ``size`` rows of ``order`` (names or columns, which should tell rows apart; equal rows may stand in any order).
+    """Write ``rows`` in ranges of about ``size`` rows, or more where that makes over RANGES of them, of ``order`` (names or columns, which should tell rows apart; equal rows may stand in any order).
 
     The counts are a row a range; everything else stays distributed. The index is a written copy and does not follow its table.
     """
     spark = rows.sparkSession
-    parts = max(1, -(-rows.count() // size))
+    n = rows.count()
+    parts = max(1, -(-n // max(size, min(RANGE_ROWS, -(-n // RANGES)))))
     path = f"{shared_folder(spark)}/order-{uuid.uuid4().hex}"
     rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(path)
     if not rows.sparkSession.read.schema("_part int").parquet(path).take(1):
@@ -82,9 +85,11 @@ def permuted(number: Column, n: int, seed: int) -> Column:
         return high * b + low
 
     # Each round names the digits several times: a lambda's argument keeps the expression small.
-    step = lambda x: F.transform(F.array(x), once)[0]
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(min(WALKS, a * b - n + 1))), step(number.cast("long")), lambda x, _: F.when(x < n, x).otherwise(once(x)))
-    return F.when(out < n, out).otherwise(F.raise_error(F.lit("the permutation did not come back")).cast("long"))
+    let = lambda x, use: F.transform(F.array(x), use)[0]
+    # Only the few numbers outside walk on.
+    walk = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(min(WALKS, a * b - n + 1))), x, lambda y, _: F.when(y < n, y).otherwise(once(y)))
+    lost = F.raise_error(F.lit("the permutation did not come back")).cast("long")
+    return let(let(number.cast("long"), once), lambda x: F.when(x < n, x).otherwise(let(walk(x), lambda y: F.when(y < n, y).otherwise(lost))))
 
 
 def shuffled(rows: DataFrame, order: list, seed: int) -> DataFrame:

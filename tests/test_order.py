@@ -80,3 +80,11 @@ def test_ranks_between_two_values(spark):
     df = spark.createDataFrame(rows, "g int, v double")
     got = M.values_at(df, "v", ["g"], {"a": lambda n: F.lit(125), "b": lambda n: F.lit(126), "c": lambda n: n}, few=2).collect()
     assert sorted(map(tuple, got), key=repr) == sorted([(1, 1.0, 2.0, 3.0), (None, 1.0, 2.0, 3.0)], key=repr)
+
+
+def test_ranges_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(O, "RANGES", 8, raising=False)
+    index = O.order_index(spark.range(1000), ["id"], 10)
+    assert len(index.before) <= 8 and [r.id for r in index.page(437, 60).orderBy("_n").collect()] == list(range(437, 497))
+    monkeypatch.setattr(O, "RANGE_ROWS", 50)
+    assert len(O.order_index(spark.range(1000), ["id"], 10).before) > 15
