@@ -14,6 +14,8 @@ from kgspark.functions.text import GENERIC_RELATIONSHIPS, HIGH_VALUE_TYPES, norm
 from kgspark.session import written
 
 EDGE_KEY = ["src", "type", "dst"]
+#: Ids that one task sorts to look others up among them.
+TASK_IDS = 500_000
 MENTION_TYPES = ["MENTIONED_IN", "MENTIONS_REL"]
 
 
@@ -48,10 +50,21 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
+def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is not among ``ids``, about TASK_IDS of which are sorted by a task.
+
+    Adaptive execution would size tasks by shuffled bytes, of which ids that differ little have few for many rows.
+    """
+    n = -(-ids.count() // TASK_IDS)
+    if n > 1:
+        rows, ids = rows.repartition(n, "id"), ids.repartition(n, "id")
+    return rows.join(ids, "id", "left_anti")
+
+
 def orphan_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes without an edge in either direction."""
     ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id")))
-    return nodes.join(ends, "id", "left_anti")
+    return _without(nodes, ends)
 
 
 def orphan_edges(edges: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -61,12 +74,12 @@ def orphan_edges(edges: DataFrame, mentions: DataFrame) -> DataFrame:
 
 def without_mentions(metadata: DataFrame, mentions: DataFrame) -> DataFrame:
     """Metadata rows (id) that have no mention (C14)."""
-    return metadata.join(mentions.select(F.col("rel_id").alias("id")), "id", "left_anti")
+    return _without(metadata, mentions.select(F.col("rel_id").alias("id")))
 
 
 def not_in_graph(metadata: DataFrame, nodes: DataFrame) -> DataFrame:
     """Metadata rows whose node is gone."""
-    return metadata.join(nodes.select("id"), "id", "left_anti")
+    return _without(metadata, nodes.select("id"))
 
 
 def all_sources_deleted(sources: DataFrame, records: DataFrame) -> DataFrame:

@@ -226,3 +226,16 @@ def test_phrases_at_the_threshold(spark):
     rows = [(f"{a} enerd enverpfte {a}",) for a in ("x", "y") for _ in range(7)] + [(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}",) for k in range(400)]
     got = mining.mined(spark.createDataFrame(rows, "text string"), longest=2).collect()
     assert [(r.phrase, r.n, r.freedom) for r in got] == [("enerd enverpfte", 14, 1.0)]
+
+
+def test_ids_are_looked_up_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(G, "TASK_IDS", 100, raising=False)
+    nodes = spark.range(1000).select(F.col("id").cast("string").alias("id"))
+    edges = spark.range(900).select(F.col("id").cast("string").alias("src"), F.lit("0").alias("dst"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (G.orphan_nodes(nodes, edges), G.without_mentions(nodes, edges.select(F.col("src").alias("rel_id")))):
+            assert found.rdd.getNumPartitions() >= 9
+            assert sorted(int(r.id) for r in found.collect()) == list(range(900, 1000))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
