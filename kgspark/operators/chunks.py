@@ -84,6 +84,10 @@ def hashed_embedder(dim: int = 64) -> Callable[[pd.Series], list[np.ndarray]]:
     return embed
 
 
+#: Texts that an embedder gets at a time: its words of a whole Arrow batch would fill a worker's memory.
+_TEXTS = 500
+
+
 def embed(rows: DataFrame, text: str, embedder: Callable[[pd.Series], list] | None = None) -> DataFrame:
     """Add ``embedding`` by a batch embedder."""
     embedder = embedder or hashed_embedder()
@@ -91,7 +95,7 @@ def embed(rows: DataFrame, text: str, embedder: Callable[[pd.Series], list] | No
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(embedding=embedder(b[text]))
+            yield b.assign(embedding=[e for i in range(0, len(b), _TEXTS) for e in embedder(b[text].iloc[i : i + _TEXTS])])
 
     return rows.mapInPandas(run, schema)
 

@@ -239,3 +239,11 @@ def test_ids_are_looked_up_in_tasks_of_bounded_rows(spark, monkeypatch):
             assert sorted(int(r.id) for r in found.collect()) == list(range(900, 1000))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_embedders_get_few_texts_at_a_time(spark):
+    rows = spark.range(2300).coalesce(1).select(F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    sizes = C.embed(rows, "text", lambda texts: [np.array([len(texts)], np.float32)] * len(texts)).select(F.col("embedding")[0].alias("n"))
+    assert sizes.agg(F.max("n")).first()[0] == 500
+    plain = C.hashed_embedder()([r.text for r in rows.collect()])
+    assert np.allclose([r.embedding for r in C.embed(rows, "text").collect()], np.array(plain))
