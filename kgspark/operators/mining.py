@@ -12,6 +12,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from kgspark.functions.text import let
 from kgspark.session import written
@@ -41,7 +42,7 @@ def runs(docs: DataFrame, text: str, n: int, *keep: str) -> DataFrame:
     return docs.select(*keep, F.explode(let(words(F.col(text)), every)).alias("r")).select(*keep, "r.*")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _log2(x: pd.Series) -> pd.Series:
     """Logarithms as the C library rounds them: Spark's quotient of two logarithms is off in the last digit, which decides at a threshold."""
     return pd.Series([math.log2(v) for v in x], dtype=float)
