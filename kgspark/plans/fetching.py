@@ -145,9 +145,11 @@ CASE WHEN c_custkey % 2 = 0 THEN '"even"' ELSE '"' || c_name || '"' END AS eithe
 def json_search(spark, sf_dir):
     """Expressions over JSON: projections, filters, slices, comparisons, choices, functions, lists and objects."""
     r = F.col("raw")
+    # A file of a few megabytes is one task's; its expressions are work for all.
+    rows = raw(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "ord")
     upper = F.regexp_replace(r, '"name":"[^"]*"', F.concat(F.lit('"name":"'), F.upper(J.value(r, "info.name")), F.lit('"')))
     even = F.concat(F.lit('{"even": '), F.when(J.value(r, "cust_id").cast("long") % 2 == 0, '"even"').otherwise("null"), F.lit(', "name": "'), J.value(r, "info.name"), F.lit('"}'))
-    return raw(spark, sf_dir).select(
+    return rows.select(
         "ord", J.search(r, "info.name").alias("name"), J.search(r, "info.tags[*].tag").alias("tags"), J.search(r, "info.tags[].tag | [-1]").alias("last"), J.search(r, "info.tags | length(@)").alias("n"),
         J.search(r, "info.tags[?tag == 'a'].tag").alias("only_a"), J.transform(r, {"who": "info.name", "id": "cust_id", "none": "nothing.here"}).alias("picked"), J.search(r, "cust_id > `10`").alias("large"), J.search(upper, "info.[name, length(tags)]").alias("listed"),
         J.search(r, "info.tags[1:].tag").alias("others"), J.search(r, "info.tags[::-1] | [-1:].tag").alias("cut"), J.search(even, "even || name").alias("either"), J.search(r, "{tags: info.tags[*].tag}").alias("nested"),

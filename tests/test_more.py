@@ -247,3 +247,9 @@ def test_embedders_get_few_texts_at_a_time(spark):
     assert sizes.agg(F.max("n")).first()[0] == 500
     plain = C.hashed_embedder()([r.text for r in rows.collect()])
     assert np.allclose([r.embedding for r in C.embed(rows, "text").collect()], np.array(plain))
+
+
+def test_json_search_is_spread_over_tasks(spark):
+    from kgspark.plans import catalog
+
+    assert catalog.QUERIES["json_search"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
