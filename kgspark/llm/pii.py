@@ -371,13 +371,18 @@ def _joined(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _number(spans, kind: int):
+    """How many spans are of a kind; a second parameter of the lambda, even with a default, would be the place in the array."""
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def op1_pii(spark, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda x: x["kind"] < 4)
     return found.select(
         "doc_id",
-        *(F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS[:4])),
+        *(_number("spans", k).alias(f"n_{n}") for k, n in enumerate(KINDS[:4])),
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
-        F.size(F.filter("spans", lambda x: x["kind"] == 4)).cast("long").alias("n_term"),
+        _number("spans", 4).alias("n_term"),
     )
