@@ -1,12 +1,13 @@
 """Sessions and anchored windows of arriving rows, equal to the batch ones on closed data (K9).
 
 Rows wait in keyed state until the watermark has passed them, so they are grouped in time order however they arrive
-within the lateness; what is emitted leaves the state, and a key's open group goes when no later row can join it.
+within the lateness; what is emitted leaves the state, and open groups go when no later row can join them.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,49 +18,74 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Keys are dealt to so many buckets by hash; calls of the state store cost by bucket, not by key or row.
+BUCKETS = 1024
+_WAITING = ["group_key", "seconds", "place", "same"]
+
+
 class _Groups(StatefulProcessor):
-    """State of a key: rows that wait (s, ord, same), and its open group (anchor, last, same)."""
+    """State of a bucket of keys, packed: frames of rows that wait, and each key's open group (anchor, last, same)."""
 
     def __init__(self, length: float, anchored: bool):
         self.length, self.anchored = length, anchored
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "s double, ord long, same string")
-        self.open = handle.getValueState("open", "anchor double, last double, same string")
+        self.rows = handle.getListState("rows", "packed binary")
+        self.open = handle.getValueState("open", "packed binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(float(s), int(o), None if pd.isna(c) else c) for batch in rows for s, o, c in zip(batch["seconds"], batch["place"], batch["same"], strict=True)]
-        if new:
-            self.rows.appendList(new)
+        latest = []
+        for batch in rows:
+            if len(batch):
+                self.rows.appendValue((pickle.dumps(batch[_WAITING]),))
+                latest.append(float(batch["seconds"].max()))
+        if latest:
             # One timer for what has come now: all of it is due when its latest row is.
-            self.handle.registerTimer(math.ceil(max(new)[0] * 1000))
-        yield pd.DataFrame({"group_key": [], "place": [], "group_start": []})
+            self.handle.registerTimer(math.ceil(max(latest) * 1000))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() / 1000
-        waiting = sorted((r[0], r[1], r[2]) for r in self.rows.get())
-        due = [r for r in waiting if r[0] <= now]
-        rest = waiting[len(due) :]
-        anchor, last, same = self.open.get() if self.open.exists() else (None, None, None)
-        out = []
-        for s, o, c in due:
+        packed = self.open.get()
+        opened = pickle.loads(bytes(packed[0])) if packed else {}
+        frames = [pickle.loads(bytes(r[0])) for r in self.rows.get()]
+        if frames:
+            waiting = pd.concat(frames, ignore_index=True)
+            of = waiting["seconds"] <= now
+            due, rest = waiting[of].sort_values(["group_key", "seconds", "place"]), waiting[~of]
+            if len(rest) == 0:
+                self.rows.clear()
+            elif len(due):
+                self.rows.put([(pickle.dumps(rest),)])
+            if len(due):
+                yield self._grouped(due, opened)
+        # Rows still to come are later than the watermark; groups that they cannot join are forgotten.
+        ends = {k: (anchor if self.anchored else last) + self.length for k, (anchor, last, _) in opened.items()}
+        opened = {k: v for k, v in opened.items() if ends[k] > now}
+        if opened:
+            self.open.update((pickle.dumps(opened),))
+            # By the latest end all of these can be forgotten.
+            self.handle.registerTimer(math.ceil(max(ends.values()) * 1000))
+        elif packed:
+            self.open.clear()
+
+    def _grouped(self, due: pd.DataFrame, opened: dict) -> pd.DataFrame:
+        """The beginning of each row's group; ``opened`` gets each key's last one."""
+        starts = []
+        before, anchor, last, same = None, None, None, None
+        for k, s, c in zip(due["group_key"].tolist(), due["seconds"].tolist(), due["same"].where(due["same"].notna(), None).tolist(), strict=True):
+            if k != before:
+                if before is not None:
+                    opened[before] = anchor, last, same
+                anchor, last, same = opened.get(k, (None, None, None))
+                before = k
             if anchor is None or s - (anchor if self.anchored else last) > self.length or c != same:
                 anchor = s
             last, same = s, c
-            out.append((o, anchor))
-        if rest:
-            self.rows.put(rest)
-        elif waiting:
-            self.rows.clear()
-        # Rows still to come are later than the watermark; a group that they cannot join is forgotten.
-        ends = None if anchor is None else (anchor if self.anchored else last) + self.length
-        if ends is not None and ends > now:
-            self.open.update((anchor, last, same))
-            self.handle.registerTimer(math.ceil(ends * 1000))
-        elif anchor is not None:
-            self.open.clear()
-        yield pd.DataFrame({"group_key": [key[0]] * len(out), "place": [o for o, _ in out], "group_start": [a for _, a in out]})
+            starts.append(anchor)
+        opened[before] = anchor, last, same
+        return pd.DataFrame({"group_key": due["group_key"].to_numpy(), "place": due["place"].to_numpy(), "group_start": starts})
 
     def close(self) -> None:
         pass
@@ -70,7 +96,7 @@ def stream_groups(events: DataFrame, key: str, ts: str, order: str, length: floa
 
     ``anchored``: windows of ``length`` seconds from their first row (E2), else sessions with gaps up to ``length``
     (E3); a change of ``same`` (text) begins a group too. Rows later than the watermark and rows without key or order are dropped.
-    Keys are spread by hash; a task holds the rows of one key that arrived within the lateness.
+    Keys are dealt to BUCKETS by hash; a task holds the rows of one bucket that arrived within the lateness.
     """
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
@@ -78,5 +104,5 @@ def stream_groups(events: DataFrame, key: str, ts: str, order: str, length: floa
     rows = events.withWatermark(ts, late).where(F.col(key).isNotNull() & F.col(order).isNotNull())
     rows = rows.select(F.col(key).alias("group_key"), ts, s, F.col(order).cast("long").alias("place"), (F.lit(None) if same is None else same).cast("string").alias("same"))
     kind = rows.schema["group_key"].dataType.simpleString()
-    out = rows.groupBy("group_key").transformWithStateInPandas(_Groups(length, anchored), f"group_key {kind}, place long, group_start double", "Append", "EventTime")
+    out = rows.withColumn("bucket", F.pmod(F.hash("group_key"), F.lit(BUCKETS))).groupBy("bucket").transformWithStateInPandas(_Groups(length, anchored), f"group_key {kind}, place long, group_start double", "Append", "EventTime")
     return out.select(F.col("group_key").alias(key), F.col("place").alias(order), "group_start")
