@@ -23,7 +23,7 @@ DIGEST = ["n_shingles", "digest", "digest2"]
 #: blocks of about so many documents and bytes of text.
 SMALL_BUCKET, BLOCK, BLOCK_BYTES = 32, 512, 4 << 20
 #: Bytes of text of the pairs that are confirmed together.
-CONFIRM_BYTES = 4 << 20
+CONFIRM_BYTES = 1 << 20
 _LOWER_BYTES = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -130,7 +130,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(_confirm(percent), "a long, b long")
 
 
-def common_sizes(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+def common_sizes(left: list[np.ndarray], right: list[np.ndarray], width: int = 2048) -> np.ndarray:
     """Sizes of the intersections of all sets of ``left`` with all of ``right``."""
     out = np.zeros((len(left), len(right)), np.float32)
     both = np.intersect1d(np.concatenate([np.zeros(0, U), *left]), np.concatenate([np.zeros(0, U), *right]))
